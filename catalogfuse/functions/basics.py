@@ -65,7 +65,7 @@ def distinct_in_order(arr: Column | str) -> Column:
 
 def text_list(c: Column | str, sep_regex: str = ",") -> Column:
     """Split, trim, drop blanks, de-duplicate in order."""
-    return distinct_in_order(F.transform(F.split(as_col(c), sep_regex), F.trim))
+    return distinct_in_order(F.transform(F.split(as_col(c), sep_regex), lambda x: F.trim(x)))
 
 
 def literal_map(mapping: dict[str, object]) -> Column:

@@ -16,7 +16,7 @@ NO_NAME = ("-", "_")
 
 def clean_people(c: Column | str, placeholders: Sequence[str] = NO_NAME) -> Column:
     """Names of a text: split, the bracketed alternative preferred, placeholders out, distinct in order."""
-    names = F.transform(F.split(as_col(c), NAME_SEPARATORS), F.trim)
+    names = F.transform(F.split(as_col(c), NAME_SEPARATORS), lambda x: F.trim(x))
     names = F.filter(names, lambda n: ~n.isin(*placeholders))
     bracket = "[（(]\\s*([^()（）]+?)\\s*[）)]"
     inner = lambda n: F.trim(F.regexp_extract(n, bracket, 1))

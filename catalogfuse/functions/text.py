@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogfuse.functions.basics import alternation, as_col, replace_each, strip_chars
 
@@ -48,6 +49,7 @@ KANA = "\\u3040-\\u30FF"
 CJK = "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\u3040-\\u30FF\\uAC00-\\uD7AF"
 LATIN_ONLY = "^[a-zA-Z0-9\\s.,;:!?()\\-\"'`~@#$%^&*+=_/\\\\|<>]+$"
 
+_LATIN_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _FULL_WIDTH = "".join(chr(cp) for cp in range(0xFF01, 0xFF5F)) + "\u3000・"
 _HALF_WIDTH = "".join(chr(cp) for cp in range(0x21, 0x7F)) + " ·"
 
@@ -78,12 +80,12 @@ def alias_key(c: Column | str) -> Column:
     return F.upper(half_width(F.trim(as_col(c))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip().casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition (``NFC``); Spark has no expression for it."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
@@ -155,21 +157,23 @@ def probably_english(c: Column | str) -> Column:
     """Four signals, two needed; a text with CJK characters must be at least 85 % Latin letters."""
     text = F.trim(as_col(c))
     words_re = "[A-Za-z]+(?:'[A-Za-z]+)?"
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
-    words = F.regexp_count(text, F.lit(words_re))
-    tokens = F.regexp_count(text, F.lit(f"{words_re}|[{CJK}]"))
+    # Letters by a table look-up per character; the costly word counts run only where the two cheap
+    # signals (letter share, letter count) do not settle the matter.
+    letters = F.length(text) - F.length(F.translate(text, _LATIN_LETTERS, ""))
+    cjk = F.when(text.rlike(f"[{CJK}]"), F.regexp_count(text, F.lit(f"[{CJK}]"))).otherwise(0)
     letter_ratio = letters / F.nullif(letters + cjk, F.lit(0))
-    word_ratio = words / F.nullif(tokens, F.lit(0))
+    words = F.regexp_count(text, F.lit(words_re))
+    tokens = words + cjk
     score = (
         (letter_ratio >= 0.6).cast("int")
-        + F.coalesce(word_ratio >= 0.5, F.lit(False)).cast("int")
+        + F.coalesce(words / F.nullif(tokens, F.lit(0)) >= 0.5, F.lit(False)).cast("int")
         + ((letters >= 20) | (words >= 5)).cast("int")
         + ((F.length(text) <= 80) & (letters >= 3) & (words >= 1)).cast("int")
     )
     return (
         F.when((F.length(text) == 0) | has_kana(text) | (letters == 0), False)
         .when((cjk > 0) & (letter_ratio < 0.85), False)
+        .when((letters >= 20) & (letter_ratio >= 0.6), True)
         .otherwise(score >= 2)
     )
 
@@ -181,8 +185,7 @@ def detect_language(c: Column | str) -> Column:
 
 def needs_translation(c: Column | str, target: str) -> Column:
     """True when the text is in a recognised language other than ``target``."""
-    lang = detect_language(c)
-    return as_col(c).isNotNull() & (lang != "other") & (lang != target)
+    return as_col(c).isNotNull() & ~detect_language(c).isin("other", target)
 
 
 def line_breaks(c: Column | str) -> Column:

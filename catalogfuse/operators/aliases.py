@@ -175,7 +175,7 @@ def redundant_aliases(aliases: DataFrame, languages: Sequence[str]) -> DataFrame
     same = F.lit(True)
     for lang in languages[1:]:
         same = same & (F.trim(F.col("canonical")[lang]) == first)
-    words = F.filter(F.transform("keywords", F.trim), lambda k: k != "")
+    words = F.filter(F.transform("keywords", lambda x: F.trim(x)), lambda k: k != "")
     return aliases.where(same & (F.size(words) == 1) & (F.element_at(F.concat(words, F.array(F.lit(""))), 1) == first))
 
 

@@ -43,7 +43,7 @@ def build_tags(
     for each other.
     """
     own = F.transform("tags", lambda t: replace_each(t, [(w, "") for w in options.drop_words]))
-    staged = df.withColumn("_own", distinct_in_order(F.transform(own, F.trim)))
+    staged = df.withColumn("_own", distinct_in_order(F.transform(own, lambda x: F.trim(x))))
     if aliases is not None:
         staged = canonicalize_list(staged, "_own", aliases, lang, keys, delete_marker=delete_marker)
 
@@ -74,7 +74,7 @@ def build_tags(
         one("maker", filled("maker", maker)),
         one("label", filled("label", label)),
     ]
-    tags = distinct_in_order(F.transform(F.concat(*parts), F.trim))
+    tags = distinct_in_order(F.transform(F.concat(*parts), lambda x: F.trim(x)))
     kept = [F.col(c) for c in df.columns if c != out]
     return staged.select(*kept, tags.alias(out))
 
