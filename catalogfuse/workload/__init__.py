@@ -1,2 +1,2 @@
-from catalogfuse.workload import joins, assets, rows, reports
+from catalogfuse.workload import linkage
 from catalogfuse.workload.registry import ORACLE, QUERIES
