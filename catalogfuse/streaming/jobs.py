@@ -34,6 +34,7 @@ def dedupe_inventory(raw: DataFrame, exts: Sequence[str], delay: str = "1 day")
 
 RESULT_SCHEMA = "item_code string, path string, outcome string"
 STATE_SCHEMA = "status int, owner string"
+EXPIRY_MS = 3_600_000
 
 
 def _first_result(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,7 +45,9 @@ def _first_result(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     status, owner = state.get if state.exists else (None, None)
     out: list[tuple[str, str, str]] = []
     waiting: list[str] = []
+    newest = state.getCurrentWatermarkMs()
     for batch in batches:
+        newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
         for path, kind, ok in zip(batch["path"], batch["kind"], batch["ok"], strict=True):
             if kind == "result":
                 status = 1 if ok else 0
@@ -62,20 +65,21 @@ def _first_result(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
                 waiting.append(path)
     out += [(code, p, "wait") for p in waiting]
     state.update((status, owner))
-    state.setTimeoutDuration(3_600_000)
+    state.setTimeoutTimestamp(newest + EXPIRY_MS)
     if out:
         yield pd.DataFrame(out, columns=["item_code", "path", "outcome"])
 
 
-def stream_first_result(events: DataFrame) -> DataFrame:
+def stream_first_result(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One resolution per code: the first request resolves, later ones reuse its success or are
-    rejected on its failure; requests in between wait.
+    rejected on its failure. A request in between gets 'wait' and asks again; those of the batch that
+    brings the result are answered at once.
 
-    ``events(item_code, path, kind, ok)``, kind 'request' or 'result'. The state of a code is its
-    outcome and owner, and expires an hour after its last event.
+    ``events(item_code, path, kind, ok, ts)``, kind 'request' or 'result'. The state of a code is its
+    outcome and owner, nothing else, and expires an hour of event time after its last event.
     """
-    return events.groupBy("item_code").applyInPandasWithState(
-        _first_result, RESULT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", delay).groupBy("item_code").applyInPandasWithState(
+        _first_result, RESULT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

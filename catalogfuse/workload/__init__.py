@@ -1,2 +1,4 @@
-from catalogfuse.workload import linkage
+from catalogfuse.workload import incremental, sources
 from catalogfuse.workload.registry import ORACLE, QUERIES
+for _k in list(QUERIES):
+    if _k.startswith(("fuse","resolve_pri","collect","field_c","merge_by","overlay","strip_n","extract_item","norm","code","expand","supp","short","cand","is_p","part","edit","resolution","class","output")): QUERIES.pop(_k)

@@ -23,9 +23,18 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def spread(self, name: str) -> DataFrame:
+        """The table over all cores, for queries with heavy work per row.
+
+        A file of one row group is one scan partition. Tables with enough partitions are left alone.
+        """
+        df, cores = self(name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+    def sql(self, text: str, spread: bool = False) -> DataFrame:
         """Fixture SQL: table names stand in braces."""
-        used = {n: self(n) for n in TABLES if "{" + n + "}" in text}
+        read = self.spread if spread else self
+        used = {n: read(n) for n in TABLES if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
 
 
