@@ -78,3 +78,14 @@ def literal_map(mapping: dict[str, object]) -> Column:
 def bound_rows(df, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit
+
+
+def sealed(df, *columns: Column, keep: Sequence[str]):
+    """The columns ``keep`` of ``df`` and the computed ``columns``, closed to filter pushdown.
+
+    A filter on a column that took several projections to compute (a join key's implied IS NOT NULL
+    is enough) is rewritten in terms of the inputs and pushed below them, which repeats every step
+    many times over. Filters do not pass a generator, so the columns leave through one that yields
+    exactly one row.
+    """
+    return df.select(*[F.col(c) for c in keep], F.inline(F.array(F.struct(*columns))))

@@ -19,6 +19,7 @@ from catalogfuse.functions.basics import (
     first_hit,
     literal_map,
     replace_each,
+    sealed,
     strip_chars,
 )
 
@@ -167,7 +168,8 @@ def extract_item_code(
         value = rule.value(name)
         cases.append((rule.condition(name), supplement_prefix(value, supplements) if rule.supplement else value))
     fallback = strip_chars(F.regexp_replace(F.col("_clean"), "[【(（\\[].+?[]）)】]", ""), "@. ")
-    return staged.withColumn(out, strip_chars(first_hit(cases, fallback), EDGE)).drop("_clean", "_dated", "_bare")
+    code = strip_chars(first_hit(cases, fallback), EDGE).alias(out)
+    return sealed(staged, code, keep=[c for c in df.columns if c != out])
 
 
 def short_code(c: Column | str) -> Column:

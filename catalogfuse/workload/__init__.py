@@ -1,4 +1,21 @@
-from catalogfuse.workload import incremental, sources
+"""Registered queries: one per operator, each over whole tables, with the same result in SQL."""
+
+from catalogfuse.workload import (  # noqa: F401
+    aliases,
+    assets,
+    fusion,
+    identifiers,
+    incremental,
+    joins,
+    linkage,
+    naming,
+    people,
+    reports,
+    rows,
+    sources,
+    texts,
+    urls,
+)
 from catalogfuse.workload.registry import ORACLE, QUERIES
-for _k in list(QUERIES):
-    if _k.startswith(("fuse","resolve_pri","collect","field_c","merge_by","overlay","strip_n","extract_item","norm","code","expand","supp","short","cand","is_p","part","edit","resolution","class","output")): QUERIES.pop(_k)
+
+__all__ = ["ORACLE", "QUERIES"]
