@@ -159,7 +159,8 @@ def dictionary_terms(
     text = as_col(text)
     folded = terms.groupBy(F.lower("term").alias("_t")).agg(F.min(F.struct("ord", "term")).alias("hit"))
     if mode == "word":
-        words = _tokens(text)
+        # The token list is a column of its own: lambdas read it once per n-gram.
+        words = F.col("_words")
         grams = F.flatten(
             F.transform(
                 F.sequence(F.lit(1), F.lit(max_words)),
@@ -172,7 +173,8 @@ def dictionary_terms(
                 ).otherwise(F.array().cast("array<string>")),
             )
         )
-        found = df.select(key, F.explode(F.array_distinct(grams)).alias("_t")).join(folded, "_t")
+        tokens = df.select(key, _tokens(text).alias("_words"))
+        found = tokens.select(key, F.explode(F.array_distinct(grams)).alias("_t")).join(folded, "_t")
         return found.select(key, F.col("hit.ord").alias("ord"), F.col("hit.term").alias("term"))
     if mode != "substring":
         raise ValueError(f"unknown mode {mode!r}")
@@ -183,19 +185,20 @@ def dictionary_terms(
         literal = F.array(
             *[F.struct(F.lit(r[0]).alias("t"), F.lit(r[1]).alias("ord"), F.lit(r[2]).alias("term")) for r in listed]
         )
-        low = F.lower(text)
-        hits = F.filter(literal, lambda s: low.contains(s["t"]))
-        return df.select(key, F.explode(hits).alias("s")).select(key, F.col("s.ord").alias("ord"), F.col("s.term").alias("term"))
+        hits = F.filter(literal, lambda s: F.col("_low").contains(s["t"]))
+        lowered = df.select(key, F.lower(text).alias("_low"))
+        return lowered.select(key, F.explode(hits).alias("s")).select(key, F.col("s.ord").alias("ord"), F.col("s.term").alias("term"))
     k = folded.agg(F.min(F.length("_t"))).first()[0]
-    low = F.lower(text)
+    lowered = df.select(key, F.lower(text).alias("_low"))
+    low = F.col("_low")
     grams = F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))
     blocked = folded.withColumn("_g", F.substring("_t", 1, k))
-    # First which grams occur at all, then the texts: the text travels only with real block hits.
+    # Grams travel without the text; the text joins in again only for texts with a block hit.
     hits = (
-        df.where(F.length(low) >= k)
+        lowered.where(F.length(low) >= k)
         .select(key, F.explode(F.array_distinct(grams)).alias("_g"))
         .join(blocked, "_g")
-        .join(df.select(key, low.alias("_low")), key)
+        .join(lowered, key)
         .where(F.col("_low").contains(F.col("_t")))
     )
     return hits.select(key, F.col("hit.ord").alias("ord"), F.col("hit.term").alias("term"))
