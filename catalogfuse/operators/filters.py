@@ -24,6 +24,12 @@ def min_size(inventory: DataFrame, mb: float, is_link: Column | None = None) ->
     return inventory.where(big if is_link is None else big | is_link)
 
 
+# The characters a text strip removes.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(cp) for cp in range(0x2000, 0x200B)
+)
+
+
 @dataclass(frozen=True)
 class LineFilter:
     """Conditions on a trimmed line; all given ones must hold."""
@@ -40,7 +46,7 @@ class LineFilter:
     only_empty: bool = False
 
     def condition(self, line: Column | str) -> Column:
-        text = F.regexp_replace(as_col(line), "(?U)^\\s+|\\s+$", "")
+        text = F.btrim(as_col(line), F.lit(WHITESPACE))
         low = F.lower(text)
         tests = []
         if self.glob is not None:
