@@ -93,9 +93,13 @@ def strip_noise(
     """Upper case, noise tokens out (longest first), separated quality words to '-', edges trimmed."""
     ordered = sorted({t.upper() for t in tokens if t}, key=lambda t: (-len(t), t))
     text = replace_each(F.upper(as_col(c)), [(t, repl) for t in ordered])
+    cut = text
     for word in quality_words:
-        text = F.regexp_replace(text, f"[-_ .\\[]{word}[-_ .\\]]", "-")
-    return strip_chars(F.replace(text, F.lit("--"), F.lit("-")), EDGE)
+        cut = F.regexp_replace(cut, f"[-_ .\\[]{word}[-_ .\\]]", "-")
+    if quality_words:
+        # Most names hold none of the words: one test spares them the chain.
+        cut = F.when(text.rlike(f"[-_ .\\[](?:{alternation(quality_words)})[-_ .\\]]"), cut).otherwise(text)
+    return strip_chars(F.replace(cut, F.lit("--"), F.lit("-")), EDGE)
 
 
 def normalize_digit_code(c: Column | str, vendor_prefixes: Sequence[str] = ()) -> Column:

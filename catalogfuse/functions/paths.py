@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.functions.basics import as_col, contains_any, first_hit, replace_each
+from catalogfuse.functions.basics import as_col, contains_any, first_hit, replace_each, sealed
 from catalogfuse.functions.codes import strip_noise
 
 
@@ -34,6 +34,7 @@ def ancestors(path: Column | str) -> Column:
 
 
 def part_number(
+    df: DataFrame,
     stem: Column | str,
     code: Column | str,
     tokens: Sequence[str] = (),
@@ -42,8 +43,9 @@ def part_number(
     letters: bool = True,
     letter_c: bool = False,
     middle_digit: bool = True,
-) -> Column:
-    """Disc / part index of a file, 0 for none.
+    out: str = "part",
+) -> DataFrame:
+    """Add the disc / part index of a file, 0 for none.
 
     Four patterns in order: ``cd12`` / ``part3`` / ``hd2``; a trailing number; a trailing letter a-o;
     a single digit between separators. ``separators`` are treated as '-'.
@@ -52,7 +54,8 @@ def part_number(
     name = F.trim(F.replace(name, F.lit("--"), F.lit("-")))
     name = replace_each(name, [(s, "-") for s in separators])
     name = F.concat(F.lower(name), F.lit("."))
-    name = F.regexp_replace(name, "(vol|case|no|cwp|cwpbd|act)[-.]?\\d+", "")
+    staged = df.withColumn("_name", F.regexp_replace(name, "(vol|case|no|cwp|cwpbd|act)[-.]?\\d+", ""))
+    name = F.col("_name")
 
     marked = F.regexp_extract(name, "[-_ .](cd|part|hd)([0-9]{1,2})", 2)
     tail_re, letter_re, middle_re = "-([0-9]{1,2})\\.?$", "(-|\\d{2,}|\\.)([a-o])\\.?$", "-([0-9])[^a-z0-9]"
@@ -71,7 +74,8 @@ def part_number(
         cases.append((letter != "", letter_value))
     if middle_digit:
         cases.append((middle != "", number(middle)))
-    return first_hit(cases, F.lit(0)).cast("int")
+    part = first_hit(cases, F.lit(0)).cast("int").alias(out)
+    return sealed(staged, part, keep=[c for c in df.columns if c != out])
 
 
 def part_suffix(part: Column | str, style: str = "-cd") -> Column:

@@ -16,7 +16,8 @@ def normalize_release(c: Column | str) -> Column:
     ymd = "(\\d{4})-(\\d{1,2})-(\\d{1,2})"
     parts = [F.regexp_extract(text, ymd, i) for i in (1, 2, 3)]
     iso = F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))
-    return F.when(text.rlike(ymd), F.date_format(F.try_to_date(iso, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    # Casting checks the calendar without a pattern parser; year 0 is no calendar year.
+    return F.when((parts[0] != "") & (parts[0] != "0000") & iso.try_cast("date").isNotNull(), iso)
 
 
 def normalize_year(year: Column | str, release: Column | str) -> Column:

@@ -116,11 +116,15 @@ def one_per_source(obs: DataFrame, order: Sequence[str], extra_keys: Sequence[st
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _with_values(ranked: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Valid values as columns ``_v_<field>``, computed once per row."""
+    return ranked.withColumns({f"_v_{f.name}": valid_value(f) for f in fields})
+
+
 def _winners(fields: Sequence[Field], with_id: bool) -> list[Column]:
     out = []
     for i, f in enumerate(fields):
-        value = valid_value(f)
-        rank = F.col("_ranks")[i]
+        value, rank = F.col(f"_v_{f.name}"), F.col("_ranks")[i]
         parts = [rank.alias("rank"), F.col("source").alias("source"), value.alias("value")]
         if with_id:
             parts.append(F.col("external_id").alias("external_id"))
@@ -151,7 +155,7 @@ def fuse_fields(
     if order:
         ranked = one_per_source(ranked, order, ["language"] if "language" in obs.columns else [])
     types = [F.min("item_type").alias("item_type")] if "item_type" in obs.columns else []
-    fused = ranked.groupBy(KEY).agg(*types, *_winners(fields, with_id))
+    fused = _with_values(ranked, fields).groupBy(KEY).agg(*types, *_winners(fields, with_id))
     return fused.select(KEY, *(["item_type"] if types else []), *_fused_columns(fields, with_id))
 
 
@@ -175,10 +179,10 @@ def _collected(obs, priority, fields, order, payload: Sequence[str], try_all: Se
     ``one_per_source`` runs first, so a group holds at most as many entries as there are ranked
     sources: the list is bounded by the priority table, not by the data.
     """
-    ranked = one_per_source(_with_ranks(obs, priority, fields), order)
+    ranked = _with_values(one_per_source(_with_ranks(obs, priority, fields), order), fields)
     state = F.array(
         *[
-            F.when(valid_value(f).isNotNull(), "valid").when(present(f), "invalid").otherwise("missing")
+            F.when(F.col(f"_v_{f.name}").isNotNull(), "valid").when(present(f), "invalid").otherwise("missing")
             for f in fields
         ]
     )
@@ -186,7 +190,7 @@ def _collected(obs, priority, fields, order, payload: Sequence[str], try_all: Se
     wins = [
         F.lit(None).cast("int")
         if f.name in try_all
-        else F.min(F.when(valid_value(f).isNotNull(), F.col("_ranks")[i]))
+        else F.min(F.when(F.col(f"_v_{f.name}").isNotNull(), F.col("_ranks")[i]))
         for i, f in enumerate(fields)
     ]
     return ranked.groupBy(KEY).agg(F.array(*wins).alias("_wins"), F.collect_list(entry).alias("_entries"))

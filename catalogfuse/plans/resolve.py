@@ -39,11 +39,11 @@ def inventory_facts(inventory: DataFrame, options: LibraryOptions) -> DataFrame:
     """Everything a path tells about its file. A projection: no shuffle."""
     rows = codes.extract_item_code(inventory, tokens=options.noise, rules=options.code_rules)
     stem = codes.file_stem("path")
+    rows = paths.part_number(rows, stem, "item_code", options.noise)
     return rows.withColumns(
         {
             "short_code": codes.short_code("item_code"),
             "letters": codes.code_prefix("item_code"),
-            "part": paths.part_number(stem, "item_code", options.noise),
             "edition": paths.edition_from_path("path", options.editions),
             "definition": paths.resolution_bucket(paths.height_from_path("path", "item_code", options.noise)),
             "filename": stem,

@@ -259,7 +259,7 @@ def _part_sql() -> str:
       SELECT p_partkey, CASE WHEN a > 0 THEN a WHEN b <> '' THEN CAST(b AS INT) WHEN c <> '' THEN CASE WHEN c = 'c' THEN 0 ELSE ascii(c) - 96 END WHEN d <> '' THEN CAST(d AS INT) ELSE 0 END AS part FROM e""",
 )
 def part_number(t: Tables):
-    return coded(t).select("p_partkey", P.part_number(C.file_stem("path"), "item_code", TOKENS).alias("part"))
+    return P.part_number(coded(t), C.file_stem("path"), "item_code", TOKENS).select("p_partkey", "part")
 
 
 EDITIONS = P.EditionWords(uncut=("-uncut",), regional=("brand13/",), cut=("brand1/",))

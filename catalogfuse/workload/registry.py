@@ -10,6 +10,7 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
+WIDE_WORK = ("documents", "pages", "part")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -21,20 +22,23 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The table, over all cores when it is one that queries do heavy work per row on.
 
-    def spread(self, name: str) -> DataFrame:
-        """The table over all cores, for queries with heavy work per row.
-
-        A file of one row group is one scan partition. Tables with enough partitions are left alone.
+        A file of one row group is one scan partition however many cores there are. Tables with
+        enough partitions are left alone, so this costs nothing on real data.
         """
-        df, cores = self(name), self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        return self.read(name, name in WIDE_WORK)
+
+    def read(self, name: str, spread: bool) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if not spread or df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores)
 
     def sql(self, text: str, spread: bool = False) -> DataFrame:
-        """Fixture SQL: table names stand in braces."""
-        read = self.spread if spread else self
-        used = {n: read(n) for n in TABLES if "{" + n + "}" in text}
+        """Fixture SQL: table names stand in braces. ``spread`` is for heavy work per line."""
+        used = {n: self.read(n, spread or n in WIDE_WORK) for n in TABLES if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
 
 

@@ -143,7 +143,7 @@ def extract_fields(t: Tables):
 def extract_tag_fields(t: Tables):
     """Tag-path rules: a parser walks each page in a Python worker."""
     rules = (html.Rule("heading", "h1", "tag"), html.Rule("links", "a@href", "tag", many=True), html.Rule("lang", '<html lang="([a-z]+)"'))
-    out = html.extract_fields(t.spread("pages"), rules)
+    out = html.extract_fields(t("pages"), rules)
     return out.select("page_id", "heading", "lang", F.array_join("links", " ").alias("links"))
 
 
@@ -152,7 +152,7 @@ def user_rule_values(t: Tables):
     """User rules as a table function: one (field, value) row per hit."""
     values = html.page_values()
     rules = F.lit("heading\ttag\th1\nlink\ttag\ta@href")
-    return t.spread("pages").select("page_id", "html").lateralJoin(values(F.col("html").outer(), rules)).groupBy("page_id", "field").agg(
+    return t("pages").select("page_id", "html").lateralJoin(values(F.col("html").outer(), rules)).groupBy("page_id", "field").agg(
         F.count("value").alias("n")
     )
 
@@ -162,7 +162,7 @@ def user_rule_values(t: Tables):
     "SELECT c.c_name AS name, s.s_name AS alias, c.c_acctbal AS info FROM customer c JOIN supplier s ON s.s_suppkey = c.c_custkey",
 )
 def people_db(t: Tables):
-    names, info = load_people_db(t.spread("supplier").sparkSession, f"{t.folder}/supplier.parquet", f"{t.folder}/customer.parquet")
+    names, info = load_people_db(t.spark, f"{t.folder}/supplier.parquet", f"{t.folder}/customer.parquet")
     return info.join(names, info.c_custkey == names.s_suppkey).select(
         F.col("c_name").alias("name"), F.col("s_name").alias("alias"), F.col("c_acctbal").alias("info")
     )
