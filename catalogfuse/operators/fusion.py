@@ -332,10 +332,11 @@ def merge_by_category(
     """
     rank_of = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, i)])
     base = obs.withColumn("_cat", rank_of[F.col("category")]).where(F.col("_cat").isNotNull())
+    base = _with_values(base, fields)
     streaming = F.col("category").isin(*stream_only) if stream_only else F.lit(False)
     aggs = []
     for f in fields:
-        value = valid_value(f)
+        value = F.col(f"_v_{f.name}")
         use = value.isNotNull() & (~streaming if f.name in dates else F.lit(True))
         aggs.append(F.max_by(value, F.when(use, F.struct("_cat", seq))).alias(f.name))
         if f.name in dates and stream_only:
