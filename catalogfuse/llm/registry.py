@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogfuse.llm import exact_dedup, mixing, sharding  # noqa: F401
+from catalogfuse.llm import exact_dedup, mixing, sharding, toxicity  # noqa: F401
 from catalogfuse.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
