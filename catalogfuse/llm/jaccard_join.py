@@ -177,8 +177,8 @@ def jaccard_join(
     documents link when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id that links lead to.
 
     Equal sets are one class from the start. The signatures tie the classes into candidate clusters; a cluster's sets
-    are compared in one task, a cluster of more than ``block`` classes in blocks of about that many, each block with each
-    other whose sizes it can match, so no task holds more than two blocks and no pair is left out.
+    are compared in one task, a cluster of more than ``block`` classes in blocks of about half as many, each block with
+    each other, so no task holds more than two blocks and no pair is left out.
 
     A null, empty or blank text has no shingles (0) and links with nothing, not even its like. Rows without doc_id
     link with nothing and get a null component. Rows that repeat a doc_id count as one document with the texts of all of
@@ -203,7 +203,7 @@ def jaccard_join(
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     small = F.col("members") <= block
     cluster = clusters.join(sizes, "component").join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
-    # Small clusters share tasks; a large one is cut by size, since only sets of near sizes can link.
+    # Small clusters share tasks; a large one is dealt to blocks, of which each meets each other in a task of its own.
     cells = F.ceil(F.col("members") / block)
     big = cluster.where(~small).withColumn("own", F.pmod(F.xxhash64("node"), 2 * cells))
     pairs_of = F.transform(F.sequence(F.lit(0), (2 * cells - 1).cast("int")), lambda i: F.struct(F.least(F.col("own"), i).alias("x"), F.greatest(F.col("own"), i).alias("y")))
@@ -214,12 +214,9 @@ def jaccard_join(
     )
     whole = texts(docs).where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
     links = whole.groupBy("cell").applyInPandas(_verify(words, percent), "a bigint, b bigint")
-    # Documents of a class link to its least, so do repeated rows of a doc_id by having the same node.
     joined = components(links, tables)
-    class_of = held.join(classes, ["d1", "d2", "n"]).select(F.col("doc_id"), "rep")
-    lead = class_of.join(joined, class_of["rep"] == joined["node"], "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("component", "rep")).alias("component_id")
-    )
+    led = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
+    lead = held.select("doc_id", "d1", "d2", "n").join(led, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return sketch.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -231,11 +228,11 @@ def jaccard_join(
                                         '[^\x20\x09-\x0D]+') AS ws FROM documents),
     s AS (
       SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
     n AS (SELECT doc_id, len(sh) AS n FROM s),
     t AS MATERIALIZED (SELECT doc_id, md5_number_lower(unnest(sh)) AS h FROM s),
-    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-    links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM t a JOIN t b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
     walk AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT walk.node, links.b FROM walk JOIN links ON links.a = walk.seen)
     SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id FROM n JOIN walk ON walk.node = n.doc_id GROUP BY n.doc_id, n.n
     """,
