@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogfuse.llm import exact_dedup, jaccard_join, mixing, sharding, suffix_dedup, toxicity  # noqa: F401
+from catalogfuse.llm import decontaminate, exact_dedup, jaccard_join, mixing, packing, pii, sharding, suffix_dedup, toxicity  # noqa: F401
 from catalogfuse.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
