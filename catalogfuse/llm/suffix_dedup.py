@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from catalogfuse.llm.common import parts, query, table, texts
 from catalogfuse.llm.hashing import U, mix, slices, text_bytes
 
-GRAM = 16
+GRAM = 24  # a longer first digit makes more records, but fewer that agree in it by chance
+BODY = 6  # bytes of a run's hash that travel beside its digit
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BYTES = mix(np.arange(256, dtype=U) + U(0x1234567))
 
@@ -163,6 +164,16 @@ def _low(digits: np.ndarray) -> bytes:
     return digits.astype(np.uint32).tobytes()
 
 
+def _short(bodies: np.ndarray) -> bytes:
+    return np.ascontiguousarray(bodies.view(np.uint8).reshape(-1, 8)[:, :BODY]).tobytes()
+
+
+def _long(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // BODY, 8), np.uint8)
+    out[:, :BODY] = np.frombuffer(short, np.uint8).reshape(-1, BODY)
+    return out.view(U).ravel()
+
+
 def _planes(ids: np.ndarray) -> bytes:
     """Ids byte by byte, all first bytes first: the empty high bytes then compress away in the shuffle."""
     return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -177,7 +188,7 @@ def _rows(block: int, kind: int, buckets: int, digits: np.ndarray, bodies: np.nd
     out = []
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if b > a:
-            out.append((i, block, kind, _low(digits[a:b]) if bodies is not None else b"", (bodies if bodies is not None else digits)[a:b].tobytes(), _planes(least[a:b])))
+            out.append((i, block, kind, _low(digits[a:b]) if bodies is not None else b"", _short(bodies[a:b]) if bodies is not None else digits[a:b].tobytes(), _planes(least[a:b])))
     return out
 
 
@@ -206,7 +217,7 @@ def _judge(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     if not rows:
         return _table(passed, BACK, _BACK_KINDS)
     least = np.concatenate([_ids(r["least"]) for r in rows])
-    bodies = np.concatenate([np.frombuffer(r["bodies"], U) for r in rows])
+    bodies = np.concatenate([_long(r["bodies"]) if r["kind"] == 0 else np.frombuffer(r["bodies"], U) for r in rows])
     digits = np.concatenate([np.frombuffer(r["digits"], np.uint32) for r in rows]) if rows[0]["kind"] == 0 else bodies
     order = np.lexsort((least, bodies, digits))
     g, c, d = digits[order], bodies[order], least[order]
@@ -222,7 +233,7 @@ def _judge(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     wide[order] = (np.bincount(group, weights=new) > 1)[group]
     out, at = passed, 0
     for r in rows:
-        n = len(r["bodies"]) // 8
+        n = len(r["least"]) // 8
         out.append((r["block"], key[0].as_py(), r["kind"], np.packbits(earlier[at : at + n]).tobytes(), np.packbits(wide[at : at + n]).tobytes()))
         at += n
     return _table(out, BACK, _BACK_KINDS)
