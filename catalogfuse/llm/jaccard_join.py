@@ -220,6 +220,13 @@ def jaccard_join(
     return sketch.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Of each group of documents that links join, the one with the smallest doc_id. Rows without doc_id stay."""
+    found = jaccard_join(docs, **options)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 @query(
     "op6_jaccard_join",
     r"""

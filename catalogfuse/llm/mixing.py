@@ -76,10 +76,14 @@ def _trade(seed: int, level: int):
     return step
 
 
+def _row_hash(seed: int) -> Column:
+    return F.xxhash64("doc_id", "source", "text", F.lit(seed))
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 9, tables: str = "mix"
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
+    """One row per document: doc_id, size, source_size, target, taken, copies, h (a hash of the row).
 
     ``taken`` is ``copies`` times ``size``; a source's sum of it is its target to within its largest document, and
     no document is taken more than ``cap`` times. Reruns agree: every choice is a hash of ids and the seed.
@@ -90,8 +94,7 @@ def mix_sources(
     """
     sized = written(
         docs.select(
-            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("h"),
+            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), _row_hash(seed).alias("h"),
         ),
         tables,
     )
@@ -104,7 +107,7 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     known = known.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    out = ["doc_id", "size", "source_size", "target", "whole"]
+    out = ["h", "doc_id", "size", "source_size", "target", "whole"]
     sure = known.where((F.col("size") == 0) | (F.col("p") < 1e-9)).select(*out, F.lit(0.0).alias("up"))
     level_rows = known.where((F.col("size") > 0) & (F.col("p") >= 1e-9))
     constant = ["source", "source_size", "target", "whole"]
@@ -120,19 +123,27 @@ def mix_sources(
             tables,
         )
         done = traded.select(*constant, F.explode("s.done").alias("d"))
-        results.append(done.select("d.doc_id", "d.size", "source_size", "target", "whole", F.col("d.p").alias("up")))
+        results.append(done.select("d.h", "d.doc_id", "d.size", "source_size", "target", "whole", F.col("d.p").alias("up")))
         pending = traded.select(*constant, F.floor(F.col("block") / STEP).alias("block"), F.col("s.rest").alias("item"))
     # One undecided document per source is left. It goes to the nearer side, which leaves the sum nearest the target.
     results.append(
         pending.select(
-            "item.doc_id", "item.size", "source_size", "target", "whole", F.when(F.col("item.p") >= 0.5, 1.0).otherwise(0.0).alias("up")
+            "item.h", "item.doc_id", "item.size", "source_size", "target", "whole", F.when(F.col("item.p") >= 0.5, 1.0).otherwise(0.0).alias("up")
         )
     )
     every = results[0]
     for more in results[1:]:
         every = every.unionByName(more)
     copies = (F.col("whole") + F.col("up")).cast("bigint")
-    return every.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return every.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "h")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 9, **options) -> DataFrame:
+    """The documents of the mix: each as many times as it is taken. Equal rows are one with the copies of all."""
+    copies = mix_sources(docs, seed=seed, **options).groupBy("h").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.select(_row_hash(seed).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = rows.dropDuplicates(["h"]).join(copies, "h")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select("row.*")
 
 
 @query("op9_mixing")
