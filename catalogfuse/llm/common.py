@@ -58,6 +58,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SIEVE = 1 << 20
+
+
+def sifted(df: DataFrame, column: str, keys: DataFrame, outside: bool = False) -> DataFrame:
+    """The rows of ``df`` that may have a key of ``keys`` (same column name), before any shuffle; ``outside``: all others.
+
+    What is broadcast is a set of hashed keys, SIEVE rows at most however many keys there are. Rows with another key of
+    the same bucket pass as well: a join has to follow.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(SIEVE))
+    held = F.broadcast(keys.select(bucket.alias("_sieve")).distinct())
+    return df.withColumn("_sieve", bucket).join(held, "_sieve", "left_anti" if outside else "left_semi").drop("_sieve")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

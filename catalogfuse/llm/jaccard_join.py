@@ -22,11 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import parts, query, table, texts, written
+from catalogfuse.llm.common import parts, query, sifted, table, texts, written
 from catalogfuse.llm.components import components
-from catalogfuse.llm.hashing import U, list_column, lists, mix, shingle_sets, slices, text_bytes
+from catalogfuse.llm.hashing import U, list_column, mix, shingle_sets, slices, text_bytes
 
 PART_SIZE = 4  # frequent tokens in a part of the prefix, about
 
@@ -48,6 +49,27 @@ def _parts_of(level: int, percent: int) -> int:
     return max(1, int(size * (100 - percent) / 100 / PART_SIZE))
 
 
+TOKEN = 5  # bytes of a token that travel: they name it in signatures; the order is that of all 8
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes()
+
+
+def _tokens(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // TOKEN, 8), np.uint8)
+    out[:, :TOKEN] = np.frombuffer(short, np.uint8).reshape(-1, TOKEN)
+    return out.view(U).ravel()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_tokens(x) for x in batch.column("first").to_pylist()]
+        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
+        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids)], names=["token", "doc_id"])
+
+
 def _sketch(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,22 +83,23 @@ def _sketch(words: int, percent: int):
                 for s in sets:
                     n = len(s)
                     most = _parts_of(_levels(n, percent)[1], percent) if n else 0
-                    first.append(s[: _allowed(n, percent) + 1 + most])
+                    first.append(_short(s[: _allowed(n, percent) + 1 + most]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(first, pa.int64())],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.binary())],
                     names=["doc_id", "n", "d1", "d2", "first"],
                 )
 
     return run
 
 
-def signatures(first: np.ndarray, common: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """The signatures of one set: ``first`` its least tokens in order, ``common`` those of the frequent class."""
+def signatures(first: np.ndarray, common: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, of single tokens and of combinations: ``first`` its least tokens in order, ``common``
+    those of the frequent class."""
     need = _allowed(n, percent) + 1
     if len(common) == 0:
-        return first[:need]
-    often = np.isin(first, common, assume_unique=True)
-    out = []
+        return np.unique(first[:need]), np.zeros(0, U)
+    often = np.isin(first, common)
+    rare, pairs = [], []
     for level in _levels(n, percent):
         count = _parts_of(level, percent)
         part = np.where(often, (mix(first) % U(count)).astype(np.int64), -1)
@@ -85,30 +108,34 @@ def signatures(first: np.ndarray, common: np.ndarray, n: int, percent: int) -> n
         fresh[np.unique(part, return_index=True)[1]] = True
         credit = np.cumsum(~(fresh & often))
         end = int(np.searchsorted(credit, need)) + 1
-        out.append(first[:end][~often[:end]])
+        rare.append(first[:end][~often[:end]])
         tokens, of = first[:end][often[:end]], part[:end][often[:end]]
         order = np.argsort(of, kind="stable")
         tokens, of = tokens[order], of[order]
         size = int(np.bincount(of).max()) if len(of) else 0
         for step in range(1, size):  # pairs inside a part: tokens that stand ``step`` apart
             same = of[step:] == of[:-step]
-            out.append(mix(mix(tokens[:-step][same]) * U(31) + tokens[step:][same]) + U(level))
-    return np.unique(np.concatenate(out))
+            pairs.append(mix(mix(tokens[:-step][same]) * U(31) + tokens[step:][same]) + U(level))
+    return np.unique(np.concatenate(rare)), np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U)
+
 
+def _sign(percent: int, salts: int):
+    """(sig, salt, doc_id). A single token has few sets, a combination may have many: those are dealt to ``salts`` parts."""
 
-def _sign(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, cut = list_column(batch.column("first"))
-            common, common_cut = list_column(batch.column("common"))
-            sizes = batch.column("n").to_pylist()
-            found = [
-                signatures(first[cut[i] : cut[i + 1]], common[common_cut[i] : common_cut[i + 1]], n, percent) for i, n in enumerate(sizes)
-            ]
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            for at in range(0, len(flat), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 20)]), pa.array(ids[at : at + (1 << 20)])], names=["sig", "doc_id"])
+            common, cut = list_column(batch.column("common"))
+            sizes, firsts, owners = batch.column("n").to_pylist(), batch.column("first").to_pylist(), batch.column("doc_id").to_pylist()
+            for at in range(0, len(sizes), 2000):
+                rows = range(at, min(at + 2000, len(sizes)))
+                found = [signatures(_tokens(firsts[i]), common[cut[i] : cut[i + 1]], sizes[i], percent) for i in rows]
+                flat = [x for pair in found for x in pair]
+                lengths = [len(x) for x in flat]
+                ids = np.repeat(np.repeat(np.array([owners[i] for i in rows], np.int64), 2), lengths)
+                salt = (mix(ids.view(U)) % U(salts)).astype(np.int32)
+                salt[np.repeat(np.tile([True, False], len(found)), lengths)] = -1
+                sigs = np.concatenate(flat).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(salt), pa.array(ids)], names=["sig", "salt", "doc_id"])
 
     return run
 
@@ -185,24 +212,31 @@ def jaccard_join(
     them: each row keeps its size, all share a component. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, first array<bigint>"
-    sketch = written(texts(docs).mapInArrow(_sketch(words, percent), kind), tables)
+    whole = texts(docs)
+    kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, first binary"
+    sketch = written(whole.mapInArrow(_sketch(words, percent), kind), tables)
     held = sketch.where("n > 0 and doc_id is not null")
-    classes = held.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     # A class is known by the least doc_id that has its set; documents follow by the digest.
-    reps = held.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = reps.select("doc_id", "n", "first")
-    tokens = reps.select("doc_id", F.explode("first").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent).select("token")
-    common = tokens.join(often, "token").groupBy("doc_id").agg(F.collect_set("token").alias("common"))
-    signed = reps.join(common, "doc_id", "left").mapInArrow(_sign(percent), "sig bigint, doc_id bigint")
-    hubs = signed.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig", "hub")
-    ties = signed.join(hubs, "sig").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    clusters = components(ties, tables)
+    reps = written(held.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first")), tables)
+    tokens = reps.select("doc_id", "first").mapInArrow(_explode, "token bigint, doc_id bigint")
+    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent).select("token"), tables)
+    common = written(sifted(tokens, "token", often).join(often, "token").groupBy("doc_id").agg(F.collect_set("token").alias("common")), tables)
+    # Sets without a frequent token need no join: most are signed where they are.
+    plain = sifted(reps, "doc_id", common, outside=True).select("doc_id", "n", "first", F.array().cast("array<bigint>").alias("common"))
+    mixed = sifted(reps.select("doc_id", "n", "first"), "doc_id", common).join(common, "doc_id", "left")
+    signed = plain.unionByName(mixed).mapInArrow(_sign(percent, 4 * parts(spark)), "sig bigint, salt int, doc_id bigint")
+    # Ties lead from a signature's sets to the least of them, in two steps where a signature is salted.
+    led = signed.withColumn("hub", F.min("doc_id").over(W.partitionBy("sig", "salt"))).where("doc_id <> hub or salt >= 0")
+    led = written(led.groupBy("hub", "doc_id").agg(F.collect_set(F.when(F.col("hub") == F.col("doc_id"), F.col("sig"))).alias("led")), tables)
+    hubs = led.where("hub = doc_id").select("doc_id", F.explode("led").alias("sig"))
+    least = hubs.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    upper = hubs.join(least, "sig").where("hub <> doc_id")
+    ties = led.select("hub", "doc_id").where("hub <> doc_id").unionByName(upper.select("hub", "doc_id"))
+    clusters = components(ties.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), tables)
 
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     small = F.col("members") <= block
-    cluster = clusters.join(sizes, "component").join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
+    cluster = clusters.join(sizes, "component")
     # Small clusters share tasks; a large one is dealt to blocks, of which each meets each other in a task of its own.
     cells = F.ceil(F.col("members") / block)
     big = cluster.where(~small).withColumn("own", F.pmod(F.xxhash64("node"), 2 * cells))
@@ -212,11 +246,13 @@ def jaccard_join(
         big.select("node", F.col("component").alias("cluster"), F.explode(pairs_of).alias("pair"))
         .select("node", "cluster", F.xxhash64("cluster", "pair").alias("cell"))
     )
-    whole = texts(docs).where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id"), "doc_id")
-    links = whole.groupBy("cell").applyInPandas(_verify(words, percent), "a bigint, b bigint")
+    placed = written(placed.withColumnRenamed("node", "doc_id"), tables)
+    met = sifted(whole.where("doc_id is not null"), "doc_id", placed).join(placed, "doc_id")
+    links = met.groupBy("cell").applyInPandas(_verify(words, percent), "a bigint, b bigint")
     joined = components(links, tables)
-    led = classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    lead = held.select("doc_id", "d1", "d2", "n").join(led, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    classes = reps.select("d1", "d2", "n", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left")
+    classes = classes.select("d1", "d2", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    lead = held.select("doc_id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return sketch.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
