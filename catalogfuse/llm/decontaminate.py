@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import query, table, texts
+from catalogfuse.llm.common import query, sifted, table, texts, written
 
 # Words that name a unit.
 UNITS = (
@@ -21,7 +21,6 @@ UNITS = (
     "degree", "degrees",
 )
 BROADCAST_WINDOWS = 200_000  # windows of the benchmark up to which they go to the documents; beyond, both are shuffled
-SIEVE = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -53,7 +52,7 @@ def windows(tokens_: Column, lengths: list[int]) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, least: int = 13
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, least: int = 13, tables: str = "contaminated"
 ) -> DataFrame:
     """Rows for what was found only: doc_id, item_id, matched_tokens, item_tokens, slots, same_slots (those with equal values).
 
@@ -77,10 +76,9 @@ def contaminated(
     searched = texts(docs).where("doc_id is not null")
     met = searched.select("doc_id", F.inline(windows(tokens(F.col("text")), lengths))).join(side, "h")
     lines = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.sort_array(F.collect_set("item_at")).alias("ats"))
-    # The tokens of the documents that were met; others leave by a table of hashed ids, at most SIEVE rows, before the shuffle.
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("_s")
-    sieve = lines.select(bucket).distinct()
-    held = searched.withColumn("_s", bucket).join(F.broadcast(sieve), "_s", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc"))
+    lines = written(lines, tables)
+    # The tokens of the documents that were met.
+    held = sifted(searched, "doc_id", lines).select("doc_id", tokens(F.col("text")).alias("doc"))
     placed = lines.join(held, "doc_id").join(items.select("item_id", "item", "length"), "item_id")
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("length") - 1))))
     values = F.filter(

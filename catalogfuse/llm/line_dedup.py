@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import SPACE, query, table, texts, written
-
-SIEVE = 1 << 20
+from catalogfuse.llm.common import SPACE, query, sifted, table, texts, written
 
 
 def segments(length: Column, number: int, pieces: int) -> tuple[Column, Column]:
@@ -134,11 +132,9 @@ def line_dedup(docs: DataFrame, edits: int = 1, least: int = 16, tables: str = "
     met = index.join(probe, (index["key"] == probe["key"]) & may)
     pairs = written(met.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later")).distinct(), tables)
 
-    # The texts of the lines that met, from their documents; others leave by a table of hashed ids, at most SIEVE rows.
+    # The texts of the lines that met, from their documents.
     places = pairs.select(F.explode(F.array("earlier", "later")).alias("first")).distinct()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("_s")
-    sieve = places.select(F.col("first.doc_id").alias("doc_id")).select(bucket).distinct()
-    near = whole.where("doc_id is not null").withColumn("_s", bucket).join(F.broadcast(sieve), "_s", "left_semi")
+    near = sifted(whole.where("doc_id is not null"), "doc_id", places.select("first.doc_id"))
     place = F.posexplode("lines").alias("at", "line")
     held = near.select("doc_id", place).select(F.struct("doc_id", "at").alias("first"), "line").where(F.length("line") >= least)
     held = written(held.join(places, "first", "left_semi"), tables)
