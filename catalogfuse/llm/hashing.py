@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _SPACES = np.zeros(256, dtype=bool)
@@ -27,7 +28,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 4 << 20)
 
     The arrays that are derived from a piece take up to some 40 bytes per byte of text.
     """
-    lengths = np.frombuffer(pa.compute.binary_length(batch.column(text).fill_null("")).cast(pa.int64()).buffers()[1], dtype=np.int64)[: batch.num_rows]
+    lengths = np.frombuffer(pc.binary_length(batch.column(text).fill_null("")).cast(pa.int64()).buffers()[1], dtype=np.int64)[: batch.num_rows]
     start, size = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if size and size + n > max_bytes:
@@ -113,6 +114,6 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def list_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column of bigint as hashes, and the borders of its rows. Null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(U)
     return flat, np.concatenate(([0], np.cumsum(lengths)))

@@ -97,14 +97,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int):
 class Block:
     """A block's documents and the records they make. The order of the records depends on their hashes alone."""
 
-    def __init__(self, docs: pa.Table, length: int) -> None:
+    def __init__(self, docs: pa.Table, length: int, keep: bool = True) -> None:
+        """``keep``: the hashes of all windows, 8 bytes a byte, stay for ``window_hashes``."""
         self.ids, self.data, parts_ = [], [], []
         for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
-            for piece in slices(batch, max_bytes=2 << 20):
+            for piece in slices(batch, max_bytes=1 << 20):
                 data, offsets = text_bytes(piece.column("text"))
                 owner, first, count, digit, body, windows = runs(data, offsets, length)
                 parts_.append((owner + len(self.ids), first - offsets[owner], count, digit, body))
-                self.data.append((data, offsets, len(self.ids), windows))
+                self.data.append((data, offsets, len(self.ids), windows if keep else None))
                 self.ids += piece.column("doc_id").to_pylist()
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
         joined = [np.concatenate(x) for x in zip(*(parts_ or [none]), strict=True)]
@@ -203,7 +204,7 @@ _BACK_KINDS = [pa.int32()] * 3 + [pa.binary()] * 2
 
 def _send(length: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        block = Block(docs, length)
+        block = Block(docs, length, keep=False)
         return _table(_rows(key[0].as_py(), 0, buckets, block.digits, block.bodies, block.least), SENT, _SENT_KINDS)
 
     return run
@@ -326,12 +327,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, blocks: int | None = None) -
     lose nothing and cost nobody anything. Rows that repeat a doc_id are no smaller than each other: both keep what they
     share. An empty table gives an empty result.
 
-    ``length`` is from 17 to 64. ``blocks`` (twice the shuffle partitions unless given) bounds the text that a task holds.
+    ``length`` is from 25 to 64. ``blocks`` (three times the shuffle partitions unless given) bounds the text that a task holds.
     """
     if not GRAM < length <= 64:
         raise ValueError(f"length must be from {GRAM + 1} to 64")
     buckets = parts(docs.sparkSession)
-    blocks = blocks or 2 * buckets
+    blocks = blocks or 3 * buckets
     whole = texts(docs)
     dealt = whole.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     by_block = dealt.groupBy("block")
