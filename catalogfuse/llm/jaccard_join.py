@@ -1,14 +1,14 @@
 """Similarity join of documents on word shingles, by token-combination prefixes.
 
 Two sets whose Jaccard similarity reaches the threshold differ in few tokens. So among the first tokens of each, in
-one order for all, they share enough of them: a token of the rare class alone, or two tokens of the same part of the
-frequent class. Those are the signatures that are indexed. The frequent class consists of the tokens that more than
-``frequent`` sets have among their first tokens; it is cut into parts by hash, so that a document's combinations stay
-in proportion to its length, and each part that is met lengthens the prefix by one token.
+one order for all, they share enough of them: a token of the rare class alone, or ``COMBINE`` tokens of the same part
+of the frequent class. Those are the signatures that are indexed. The frequent class consists of the tokens that more
+than ``frequent`` sets have among their first tokens; it is cut into parts by hash, so that a document's combinations
+stay in proportion to its length, and each part that is met lengthens the prefix.
 
 Why it is complete: let the prefix of a set be its least tokens up to the point where
 
-    rare tokens + sum over the parts of (tokens of the part - 1)  >  n - ceil(threshold * n)
+    rare tokens + sum over the parts of max(0, tokens of the part - (COMBINE - 1))  >  n - ceil(threshold * n)
 
 If two sets share no signature, then of the prefix that ends first the other lacks that many tokens, so the overlap
 is below threshold * n. This holds for any order and any classes, as long as all sets use the same.
@@ -17,6 +17,8 @@ is below threshold * n. This holds for any order and any classes, as long as all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,8 @@ from catalogfuse.llm.common import parts, query, sifted, table, texts, written
 from catalogfuse.llm.components import components
 from catalogfuse.llm.hashing import U, list_column, mix, shingle_sets, slices, text_bytes
 
-PART_SIZE = 4  # frequent tokens in a part of the prefix, about
+COMBINE = 4  # frequent tokens in a signature: passages that documents share seldom have so many in one part
+PART = 5  # what a part adds to the count above, about, where all tokens are frequent
 
 
 def _allowed(n: int, percent: int) -> int:
@@ -46,19 +49,20 @@ def _levels(n: int, percent: int) -> tuple[int, int]:
 def _parts_of(level: int, percent: int) -> int:
     """Parts of the frequent class for sets of a size class, the same for all its sets."""
     size = (100 / percent) ** level
-    return max(1, int(size * (100 - percent) / 100 / PART_SIZE))
+    return max(1, int(size * (100 - percent) / 100 / PART))
 
 
 TOKEN = 5  # bytes of a token that travel: they name it in signatures; the order is that of all 8
+BRIEF = 3  # and those in which two sets' least tokens are compared before the sets themselves
 
 
-def _short(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes()
+def _short(tokens: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - size :]).tobytes()
 
 
-def _tokens(short: bytes) -> np.ndarray:
-    out = np.zeros((len(short) // TOKEN, 8), np.uint8)
-    out[:, :TOKEN] = np.frombuffer(short, np.uint8).reshape(-1, TOKEN)
+def _tokens(short: bytes, size: int = TOKEN) -> np.ndarray:
+    out = np.zeros((len(short) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(short, np.uint8).reshape(-1, size)
     return out.view(U).ravel()
 
 
@@ -79,19 +83,26 @@ def _sketch(words: int, percent: int):
                 # Two independent sums over the tokens tell sets apart.
                 d1 = [int(np.sum(mix(s)).view(np.int64)) if len(s) else 0 for s in sets]
                 d2 = [int(np.sum(mix(s ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0 for s in sets]
-                first = []
+                first, brief = [], []
                 for s in sets:
                     n = len(s)
                     most = _parts_of(_levels(n, percent)[1], percent) if n else 0
-                    first.append(_short(s[: _allowed(n, percent) + 1 + most]))
+                    first.append(_short(s[: _allowed(n, percent) + 1 + (COMBINE - 1) * most], TOKEN))
+                    brief.append(_short(s[: n * (100 - percent) * 8 // 1000 + 8], BRIEF))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "first"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(first, pa.binary()), pa.array(brief, pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "first", "brief"],
                 )
 
     return run
 
 
+@lru_cache(maxsize=64)
+def _choices(n: int) -> np.ndarray:
+    """All choices of COMBINE of n places."""
+    return np.array(list(combinations(range(n), COMBINE)), np.int64).reshape(-1, COMBINE)
+
+
 def signatures(first: np.ndarray, common: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of one set, of single tokens and of combinations: ``first`` its least tokens in order, ``common``
     those of the frequent class."""
@@ -99,24 +110,27 @@ def signatures(first: np.ndarray, common: np.ndarray, n: int, percent: int) -> t
     if len(common) == 0:
         return np.unique(first[:need]), np.zeros(0, U)
     often = np.isin(first, common)
-    rare, pairs = [], []
+    rare, chosen = [], []
     for level in _levels(n, percent):
-        count = _parts_of(level, percent)
-        part = np.where(often, (mix(first) % U(count)).astype(np.int64), -1)
-        # A token adds to the credit unless it is the first of its part.
-        fresh = np.zeros(len(first), bool)
-        fresh[np.unique(part, return_index=True)[1]] = True
-        credit = np.cumsum(~(fresh & often))
+        part = np.where(often, (mix(first) % U(_parts_of(level, percent))).astype(np.int64), -1)
+        order = np.argsort(part, kind="stable")
+        heads = np.searchsorted(part[order], part[order])
+        rank = np.empty(len(first), np.int64)
+        rank[order] = np.arange(len(first)) - heads
+        # The first COMBINE - 1 tokens of a part add nothing yet.
+        credit = np.cumsum(~often | (rank >= COMBINE - 1))
         end = int(np.searchsorted(credit, need)) + 1
         rare.append(first[:end][~often[:end]])
         tokens, of = first[:end][often[:end]], part[:end][often[:end]]
         order = np.argsort(of, kind="stable")
         tokens, of = tokens[order], of[order]
-        size = int(np.bincount(of).max()) if len(of) else 0
-        for step in range(1, size):  # pairs inside a part: tokens that stand ``step`` apart
-            same = of[step:] == of[:-step]
-            pairs.append(mix(mix(tokens[:-step][same]) * U(31) + tokens[step:][same]) + U(level))
-    return np.unique(np.concatenate(rare)), np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U)
+        for group in np.split(tokens, np.flatnonzero(np.diff(of)) + 1):
+            if len(group) >= COMBINE:
+                picked, sig = group[_choices(len(group))], U(level)
+                for k in range(COMBINE):
+                    sig = mix(sig * U(31) + picked[:, k])
+                chosen.append(sig)
+    return np.unique(np.concatenate(rare)), np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, U)
 
 
 def _sign(percent: int, salts: int):
@@ -132,10 +146,33 @@ def _sign(percent: int, salts: int):
                 flat = [x for pair in found for x in pair]
                 lengths = [len(x) for x in flat]
                 ids = np.repeat(np.repeat(np.array([owners[i] for i in rows], np.int64), 2), lengths)
+                many = np.repeat(np.repeat(np.array([sizes[i] for i in rows], np.int64), 2), lengths)
                 salt = (mix(ids.view(U)) % U(salts)).astype(np.int32)
                 salt[np.repeat(np.tile([True, False], len(found)), lengths)] = -1
                 sigs = np.concatenate(flat).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(salt), pa.array(ids)], names=["sig", "salt", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(salt), pa.array(ids), pa.array(many)], names=["sig", "salt", "doc_id", "n"])
+
+    return run
+
+
+def can_link(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens can link, judged by the least tokens of each, ``x`` and ``y``.
+
+    What one has below the end of both and the other hasn't is a difference for certain. Tokens that look equal in
+    BRIEF bytes count as equal.
+    """
+    end = min(x[-1] if len(x) < n else U(2**64 - 1), y[-1] if len(y) < m else U(2**64 - 1))
+    x, y = x[x < end], y[y < end]
+    least = -(-percent * (n + m) // (100 + percent))
+    return len(x) - np.isin(x, y).sum() <= n - least and len(y) - np.isin(y, x).sum() <= m - least
+
+
+def _filter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("brief_a", "n_a", "brief_b", "n_b")]
+            keep = [can_link(_tokens(x, BRIEF), n, _tokens(y, BRIEF), m, percent) for x, n, y, m in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -196,14 +233,15 @@ def _verify(words: int, percent: int):
 
 
 def jaccard_join(
-    docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = 64, block: int = 1024, tables: str = "jaccard"
+    docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = 8, block: int = 1024, tables: str = "jaccard"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words (lower-cased A-Z); a shorter text is one shingle. Two
     documents link when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id that links lead to.
 
-    Equal sets are one class from the start. The signatures tie the classes into candidate clusters; a cluster's sets
+    Equal sets are one class from the start. The signatures, and for single tokens a comparison of the pair's least tokens,
+    tie the classes into candidate clusters; a cluster's sets
     are compared in one task, a cluster of more than ``block`` classes in blocks of about half as many, each block with
     each other, so no task holds more than two blocks and no pair is left out.
 
@@ -213,26 +251,38 @@ def jaccard_join(
     """
     spark = docs.sparkSession
     whole = texts(docs)
-    kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, first binary"
+    kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, first binary, brief binary"
     sketch = written(whole.mapInArrow(_sketch(words, percent), kind), tables)
     held = sketch.where("n > 0 and doc_id is not null")
     # A class is known by the least doc_id that has its set; documents follow by the digest.
-    reps = written(held.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first")), tables)
+    reps = written(held.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("brief").alias("brief")), tables)
     tokens = reps.select("doc_id", "first").mapInArrow(_explode, "token bigint, doc_id bigint")
     often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent).select("token"), tables)
     common = written(sifted(tokens, "token", often).join(often, "token").groupBy("doc_id").agg(F.collect_set("token").alias("common")), tables)
     # Sets without a frequent token need no join: most are signed where they are.
     plain = sifted(reps, "doc_id", common, outside=True).select("doc_id", "n", "first", F.array().cast("array<bigint>").alias("common"))
     mixed = sifted(reps.select("doc_id", "n", "first"), "doc_id", common).join(common, "doc_id", "left")
-    signed = plain.unionByName(mixed).mapInArrow(_sign(percent, 4 * parts(spark)), "sig bigint, salt int, doc_id bigint")
+    signed = plain.unionByName(mixed).mapInArrow(_sign(percent, 4 * parts(spark)), "sig bigint, salt int, doc_id bigint, n bigint")
     # Ties lead from a signature's sets to the least of them, in two steps where a signature is salted.
-    led = signed.withColumn("hub", F.min("doc_id").over(W.partitionBy("sig", "salt"))).where("doc_id <> hub or salt >= 0")
-    led = written(led.groupBy("hub", "doc_id").agg(F.collect_set(F.when(F.col("hub") == F.col("doc_id"), F.col("sig"))).alias("led")), tables)
-    hubs = led.where("hub = doc_id").select("doc_id", F.explode("led").alias("sig"))
+    signed = written(signed, tables)
+    # A single token has ``frequent`` sets at most: all its pairs of fitting sizes, then those whose least tokens allow it.
+    single = signed.where("salt < 0").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets")).where(F.size("sets") > 1)
+    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(
+        F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: fits(x, y)), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"))
+    )))
+    met = single.select(F.inline(pairs)).distinct()
+    for side in ("a", "b"):
+        met = met.join(reps.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("brief").alias(f"brief_{side}")), side)
+    near = met.mapInArrow(_filter(percent), "a bigint, b bigint")
+    # A combination ties its sets to the least of them, in two steps as it may have any number.
+    several = signed.where("salt >= 0").withColumn("hub", F.min("doc_id").over(W.partitionBy("sig", "salt")))
+    hubs = several.where("hub = doc_id").select("sig", "doc_id")
     least = hubs.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     upper = hubs.join(least, "sig").where("hub <> doc_id")
-    ties = led.select("hub", "doc_id").where("hub <> doc_id").unionByName(upper.select("hub", "doc_id"))
-    clusters = components(ties.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), tables)
+    ties = several.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    ties = ties.unionByName(upper.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).unionByName(near)
+    clusters = components(ties, tables)
 
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     small = F.col("members") <= block
