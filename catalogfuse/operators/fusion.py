@@ -8,7 +8,7 @@ partial result per task, not one straggler.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,11 @@ from catalogfuse.functions.values import is_zero_runtime, normalize_release, nor
 from catalogfuse.schemas import FUSED_FIELDS, PRIORITY, Field
 
 KEY = "item_code"
-MAX_LITERAL_PRIORITIES = 20_000
+
+
+def item_keys(obs: DataFrame) -> list[str]:
+    """What an item is known by: ranks differ by type, so an item of two types is two."""
+    return [KEY, "item_type"] if "item_type" in obs.columns else [KEY]
 
 
 def present(field: Field) -> Column:
@@ -53,9 +57,7 @@ def valid_value(field: Field) -> Column:
 
 
 def priority_frame(spark, rows: Sequence[tuple[str, str, str, int]]) -> DataFrame:
-    """Priority table from driver-side configuration."""
-    if len(rows) > MAX_LITERAL_PRIORITIES:
-        raise ValueError("priority list too long for a literal; read it as a table")
+    """Priority table from driver-side configuration; a table of the same columns serves as well."""
     return spark.createDataFrame(list(rows), PRIORITY)
 
 
@@ -144,7 +146,9 @@ def fuse_fields(
       (its ISO form is stored), a score is not 0;
     * an invalid value falls through to the next source;
     * ``external_ids`` holds only sources that supplied a fused value;
-    * ``year`` comes from the release when it is not fused itself;
+    * ``year`` comes from the release when no source has a valid one;
+    * ``all_people`` ends with the ``people`` it lacks;
+    * an item seen as several types is fused once for each;
     * an item with no ranked source gets no row.
 
     Observations are taken as unique per (item, source); pass ``order`` to keep the first of several.
@@ -154,22 +158,30 @@ def fuse_fields(
     ranked = _with_ranks(obs, priority, fields)
     if order:
         ranked = one_per_source(ranked, order, ["language"] if "language" in obs.columns else [])
-    types = [F.min("item_type").alias("item_type")] if "item_type" in obs.columns else []
-    fused = _with_values(ranked, fields).groupBy(KEY).agg(*types, *_winners(fields, with_id))
-    return fused.select(KEY, *(["item_type"] if types else []), *_fused_columns(fields, with_id))
+    keys = item_keys(obs)
+    fused = _with_values(ranked, fields).groupBy(*keys).agg(*_winners(fields, with_id))
+    return fused.select(*keys, *_fused_columns(fields, with_id))
 
 
 def _fused_columns(fields: Sequence[Field], with_id: bool) -> list[Column]:
     win = {f.name: F.col(f"_w_{f.name}") for f in fields}
-    cols = [win[f.name]["value"].alias(f.name) for f in fields]
-    if "release" in win and "year" not in win:
-        cols.append(F.substring(win["release"]["value"], 1, 4).alias("year"))
+    values = {n: w["value"] for n, w in win.items()}
+    if "release" in win:
+        from_release = F.substring(win["release"]["value"], 1, 4)
+        values["year"] = F.coalesce(values["year"], from_release) if "year" in win else from_release
+    if "people" in win and "all_people" in win:
+        none = F.array().cast("array<string>")
+        both = F.array_distinct(F.concat(F.coalesce(values["all_people"], none), F.coalesce(values["people"], none)))
+        values["all_people"] = F.when(F.size(both) > 0, both)
+    cols = [v.alias(n) for n, v in values.items()]
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), w["source"].alias("value")) for n, w in win.items()])
     cols.append(F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("field_sources"))
     if with_id:
         ids = F.array(*[F.struct(w["source"].alias("key"), w["external_id"].alias("value")) for w in win.values()])
-        ids = F.array_distinct(F.filter(ids, lambda p: p["key"].isNotNull() & p["value"].isNotNull()))
-        cols.append(F.map_from_entries(ids).alias("external_ids"))
+        # A source that supplied several fields under different ids keeps that of the last field.
+        ids = F.filter(ids, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+        last = F.transform(F.array_distinct(F.transform(ids, lambda p: p["key"])), lambda k: F.element_at(F.filter(ids, lambda p: p["key"] == k), -1))
+        cols.append(F.map_from_entries(last).alias("external_ids"))
     return cols
 
 
@@ -179,7 +191,8 @@ def _collected(obs, priority, fields, order, payload: Sequence[str], try_all: Se
     ``one_per_source`` runs first, so a group holds at most as many entries as there are ranked
     sources: the list is bounded by the priority table, not by the data.
     """
-    ranked = _with_values(one_per_source(_with_ranks(obs, priority, fields), order), fields)
+    more = [c for c in ("item_type", "language") if c in obs.columns]
+    ranked = _with_values(one_per_source(_with_ranks(obs, priority, fields), order, more), fields)
     state = F.array(
         *[
             F.when(F.col(f"_v_{f.name}").isNotNull(), "valid").when(present(f), "invalid").otherwise("missing")
@@ -193,7 +206,7 @@ def _collected(obs, priority, fields, order, payload: Sequence[str], try_all: Se
         else F.min(F.when(F.col(f"_v_{f.name}").isNotNull(), F.col("_ranks")[i]))
         for i, f in enumerate(fields)
     ]
-    return ranked.groupBy(KEY).agg(F.array(*wins).alias("_wins"), F.collect_list(entry).alias("_entries"))
+    return ranked.groupBy(*item_keys(obs)).agg(F.array(*wins).alias("_wins"), F.collect_list(entry).alias("_entries"))
 
 
 def _touch(entry: Column, wins: Column, n_fields: int) -> Column:
@@ -217,14 +230,18 @@ def collect_candidates(
     fields: Sequence[Field] = FUSED_FIELDS,
     order: Sequence[str] = ("external_id",),
     try_all: Sequence[str] = (),
+    edition: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Asset and people candidates of every item, from the sources that were consulted.
 
     A source is consulted for a field only up to the field's first valid value; the order of
     consultation is first appearance in (field order, rank order). ``try_all`` names fields whose
     sources are all consulted. Returns ``consulted``, ``thumbs`` and ``posters`` (source, url; posters
-    in poster-priority order), ``people_union`` and ``edition`` (first non-empty).
+    in poster-priority order), ``people_union`` and ``edition`` (the first that is not empty once the function
+    ``edition`` has normalised it). A source with rows in several languages is consulted once, for all of them.
     """
+    if edition is not None and "edition" in obs.columns:
+        obs = obs.withColumn("edition", edition(F.col("edition")))
     fields = [f for f in fields if f.name in obs.columns]
     payload = [c for c in ("thumb", "poster", "people", "edition") if c in obs.columns]
     grouped = _collected(obs, priority, fields, order, payload, try_all)
@@ -232,7 +249,8 @@ def collect_candidates(
         "_entries", lambda e: F.struct(_touch(e, F.col("_wins"), len(fields)).alias("at"), e.alias("e"))
     )
     asked = F.array_sort(F.filter(touched, lambda t: t["at"].isNotNull()))
-    base = grouped.select(KEY, asked.alias("_asked"))
+    keys = item_keys(obs)
+    base = grouped.select(*keys, asked.alias("_asked"))
 
     def assets(entries: Column, name: str) -> Column:
         got = F.filter(entries, lambda t: F.coalesce(t["e"][name] != "", F.lit(False)))
@@ -240,7 +258,7 @@ def collect_candidates(
             F.transform(got, lambda t: F.struct(t["e"]["source"].alias("source"), t["e"][name].alias("url")))
         )
 
-    out = [F.col(KEY), F.transform("_asked", lambda t: t["e"]["source"]).alias("consulted")]
+    out = [*map(F.col, keys), F.array_distinct(F.transform("_asked", lambda t: t["e"]["source"])).alias("consulted")]
     if "thumb" in payload:
         out.append(assets(F.col("_asked"), "thumb").alias("thumbs"))
     if "poster" in payload:

@@ -7,11 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.functions.basics import as_col, bound_rows, first_hit
+from catalogfuse.functions.basics import as_col, first_hit
 from catalogfuse.functions.paths import ancestors, file_name, parent_dir
 
-MAX_SUBSTRING_TERMS = 2000
-
 
 def missing_items(catalog: DataFrame, local: DataFrame) -> DataFrame:
     """Catalogue codes not held locally, and those held without a subtitle that exists.
@@ -122,11 +120,12 @@ def share_by_code(
     """Resolve every distinct code once and give the result to each file with that code.
 
     ``resolve`` maps a one-column frame of codes to item rows. Tags that belong to a file are
-    replaced by the file's own. Files that may not share (``shareable`` false) are left out.
+    replaced by the file's own. Every file comes out: ``shared`` tells whether its record serves others too
+    (``shareable``), ``resolved`` whether its code has a record at all.
     """
-    rows = inventory if shareable is None else inventory.where(shareable)
-    items = resolve(rows.select(key).distinct())
-    joined = rows.join(items, key)
+    rows = inventory.withColumn("shared", F.lit(True) if shareable is None else F.coalesce(shareable, F.lit(False)))
+    items = resolve(rows.where(F.col(key).isNotNull()).select(key).distinct()).withColumn("_found", F.lit(True))
+    joined = rows.join(items, key, "left").withColumn("resolved", F.col("_found").isNotNull()).drop("_found")
     if "tags" not in items.columns:
         return joined
     tags = F.filter("tags", lambda t: ~t.isin(*drop_tags)) if drop_tags else F.col("tags")
@@ -147,23 +146,25 @@ def _tokens(text: Column) -> Column:
 
 
 def dictionary_terms(
-    df: DataFrame, terms: DataFrame, text: Column | str, key: str, mode: str = "word", max_words: int = 4
+    df: DataFrame, terms: DataFrame, text: Column | str, key: str, mode: str = "word"
 ) -> DataFrame:
     """Dictionary terms found in a text, case ignored: rows (key, ord, term), distinct.
 
-    ``terms(ord, term)``. 'word' matches whole words: the text's distinct word n-grams (up to
-    ``max_words``) are equi joined to the terms, so cost is linear in the text. 'substring' matches
-    anywhere: a small dictionary is a literal filter on each row; a larger one is blocked on the
-    shortest term length and verified.
+    ``terms(ord, term)``. 'word' matches whole words: text and terms are cut into words alike, and the text's distinct
+    word n-grams, of the lengths that the terms have, are equi joined to the terms, so cost is linear in the text.
+    'substring' matches anywhere: a term is blocked on its first characters, as many as the largest power of two
+    that it holds, the text's distinct grams of those lengths are joined to the blocks, and hits are verified.
     """
     text = as_col(text)
-    folded = terms.groupBy(F.lower("term").alias("_t")).agg(F.min(F.struct("ord", "term")).alias("hit"))
     if mode == "word":
+        term = F.array_join(_tokens(F.col("term")), " ")
+        folded = terms.groupBy(term.alias("_t")).agg(F.min(F.struct("ord", "term")).alias("hit")).where("_t <> ''")
+        lengths = F.coalesce(folded.agg(F.collect_set(F.size(F.split("_t", " ")))).scalar(), F.array().cast("array<int>"))
         # The token list is a column of its own: lambdas read it once per n-gram.
         words = F.col("_words")
         grams = F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.lit(max_words)),
+                F.col("_lengths"),
                 lambda n: F.when(
                     F.size(words) >= n,
                     F.transform(
@@ -173,30 +174,28 @@ def dictionary_terms(
                 ).otherwise(F.array().cast("array<string>")),
             )
         )
-        tokens = df.select(key, _tokens(text).alias("_words"))
+        tokens = df.select(key, _tokens(text).alias("_words"), lengths.alias("_lengths"))
         found = tokens.select(key, F.explode(F.array_distinct(grams)).alias("_t")).join(folded, "_t")
         return found.select(key, F.col("hit.ord").alias("ord"), F.col("hit.term").alias("term"))
     if mode != "substring":
         raise ValueError(f"unknown mode {mode!r}")
-    if bound_rows(folded, MAX_SUBSTRING_TERMS):
-        listed = folded.select("_t", "hit.ord", "hit.term").collect()
-        if not listed:
-            return df.select(key, F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("term")).limit(0)
-        literal = F.array(
-            *[F.struct(F.lit(r[0]).alias("t"), F.lit(r[1]).alias("ord"), F.lit(r[2]).alias("term")) for r in listed]
-        )
-        hits = F.filter(literal, lambda s: F.col("_low").contains(s["t"]))
-        lowered = df.select(key, F.lower(text).alias("_low"))
-        return lowered.select(key, F.explode(hits).alias("s")).select(key, F.col("s.ord").alias("ord"), F.col("s.term").alias("term"))
-    k = folded.agg(F.min(F.length("_t"))).first()[0]
+    folded = terms.groupBy(F.lower("term").alias("_t")).agg(F.min(F.struct("ord", "term")).alias("hit")).where("_t <> ''")
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length("_t")))).cast("int")
+    blocked = folded.withColumn("_k", size).withColumn("_g", F.substring(F.col("_t"), F.lit(1), F.col("_k")))
+    sizes = F.coalesce(blocked.agg(F.collect_set("_k")).scalar(), F.array().cast("array<int>"))
     lowered = df.select(key, F.lower(text).alias("_low"))
     low = F.col("_low")
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, F.lit(k)))
-    blocked = folded.withColumn("_g", F.substring("_t", 1, k))
+    grams = F.flatten(
+        F.transform(
+            F.col("_sizes"),
+            lambda k: F.when(
+                F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, k))
+            ).otherwise(F.array().cast("array<string>")),
+        )
+    )
     # Grams travel without the text; the text joins in again only for texts with a block hit.
     hits = (
-        lowered.where(F.length(low) >= k)
-        .select(key, F.explode(F.array_distinct(grams)).alias("_g"))
+        lowered.withColumn("_sizes", sizes).select(key, F.explode(F.array_distinct(grams)).alias("_g"))
         .join(blocked, "_g")
         .join(lowered, key)
         .where(F.col("_low").contains(F.col("_t")))

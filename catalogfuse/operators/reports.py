@@ -90,12 +90,15 @@ def status_counts(log: DataFrame, status: str = "status") -> DataFrame:
     return log.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def person_catalog(listing: DataFrame, single_works: DataFrame) -> DataFrame:
+def person_catalog(listing: DataFrame, single_works: DataFrame, order: str = "pos") -> DataFrame:
     """Catalogue of every person: code, date as y/m/d, single-work flag, availability class.
 
-    ``listing(person, item_code, title, date_text, url, has_download, has_subtitle)``,
-    ``single_works(person, item_code)``. The last listing row of a code wins.
+    ``listing(person, item_code, pos, title, date_text, url, has_download, has_subtitle)``,
+    ``single_works(person, item_code)``. The last listing row of a person's code, by ``order``, wins.
     """
+    rest = [c for c in listing.columns if c not in ("person", "item_code")]
+    last = listing.groupBy("person", "item_code").agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    listing = last.select("person", "item_code", "_r.*")
     parts = F.split("date_text", "[./-]")
     date = F.when(F.length(parts[0]) == 2, F.concat_ws("/", parts[2], parts[0], parts[1])).otherwise(
         F.concat_ws("/", parts[0], parts[1], parts[2])

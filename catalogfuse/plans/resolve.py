@@ -92,14 +92,23 @@ def resolve_library(
 ) -> DataFrame:
     """Inventory to named, tagged items: one row per file with its target path.
 
+    Every file comes out: ``status`` is 'ok', or 'failed' with a ``reason`` and without a target.
     Codes are resolved once and joined back to their files (a code owning very many files meets a
     one-row item, a join AQE can split). Observations are cut to wanted codes before they are fused.
     """
     todo = inventory if ledger is None else skip_processed(inventory, ledger)
     files = classify_items(inventory_facts(todo, options), options.class_rules, options.default_type)
     wanted = files.select("item_code", "item_type").distinct()
-    items = resolve_items(observations.join(wanted, "item_code"), priority, options, aliases).drop("item_type")
-    joined = files.join(items, "item_code")
+    wanted = wanted.where(F.col("item_code").isNotNull())
+    items = resolve_items(observations.join(wanted, "item_code"), priority, options, aliases).withColumn("_found", F.lit(True))
+    joined = files.join(items, ["item_code", "item_type"], "left")
+    no_code = F.col("item_code").isNull() | (F.col("item_code") == "")
+    joined = joined.withColumns(
+        {
+            "status": F.when(F.col("_found"), "ok").otherwise("failed"),
+            "reason": F.when(F.col("_found"), F.lit(None).cast("string")).when(no_code, "no code in the path").otherwise("no source has the code"),
+        }
+    ).drop("_found")
     joined = joined.withColumns(
         {
             "number": F.col("item_code"),
@@ -122,7 +131,7 @@ def resolve_library(
     stem = F.concat("_file", paths.part_suffix("part"))
     target = paths.output_paths(F.lit(options.root), "_folder", stem, "ext")
     keep = [c for c in tagged.columns if c not in ("number", "studio", "actor", "cnword", "moword")]
-    return named.select(*keep, target.alias("target"))
+    return named.select(*keep, F.when(F.col("status") == "ok", target).alias("target"))
 
 
 def missing_report(

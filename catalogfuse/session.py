@@ -6,6 +6,8 @@ Only options a caller would normally tune are set here; a cluster's own values w
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # AQE does three jobs for this package: it turns shuffles into broadcasts once the real size is
@@ -35,11 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(df, eager: bool = True):
-    """Checkpoint ``df`` to the cluster's shared folder; leave it as it is where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine only where all tasks run in the driver."""
     folder = checkpoint_dir(spark)
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")

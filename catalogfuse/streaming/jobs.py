@@ -6,12 +6,10 @@ caller passes as ``checkpointLocation``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from catalogfuse.functions.paths import extension, file_name, is_scannable, parent_dir
 
@@ -32,59 +30,8 @@ def dedupe_inventory(raw: DataFrame, exts: Sequence[str], delay: str = "1 day")
     return rows.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["path"])
 
 
-RESULT_SCHEMA = "item_code string, path string, outcome string"
-STATE_SCHEMA = "status int, owner string"
-EXPIRY_MS = 3_600_000
-
-
-def _first_result(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    code = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    status, owner = state.get if state.exists else (None, None)
-    out: list[tuple[str, str, str]] = []
-    waiting: list[str] = []
-    newest = state.getCurrentWatermarkMs()
-    for batch in batches:
-        newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-        for path, kind, ok in zip(batch["path"], batch["kind"], batch["ok"], strict=True):
-            if kind == "result":
-                status = 1 if ok else 0
-                outcome = "reused" if ok else "rejected"
-                out += [(code, p, outcome) for p in waiting]
-                waiting = []
-            elif status == 1:
-                out.append((code, path, "reused"))
-            elif status == 0:
-                out.append((code, path, "rejected"))
-            elif owner is None:
-                owner = path
-                out.append((code, path, "resolve"))
-            else:
-                waiting.append(path)
-    out += [(code, p, "wait") for p in waiting]
-    state.update((status, owner))
-    state.setTimeoutTimestamp(newest + EXPIRY_MS)
-    if out:
-        yield pd.DataFrame(out, columns=["item_code", "path", "outcome"])
-
-
-def stream_first_result(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One resolution per code: the first request resolves, later ones reuse its success or are
-    rejected on its failure. A request in between gets 'wait' and asks again; those of the batch that
-    brings the result are answered at once.
-
-    ``events(item_code, path, kind, ok, ts)``, kind 'request' or 'result'. The state of a code is its
-    outcome and owner, nothing else, and expires an hour of event time after its last event.
-    """
-    return events.withWatermark("ts", delay).groupBy("item_code").applyInPandasWithState(
-        _first_result, RESULT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def batch_first_result(events: DataFrame) -> DataFrame:
-    """The same decision over a complete table ``events(item_code, path, kind, ok, seq)``: outcome of
+    """One resolution per code over a complete table ``events(item_code, path, kind, ok, seq)``: outcome of
     every request given the code's first result."""
     first = events.groupBy("item_code").agg(
         F.min(F.when(F.col("kind") == "request", F.struct("seq", "path"))).alias("_owner"),

@@ -10,7 +10,7 @@ from catalogfuse.workload.urls import RANK_SQL
 _CLIPS = """
 SELECT 'P' || cast(l_partkey AS string) AS item_code, (l_orderkey * 10 + l_linenumber) * 100000000 + cast(floor(l_extendedprice * 100) AS bigint) AS seq,
   'http://v.example/' || cast(l_orderkey AS string) || CASE l_orderkey % 6 WHEN 0 THEN '_sm_w.mp4' WHEN 1 THEN 'dmb.mp4' WHEN 2 THEN '_mhbs_s.mp4' WHEN 3 THEN '/list.m3u8' WHEN 4 THEN '.mp4' ELSE '_4K_w.mp4' END AS url
-FROM {lineitem} WHERE l_quantity < 12
+FROM {lineitem}
 """
 
 

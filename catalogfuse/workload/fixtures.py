@@ -40,10 +40,8 @@ SELECT p_partkey, p_brand, p_type, p_name, p_size, p_retailprice,
 FROM {part}
 """
 
-# Source observations: one row per (part, source); holes and invalid values at fixed places.
-OBSERVATIONS = """
-SELECT item_code, item_type, source, external_id, title, maker, release, runtime, score, thumb, poster, edition, person
-FROM (
+# Source observations: every line is a record of its part, with holes and invalid values at fixed places.
+OBSERVED = """
   SELECT 'P' || lpad(cast(l_partkey AS string), 9, '0') AS item_code,
     CASE WHEN l_partkey % 2 = 0 THEN 'even' ELSE 'odd' END AS item_type,
     's' || cast(l_suppkey % 5 AS string) AS source,
@@ -58,9 +56,15 @@ FROM (
     CASE WHEN l_orderkey % 3 = 1 THEN '' ELSE 'http://img.example/' || cast(l_orderkey AS string) || 'ps.jpg' END AS poster,
     CASE WHEN l_returnflag = 'A' THEN '' ELSE l_returnflag END AS edition,
     'Person ' || cast(l_suppkey % 20 AS string) AS person,
-    row_number() OVER (PARTITION BY l_partkey, l_suppkey % 5 ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_suppkey) AS rn
+    l_orderkey AS o1, l_linenumber AS o2, l_extendedprice AS o3, l_suppkey AS o4
   FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-) WHERE rn = 1
+"""
+OBSERVED_ORDER = ("o1", "o2", "o3", "o4")
+
+# The first record of each (part, source).
+OBSERVATIONS = f"""
+SELECT item_code, item_type, source, external_id, title, maker, release, runtime, score, thumb, poster, edition, person
+FROM (SELECT *, row_number() OVER (PARTITION BY item_code, source ORDER BY {', '.join(OBSERVED_ORDER)}) AS rn FROM ({OBSERVED})) WHERE rn = 1
 """
 
 # Raw observations: every line is a record of its item, so (item, source) repeats.

@@ -39,6 +39,11 @@ def observations(t: Tables):
     return t.sql(X.OBSERVATIONS)
 
 
+def observed(t: Tables):
+    """All records, several of a source among them: the operators pick by ``OBSERVED_ORDER``."""
+    return t.sql(X.OBSERVED)
+
+
 def priorities(t: Tables):
     return U.priority_frame(t.spark, X.PRIORITY_ROWS)
 
@@ -53,7 +58,7 @@ def _fused_sql(where: str = "") -> str:
 
 @query("fuse_fields", _fused_sql())
 def fuse_fields(t: Tables):
-    fused = U.fuse_fields(observations(t), priorities(t), FIELDS)
+    fused = U.fuse_fields(observed(t), priorities(t), FIELDS, X.OBSERVED_ORDER)
     ids = F.transform(F.map_entries("external_ids"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return fused.select(
         "item_code", "item_type", *NAMES, "year",
@@ -161,8 +166,8 @@ _ASKED = (
       FROM asked a GROUP BY a.item_code""",
 )
 def collect_candidates(t: Tables):
-    obs = observations(t).withColumn("people", F.array("person"))
-    out = U.collect_candidates(obs, priorities(t), FIELDS)
+    obs = observed(t).withColumn("people", F.array("person"))
+    out = U.collect_candidates(obs, priorities(t), FIELDS, X.OBSERVED_ORDER)
     pairs = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["source"], F.lit("="), s["url"])), " ")
     return out.select(
         "item_code", F.array_join("consulted", ">").alias("consulted"), pairs("thumbs").alias("thumbs"),
@@ -184,7 +189,7 @@ _PRESENT_SQL = ", ".join(f"('{n}', {n} <> '', {VALID_SQL[n]} IS NOT NULL)" for n
       LEFT JOIN win w ON w.item_code = st.item_code AND w.field = st.field GROUP BY 1, 2, 3""",
 )
 def field_coverage(t: Tables):
-    return U.field_coverage(observations(t), priorities(t), FIELDS)
+    return U.field_coverage(observed(t), priorities(t), FIELDS, X.OBSERVED_ORDER)
 
 
 _CATEGORIES = ("monthly", "prime", "rental", "mono", "stream_a", "stream_b", "digital")
@@ -211,7 +216,7 @@ def merge_by_category(t: Tables):
 
 
 _BASE_ROWS = "SELECT 'P' || cast(p_partkey AS string) AS item_code, p_name AS title, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS maker, cast(p_size AS string) AS runtime FROM {part}"
-_PATCH_ROWS = "SELECT 'P' || cast(l_partkey AS string) AS item_code, CASE WHEN min(l_orderkey) % 2 = 0 THEN '' ELSE 'order ' || cast(min(l_orderkey) AS string) END AS title, max(l_returnflag) AS maker, 'x' AS unknown_field FROM {lineitem} WHERE l_quantity > 40 GROUP BY l_partkey"
+_PATCH_ROWS = "SELECT 'P' || cast(l_partkey AS string) AS item_code, CASE WHEN min(l_orderkey) % 2 = 0 THEN '' ELSE 'order ' || cast(min(l_orderkey) AS string) END AS title, max(l_returnflag) AS maker, 'x' AS unknown_field FROM {lineitem} GROUP BY l_partkey"
 
 
 @query(

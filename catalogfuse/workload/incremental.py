@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogfuse.operators import fusion as U
 from catalogfuse.plans.skew import bucketed_gaps
-from catalogfuse.session import checkpoint_dir
+from catalogfuse.session import shared_folder
 from catalogfuse.streaming import jobs as J
 from catalogfuse.workload import fixtures as X
 from catalogfuse.workload.fusion import _RAW_FIELDS, _RAW_PRI
@@ -77,9 +76,8 @@ def first_result(t: Tables):
 
 
 def _folder(t: Tables) -> str:
-    """A new folder in the cluster's shared place; a temporary one where none is named, as in tests."""
-    base = checkpoint_dir(t.spark) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared place."""
+    return f"{shared_folder(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
@@ -140,17 +138,6 @@ def stream_inventory(t: Tables):
     return _run(t, J.dedupe_inventory(raw, (".mp4",), "36500 days")).select("path", "name")
 
 
-@query("stream_first_result")
-def stream_first_result(t: Tables):
-    events = _stream(t, "orders").select(
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("item_code"),
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"),
-        F.when(F.col("o_orderkey") % 4 == 3, "result").otherwise("request").alias("kind"),
-        (F.col("o_orderstatus") != "F").alias("ok"), F.col("o_orderdate").cast("timestamp").alias("ts"),
-    )
-    return _run(t, J.stream_first_result(events))
-
-
 @query("stream_fuse", ORACLE["fuse_repeated_observations"])
 def stream_fuse(t: Tables):
     """Observations arrive as a stream; the item table is kept current."""

@@ -26,8 +26,8 @@ def missing_items(t: Tables):
 
 # Subtitle store: several folders hold files of the same name.
 _STORE = """
-SELECT '/subs/' || cast(l_suppkey % 4 AS string) || CASE WHEN l_linenumber % 2 = 0 THEN '/a' ELSE '' END || '/Item-' || cast(l_partkey AS string) || CASE l_suppkey % 3 WHEN 0 THEN '.srt' WHEN 1 THEN '.ASS' ELSE '.txt' END AS path
-FROM {lineitem} WHERE l_partkey % 3 = 0 AND l_quantity > 40
+SELECT '/subs/' || cast(l_suppkey % 4 AS string) || CASE WHEN l_linenumber % 2 = 0 THEN '/a' ELSE '' END || '/' || CASE WHEN l_partkey % 3 = 0 AND l_quantity > 40 THEN 'Item-' ELSE 'Other-' END || cast(l_partkey AS string) || CASE l_suppkey % 3 WHEN 0 THEN '.srt' WHEN 1 THEN '.ASS' ELSE '.txt' END AS path
+FROM {lineitem}
 """
 _INV = "SELECT '/lib/' || p_brand || '/item-' || cast(p_partkey AS string) || '.mp4' AS path, p_partkey, p_name, p_partkey % 10 = 0 AS tagged FROM {part}"
 _FIRST = "ix AS (SELECT lower(regexp_extract(path, '[^/]*$')) AS nm, arg_min(path, (string_split(regexp_extract(path, '^(.*)/', 1), '/'), path)) AS m FROM st GROUP BY 1)"
@@ -103,18 +103,18 @@ def upsert_code_cache(t: Tables):
 
 
 _TERMS = "SELECT min(item_id) AS ord, term FROM (SELECT item_id, regexp_replace(split_part(text, '.', 1), '[^A-Za-z ]', '') AS t0, split_part(replace(text, '.', ' '), ' ', 3) AS term FROM {benchmark}) WHERE length(term) > 2 GROUP BY term"
-_PHRASES = "SELECT item_id * 2 AS ord, lower(split_part(replace(replace(text, '.', ' '), ',', ' '), ' ', 2)) || ' ' || lower(split_part(replace(replace(text, '.', ' '), ',', ' '), ' ', 3)) AS term FROM {benchmark} UNION ALL SELECT item_id * 2 + 1, lower(split_part(text, ' ', 1)) FROM {benchmark}"
+_PHRASES = "SELECT item_id * 2 AS ord, lower(split_part(replace(replace(text, '.', ' '), ',', ' '), ' ', 2)) || ' ' || lower(split_part(replace(replace(text, '.', ' '), ',', ' '), ' ', 3)) AS term FROM {benchmark} UNION ALL SELECT item_id * 2 + 1, lower(split_part(text, ' ', 1)) FROM {benchmark} UNION ALL SELECT item_id * 2 + 1000, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) || ' ' || split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 6) FROM {benchmark} UNION ALL SELECT item_id * 2 + 1001, split_part(text, ' ', 4) || '-' || split_part(text, ' ', 5) FROM {benchmark}"
 
 
 @query(
     "dictionary_terms",
     X.cte(tm0=_PHRASES)
-    + """, tm AS (SELECT lower(term) AS k, min((ord, term)) AS h FROM tm0 GROUP BY 1),
+    + """, tm AS (SELECT array_to_string(list_filter(regexp_split_to_array(lower(term), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda x: x <> ''), ' ') AS k, min((ord, term)) AS h FROM tm0 GROUP BY 1),
       w AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents)
-      SELECT doc_id, h[1] AS ord, h[2] AS term FROM w JOIN tm ON contains(w.t, ' ' || tm.k || ' ') AND tm.k <> '' AND NOT starts_with(tm.k, ' ') AND NOT ends_with(tm.k, ' ')""",
+      SELECT doc_id, h[1] AS ord, h[2] AS term FROM w JOIN tm ON contains(w.t, ' ' || tm.k || ' ') AND tm.k <> ''""",
 )
 def dictionary_terms(t: Tables):
-    return K.dictionary_terms(t("documents"), t.sql(_PHRASES), "text", "doc_id", max_words=2)
+    return K.dictionary_terms(t("documents"), t.sql(_PHRASES), "text", "doc_id")
 
 
 @query(
@@ -154,13 +154,14 @@ _SHARED = "SELECT o_orderkey, 'P' || cast(o_custkey % 700 AS string) AS item_cod
     "share_by_code",
     X.cte(f=_SHARED)
     + """, i AS (SELECT 'P' || p_partkey AS item_code, p_name AS title, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN [] ELSE [p_type] END AS tags FROM part)
-      SELECT o_orderkey, item_code, title, array_to_string(list_concat(tags, list_filter([edition, CASE WHEN has_sub THEN 'subtitled' END], lambda x: x IS NOT NULL)), ',') AS tags FROM f JOIN i USING (item_code) WHERE may""",
+      SELECT o_orderkey, item_code, title, CASE WHEN title IS NOT NULL THEN array_to_string(list_concat(tags, list_filter([edition, CASE WHEN has_sub THEN 'subtitled' END], lambda x: x IS NOT NULL)), ',') END AS tags,
+        may AS shared, title IS NOT NULL AS resolved FROM f LEFT JOIN i USING (item_code)""",
 )
 def share_by_code(t: Tables):
     items = t("part").select(F.concat(F.lit("P"), "p_partkey").alias("item_code"), F.col("p_name").alias("title"), F.array("p_type").alias("tags"))
     own = F.array("edition", F.when(F.col("has_sub"), F.lit("subtitled")))
     out = K.share_by_code(t.sql(_SHARED), lambda codes: codes.join(items, "item_code"), F.col("may"), own, ("SMALL", "LARGE"))
-    return out.select("o_orderkey", "item_code", "title", F.array_join("tags", ",").alias("tags"))
+    return out.select("o_orderkey", "item_code", "title", F.array_join("tags", ",").alias("tags"), "shared", "resolved")
 
 
 _CAST = "SELECT o_orderkey, 'P' || cast(o_custkey AS string) AS item_code, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Known' END AS people FROM {orders}"

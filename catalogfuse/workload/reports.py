@@ -79,9 +79,9 @@ def status_counts(t: Tables):
 
 
 _LISTING = """
-SELECT 'person ' || cast(l_suppkey AS string) AS person, 'P' || cast(l_partkey AS string) AS item_code, 'title' AS title, CASE WHEN max(l_orderkey) % 2 = 0 THEN '03-17-2021' ELSE '2020.05.06' END AS date_text, '/v/' || cast(l_partkey AS string) AS url,
-  bool_or(l_quantity > 30) AS has_download, bool_or(l_quantity > 45) AS has_subtitle
-FROM {lineitem} GROUP BY l_suppkey, l_partkey
+SELECT 'person ' || cast(l_suppkey AS string) AS person, 'P' || cast(l_partkey AS string) AS item_code, (l_orderkey * 10 + l_linenumber) * 100000000 + cast(floor(l_extendedprice * 100) AS bigint) AS pos, 'title ' || cast(l_orderkey AS string) AS title, CASE WHEN l_orderkey % 2 = 0 THEN '03-17-2021' ELSE '2020.05.06' END AS date_text, '/v/' || cast(l_partkey AS string) AS url,
+  l_quantity > 30 AS has_download, l_quantity > 45 AS has_subtitle
+FROM {lineitem}
 """
 _SINGLES = "SELECT 'person ' || cast(l_suppkey AS string) AS person, 'P' || cast(l_partkey AS string) AS item_code FROM {lineitem} WHERE l_returnflag = 'A'"
 
@@ -90,7 +90,8 @@ _SINGLES = "SELECT 'person ' || cast(l_suppkey AS string) AS person, 'P' || cast
     "person_catalog",
     X.cte(f=_LISTING, s=_SINGLES)
     + """SELECT person, item_code, title, CASE WHEN date_text = '03-17-2021' THEN '2021/03/17' ELSE '2020/05/06' END AS date, url, CASE WHEN has_subtitle THEN 'subtitle' WHEN has_download THEN 'download' ELSE 'none' END AS availability,
-      EXISTS (SELECT 1 FROM s WHERE s.person = f.person AND s.item_code = f.item_code) AS single_work FROM f""",
+      EXISTS (SELECT 1 FROM s WHERE s.person = f.person AND s.item_code = f.item_code) AS single_work
+      FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY person, item_code ORDER BY pos DESC) = 1) f""",
 )
 def person_catalog(t: Tables):
     return R.person_catalog(t.sql(_LISTING), t.sql(_SINGLES))

@@ -59,10 +59,10 @@ def union_distinct(t: Tables):
     return R.union_distinct(a, t("part").select(F.col("p_partkey").alias("k"), F.lit("A").alias("f")))
 
 
-@query("intersect_sources", "SELECT s_name AS source, s_acctbal AS rank FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("intersect_sources", "SELECT s_name AS source, s_acctbal AS rank FROM supplier WHERE s_suppkey IN (SELECT l_orderkey % 4 * 7 + l_linenumber FROM lineitem)")
 def intersect_sources(t: Tables):
     fields = t("supplier").select(F.col("s_suppkey").alias("source"), "s_name", F.col("s_acctbal").alias("rank"))
-    kinds = t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("source"))
+    kinds = t("lineitem").select((F.col("l_orderkey") % 4 * 7 + F.col("l_linenumber")).alias("source"))
     return R.intersect_sources(fields, kinds).select(F.col("s_name").alias("source"), "rank")
 
 

@@ -227,16 +227,16 @@ _LIB_SQL = (
 
 @query(
     "resolve_library",
-    _LIB_SQL + " SELECT p_partkey, path, item_code, title, maker FROM coded JOIN it USING (item_code)",
+    _LIB_SQL + " SELECT p_partkey, path, item_code, title, maker, CASE WHEN it.item_code IS NULL THEN 'failed' ELSE 'ok' END AS status FROM coded LEFT JOIN it USING (item_code)",
 )
 def resolve_library(t: Tables):
-    return library(t).select("p_partkey", "path", "item_code", "title", "maker")
+    return library(t).select("p_partkey", "path", "item_code", "title", "maker", "status")
 
 
 @query("resolve_library_targets")
 def resolve_library_targets(t: Tables):
     """Target paths of the whole library, and which inputs collide on one."""
-    rows = library(t).select(F.col("target.file").alias("target"), "path")
+    rows = library(t).where("status = 'ok'").select(F.col("target.file").alias("target"), "path")
     return duplicate_targets(rows).unionByName(
         rows.select("target", "path", F.lit(1).cast("bigint").alias("inputs"), F.lit(True).alias("is_kept"))
     )

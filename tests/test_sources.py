@@ -78,20 +78,3 @@ def test_stream_inventory_takes_each_path_once(spark, tmp_path):
     (src / "1.json").write_text("\n".join(map(json.dumps, rows)))
     got = run(jobs.stream_inventory(spark, str(src), (".mp4",)), tmp_path / "s")
     assert sorted(r["path"] for r in got.collect()) == ["/a/x.mp4", "/b/z.mp4"]
-
-
-def test_stream_first_result_rejects_followers_of_a_failure(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    batches = [
-        [("A", "a1", "request", None), ("B", "b1", "request", None)],
-        [("A", "", "result", True), ("B", "", "result", False)],
-        [("A", "a2", "request", None), ("B", "b2", "request", None)],
-    ]
-    schema = "item_code string, path string, kind string, ok boolean, ts timestamp"
-    for i, batch in enumerate(batches):
-        lines = [json.dumps({"item_code": c, "path": p, "kind": k, "ok": ok, "ts": f"2024-01-01T00:0{i}:00"}) for c, p, k, ok in batch]
-        (src / f"{i}.json").write_text("\n".join(lines))
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-    got = {r["path"]: r["outcome"] for r in run(jobs.stream_first_result(events), tmp_path / "s").collect()}
-    assert got == {"a1": "resolve", "b1": "resolve", "a2": "reused", "b2": "rejected"}
