@@ -8,6 +8,8 @@ bit-parallel edit distance. Nothing but JVM expressions runs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,20 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def parities(line: Column) -> Column:
-    """64 bits: whether each class of characters is in the line an odd number of times. An edit flips two at most."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("bigint"), lambda bits, c: F.when(c == "", bits).otherwise(bits.bitwiseXOR(bit(c))))
+LETTERS = "etaoinshrdlucmgbpwvf "
+
+
+def letter_bits(line: Column) -> Column:
+    """How often each of LETTERS is in the line, modulo 4, in two bits of which a step of one flips one.
+
+    An edit changes two counts by one at most, so lines within k edits differ in 2 * k bits at most.
+    """
+    whole, out = F.octet_length(line), F.lit(0).cast("bigint")
+    for k, letter in enumerate(LETTERS):
+        n = (whole - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(3))
+        gray = F.when(n == 0, 0).when(n == 1, 1).when(n == 2, 3).otherwise(2)
+        out = out + F.shiftleft(gray.cast("bigint"), 2 * k)
+    return out
 
 
 def banded_distance(x: Column, y: Column, edits: int) -> Column:
@@ -66,30 +78,23 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
     width, mask = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
     a, b = F.split(x, ""), F.split(y, "")
 
-    def moved(s: Column, c: Column, i: Column) -> Column:
-        match = F.lit(0)
-        for d in range(width):
-            at = i + (d - edits)
-            match = match + F.when((at >= 0) & (F.get(b, at) == c), 1 << d).otherwise(0)
-
-        def with_match(m: Column) -> Column:
-            rows, before = [], None
-            for e in range(edits + 1):
-                now = s[f"e{e}"].bitwiseAND(m)
-                if e:
-                    fewer = s[f"e{e - 1}"]
-                    # replaced; a character of x too many; one of y too many
-                    now = now.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(before, 1)).bitwiseAND(F.lit(mask))
-                rows.append(now)
-                before = now
-            return F.struct(*[r.alias(f"e{e}") for e, r in enumerate(rows)])
-
-        return F.element_at(F.transform(F.array(match), with_match), 1)
+    def match(c: Column, i: Column) -> Column:
+        bits = [F.when((i + (d - edits) >= 0) & (F.get(b, i + (d - edits)) == c), 1 << d).otherwise(0) for d in range(width)]
+        return reduce(lambda p, q: p + q, bits)
+
+    def moved(s: Column, m: Column) -> Column:
+        rows = [s["e0"].bitwiseAND(m)]
+        for e in range(1, edits + 1):
+            fewer = s[f"e{e - 1}"]
+            # equal; replaced; a character of x too many; one of y too many
+            now = s[f"e{e}"].bitwiseAND(m).bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(rows[-1], 1))
+            rows.append(now.bitwiseAND(F.lit(mask)))
+        return F.struct(*[r.alias(f"e{e}") for e, r in enumerate(rows)])
 
     # With e errors, e characters of y may have come before the first of x.
     start = F.struct(*[F.lit(sum(1 << (edits + k) for k in range(e + 1))).alias(f"e{e}") for e in range(edits + 1)])
-    steps = F.transform(a, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    ended = F.aggregate(F.when(F.length(x) > 0, steps).otherwise(F.slice(steps, 1, 0)), start, lambda s, e: moved(s, e["c"], e["i"]))
+    masks = F.when(F.length(x) > 0, F.transform(a, match)).otherwise(F.array().cast("array<int>"))
+    ended = F.aggregate(masks, start, moved)
     last = F.length(y) - F.length(x) + edits
     on_last = lambda r: F.element_at(F.array(*[r.bitwiseAND(F.lit(1 << d)) > 0 for d in range(width)]), last + 1)
 
@@ -121,7 +126,7 @@ def line_dedup(docs: DataFrame, edits: int = 1, least: int = 16, tables: str = "
         firsts.withColumn("length", F.length("line")).select(
             "first", length,
             *[F.when(length >= least, x).alias(n) for n, x in (
-                ("bits", parities(F.col("line"))), ("index", index_keys(F.col("line"), length, edits)), ("probe", probe_keys(F.col("line"), length, edits)),
+                ("bits", letter_bits(F.col("line"))), ("index", index_keys(F.col("line"), length, edits)), ("probe", probe_keys(F.col("line"), length, edits)),
             )],
         ),
         tables,
