@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,9 +28,24 @@ from catalogfuse.functions.basics import (
 QUALITY_WORDS = (
     "4K", "4KS", "8K", "HD", "LR", "VR", "DVD", "FULL", "HEVC", "H264", "H265", "X264", "X265", "AAC", "XXX", "PRT",
 )
+# What a code does not begin or end with; the shape of a digit code; the shape that tells a dated code, and
+# the one that it is then read by.
 EDGE = "-_. "
 DIGIT_CODE = "(\\d{6})([-_])(\\d{2,4})"
 DATED_CODE = "([A-Z0-9_]{2,})[-.]2?0?(\\d{2}[-.]\\d{2}[-.]\\d{2})"
+DATED_PARTS = "([A-Z0-9-]{2,})[-_.]2?0?(\\d{2}[-.]\\d{2}[-.]\\d{2})"
+# Rewrites (pattern, replacement) of a name before its code is read, in order: part markers; then dates.
+PART_REWRITES = (
+    ("-C\\.", "."), ("\\.PART", "-CD"), ("-PART", "-CD"), (" EP\\.", ".EP"), ("-CD-", ""), ("[-_ .]CD\\d{1,2}", ""), ("[-_ .][A-Z0-9]\\.$", ""),
+)
+DATE_REWRITES = (("\\d{4}[-_.]\\d{1,2}[-_.]\\d{1,2}", ""), ("[-\\[]\\d{2}[-_.]\\d{2}[-_.]\\d{2}]?", ""), ("--", "-"))
+# Shapes of spellings. A series led by 91; with a second number; with an episode; an episode alone; of two
+# names; of three letters; of two. And the text behind the last hyphen that is no part of a code.
+SPELLINGS = {
+    "lead": "(91[A-Z]{2,})-?(\\d{3,})", "multi": "([A-Z]{2,})-?(\\d{3,})-(\\d+)", "episode": "([A-Z]{2,})-?(\\d{3,})(.*)(EP\\d+)",
+    "bare": "([^. ]+\\.EP\\d+)\\.", "double": "([A-Z]{2,})-([A-Z]{2,})-(\\d+)", "three": "([A-Z]{3,})-?(\\d{2,})", "two": "([A-Z]{2,})-?(\\d{3,})",
+}
+TRAILING_TEXT = "-[^0-9]+?$"
 
 
 @dataclass(frozen=True)
@@ -127,19 +143,8 @@ def supplement_prefix(c: Column | str, prefixes: Sequence[tuple[str, str]]) -> C
     return first_hit(cases, c) if cases else c
 
 
-def _prepared(path: Column, tokens: Sequence[str]) -> tuple[Column, Column, Column]:
-    """(noise-free name, name kept for dated codes, name with dates removed)."""
-    raw = F.concat(F.trim(file_stem(path)), F.lit("."))
-    clean = F.concat(strip_noise(raw, tokens), F.lit("."))
-    name = replace_each(
-        clean, (("-C.", "."), (".PART", "-CD"), ("-PART", "-CD"), (" EP.", ".EP"), ("-CD-", ""))
-    )
-    name = F.regexp_replace(name, "[-_ .]CD\\d{1,2}", "")
-    name = F.regexp_replace(name, "[-_ .][A-Z0-9]\\.$", "")
-    dated = strip_chars(F.replace(name, F.lit(" "), F.lit("-")), EDGE)
-    bare = F.regexp_replace(dated, "\\d{4}[-_.]\\d{1,2}[-_.]\\d{1,2}", "")
-    bare = F.regexp_replace(bare, "[-\\[]\\d{2}[-_.]\\d{2}[-_.]\\d{2}]?", "")
-    return clean, dated, F.replace(bare, F.lit("--"), F.lit("-"))
+def _rewritten(c: Column, rewrites: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda text, rule: F.regexp_replace(text, *rule), rewrites, c)
 
 
 def extract_item_code(
@@ -151,27 +156,37 @@ def extract_item_code(
     series_names: dict[str, str] | None = None,
     supplements: Sequence[tuple[str, str]] = (),
     vendor_prefixes: Sequence[str] = (),
+    composed: bool = False,
 ):
     """Item code of every path: digit code, dated code, then the rule table; else the cleaned name.
 
+    ``composed`` puts the cleaned name in canonical composition (Python, Arrow batched): for names from file systems
+    that take letters and marks apart.
+
     The cascade is built in three projections (clean name, bare name, code) so that no single
     generated method grows with the number of rules.
     """
-    clean, dated, bare = _prepared(as_col(path), tokens)
+    clean = F.concat(strip_noise(F.concat(F.trim(file_stem(as_col(path))), F.lit(".")), tokens), F.lit("."))
+    dated = strip_chars(F.replace(_rewritten(clean, PART_REWRITES), F.lit(" "), F.lit("-")), EDGE)
+    bare = _rewritten(dated, DATE_REWRITES)
     staged = df.withColumn("_clean", clean).withColumn("_dated", dated).withColumn("_bare", bare)
     name, dated_name = F.col("_bare"), F.col("_dated")
 
     digit_code = normalize_digit_code(name, vendor_prefixes)
-    series = expand_series(strip_chars(F.regexp_extract(dated_name, DATED_CODE, 1), "-"), series_names or {})
-    date = F.replace(F.regexp_extract(dated_name, DATED_CODE, 2), F.lit("-"), F.lit("."))
+    series = expand_series(strip_chars(F.regexp_extract(dated_name, DATED_PARTS, 1), "-"), series_names or {})
+    date = F.replace(F.regexp_extract(dated_name, DATED_PARTS, 2), F.lit("-"), F.lit("."))
     dated_code = F.concat(series, F.lit("."), date)
-    dated_code = F.concat(F.upper(F.substring(dated_code, 1, 1)), F.lower(F.substring(dated_code, 2, 10_000)))
+    dated_code = F.concat(F.upper(F.substring(dated_code, 1, 1)), F.lower(F.substring(dated_code, F.lit(2), F.length(dated_code))))
 
-    cases = [(digit_code.isNotNull(), digit_code), (dated_name.rlike(DATED_CODE), dated_code)]
+    cases = [(digit_code.isNotNull(), digit_code), (dated_name.rlike(DATED_CODE) & dated_name.rlike(DATED_PARTS), dated_code)]
     for rule in rules:
         value = rule.value(name)
         cases.append((rule.condition(name), supplement_prefix(value, supplements) if rule.supplement else value))
     fallback = strip_chars(F.regexp_replace(F.col("_clean"), "[【(（\\[].+?[]）)】]", ""), "@. ")
+    if composed:
+        from catalogfuse.functions.text import nfc
+
+        fallback = nfc(fallback)
     code = strip_chars(first_hit(cases, fallback), EDGE).alias(out)
     return sealed(staged, code, keep=[c for c in df.columns if c != out])
 
@@ -231,31 +246,36 @@ def code_variants(code: Column | str, short: Column | str | None = None) -> Colu
 def candidate_codes(name: Column | str) -> Column:
     """Alternative spellings of the code in an upper-case name, shortest first.
 
-    Shapes tried in order: ``91XX123``; ``XX-123-4``; ``XX-YY-123``; three letters with two or more
-    digits; two letters with three or more digits. Order within one length is the order listed.
+    Shapes tried in order: ``91XX123``; ``XX-123-4``; ``XX-123 ... EP4`` or ``NAME.EP4.``; ``XX-YY-123``; three letters with two
+    or more digits; two letters with three or more digits. Order within one length is the order listed.
     """
-    name = as_col(name)
+    name = F.regexp_replace(as_col(name), TRAILING_TEXT, "")
 
-    def g(pattern: str, i: int) -> Column:
-        return F.regexp_extract(name, pattern, i)
+    def spelled(shape: str, *layouts: str) -> Column:
+        """``layouts`` name the groups of the shape by number; the rest of them stands as it is."""
+        groups = {d: F.regexp_extract(name, SPELLINGS[shape], int(d)) for d in "1234" if any(d in x for x in layouts)}
+        return F.array(*[F.concat(*[groups.get(ch, F.lit(ch)) for ch in layout]) for layout in layouts])
 
-    def join(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    def tidy(forms: Column, by: str = ".") -> Column:
+        return F.transform(forms, lambda v: F.replace(F.replace(F.replace(v, F.lit(".."), F.lit(".")), F.lit(" "), F.lit("")), F.lit("."), F.lit(by)))
 
-    lead = "(91[A-Z]{2,})-?(\\d{3,})"
-    multi = "([A-Z]{2,})-?(\\d{3,})-(\\d+)"
-    double = "([A-Z]{2,})-([A-Z]{2,})-(\\d+)"
-    three = "([A-Z]{3,})-?(\\d{2,})"
-    two = "([A-Z]{2,})-?(\\d{3,})"
-    padded = [
-        F.when(F.length(g(two, 2)) == 3, join(g(two, 1), sep + "0", g(two, 2))) for sep in ("-", "", " ")
-    ]
+    def if_three(shape: str, forms: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.length(F.regexp_extract(name, SPELLINGS[shape], 2)) == 3, forms).otherwise(none)
+
+    has = {k: name.rlike(p) for k, p in SPELLINGS.items()}
+    whole = spelled("episode", "1-2.34")
+    # A zero is a literal here, not a group.
+    episode = F.concat(
+        tidy(whole), tidy(whole, " "), spelled("episode", "12"), if_three("episode", tidy(spelled("episode", "1-02.34")))
+    )
     cases = [
-        (name.rlike(lead), F.array(*[join(g(lead, 1), s, g(lead, 2)) for s in ("-", "", " ")])),
-        (name.rlike(multi), F.array(join(g(multi, 1), "-", g(multi, 2), "-", g(multi, 3)))),
-        (name.rlike(double), F.array(join(g(double, 1), "-", g(double, 2), "-", g(double, 3)))),
-        (name.rlike(three), F.array(*[join(g(three, 1), s, g(three, 2)) for s in ("-", "", "-0", "0")])),
-        (name.rlike(two), F.array(*[join(g(two, 1), s, g(two, 2)) for s in ("-", "", " ")], *padded)),
+        (has["lead"], spelled("lead", "1-2", "12", "1 2")),
+        (has["multi"], spelled("multi", "1-2-3")),
+        (name.contains("EP"), F.when(has["episode"], episode).when(has["bare"], spelled("bare", "1")).otherwise(F.array().cast("array<string>"))),
+        (has["double"], spelled("double", "1-2-3")),
+        (has["three"], spelled("three", "1-2", "12", "1-02", "102")),
+        (has["two"], F.concat(spelled("two", "1-2", "12", "1 2"), if_three("two", spelled("two", "1-02", "102", "1 02")))),
     ]
     found = distinct_in_order(first_hit(cases, F.array().cast("array<string>")))
     keyed = F.transform(found, lambda v, i: F.struct(F.length(v).alias("n"), i.alias("i"), v.alias("v")))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.functions.basics import as_col, contains_any, first_hit, replace_each, sealed
+from catalogfuse.functions.basics import alternation, as_col, contains_any, first_hit, replace_each, sealed
 from catalogfuse.functions.codes import strip_noise
 
 
@@ -43,18 +43,19 @@ def part_number(
     letters: bool = True,
     letter_c: bool = False,
     middle_digit: bool = True,
+    numbered_words: Sequence[str] = ("vol", "case", "no"),
     out: str = "part",
 ) -> DataFrame:
     """Add the disc / part index of a file, 0 for none.
 
     Four patterns in order: ``cd12`` / ``part3`` / ``hd2``; a trailing number; a trailing letter a-o;
-    a single digit between separators. ``separators`` are treated as '-'.
+    a single digit between separators. ``separators`` are treated as '-'; a number behind one of ``numbered_words`` is no part.
     """
     name = F.replace(strip_noise(stem, tokens, "-"), as_col(code), F.lit("-"))
     name = F.trim(F.replace(name, F.lit("--"), F.lit("-")))
     name = replace_each(name, [(s, "-") for s in separators])
     name = F.concat(F.lower(name), F.lit("."))
-    staged = df.withColumn("_name", F.regexp_replace(name, "(vol|case|no|cwp|cwpbd|act)[-.]?\\d+", ""))
+    staged = df.withColumn("_name", F.regexp_replace(name, f"({alternation(numbered_words)})[-.]?\\d+", ""))
     name = F.col("_name")
 
     marked = F.regexp_extract(name, "[-_ .](cd|part|hd)([0-9]{1,2})", 2)
@@ -88,7 +89,7 @@ def part_suffix(part: Column | str, style: str = "-cd") -> Column:
 class EditionWords:
     """Words that mark an edition in a path; label values are the caller's."""
 
-    restored: Sequence[str] = ("-uncensored.", "umr.", ".restored")
+    restored: Sequence[str] = (".restored",)
     regional: Sequence[str] = ()
     leaked: Sequence[str] = ("leaked",)
     uncut: Sequence[str] = ("uncut",)
@@ -171,9 +172,11 @@ def resolution_bucket(height: Column | str, style: str = "height") -> Column:
     return first_hit([(height >= b[0], F.lit(b[column])) for b in BUCKETS], F.lit(""))
 
 
-def subtitle_token(stem: Column | str, tokens: Sequence[str], negative: Sequence[str] = ()) -> Column:
-    """A subtitle token stands in the upper-case file name (disc markers removed first)."""
-    name = F.concat(replace_each(F.upper(as_col(stem)), (("CD", ""), ("CARIB", ""))), F.lit("."))
+def subtitle_token(
+    stem: Column | str, tokens: Sequence[str], negative: Sequence[str] = (), ignored: Sequence[str] = ("CD",)
+) -> Column:
+    """A subtitle token stands in the upper-case file name (``ignored`` words removed first)."""
+    name = F.concat(replace_each(F.upper(as_col(stem)), [(w.upper(), "") for w in ignored]), F.lit("."))
     return contains_any(name, [t.upper() for t in tokens]) & ~contains_any(as_col(stem), negative)
 
 

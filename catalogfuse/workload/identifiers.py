@@ -27,6 +27,7 @@ def code_ctes(source: str) -> str:
     """CTEs from ``source(path, ...)`` to ``coded(path, item_code, ...)``."""
     digit = "regexp_matches(bare, '^\\d{6}[-_]\\d{2,4}$')"
     dated = "([A-Z0-9_]{2,})[-.]2?0?(\\d{2}[-.]\\d{2}[-.]\\d{2})"
+    parts = "([A-Z0-9-]{2,})[-_.]2?0?(\\d{2}[-.]\\d{2}[-.]\\d{2})"
     first = "regexp_extract({s}, '{p}', {g})"
 
     def g(p, i, s="bare"):
@@ -37,11 +38,11 @@ def code_ctes(source: str) -> str:
 
     two = lambda p: f"{g(p, 1)} || '-' || {g(p, 2)}"
     n_code = "(^|[^A-Z])(N\\d{4})(\\D|$)"
-    series = f"lower(trim({g(dated, 1, 'dated')}, '-')) || '.' || replace({g(dated, 2, 'dated')}, '-', '.')"
+    series = f"lower(trim({g(parts, 1, 'dated')}, '-')) || '.' || replace({g(parts, 2, 'dated')}, '-', '.')"
     cases = " ".join(
         [
             f"WHEN {digit} THEN bare",
-            f"WHEN regexp_matches(dated, '{dated}') THEN upper(left({series}, 1)) || substr({series}, 2)",
+            f"WHEN regexp_matches(dated, '{dated}') AND regexp_matches(dated, '{parts}') THEN upper(left({series}, 1)) || substr({series}, 2)",
             shape("([A-Z]{2,})00(\\d{3})", two("([A-Z]{2,})00(\\d{3})")),
             shape("\\d{2,}[A-Z]{2,}-\\d{2,}[A-Z]?", g("\\d{2,}[A-Z]{2,}-\\d{2,}[A-Z]?", 0)),
             shape("[A-Z]{2,}-\\d{2,}[Z]?", g("[A-Z]{2,}-\\d{2,}[Z]?", 0)),
@@ -144,7 +145,11 @@ def _cand_sql() -> str:
     three = [f"{x(_ONE, 1)} || '{s}' || {x(_ONE, 2)}" for s in ("-", "", "-0", "0")]
     two = [f"{x(_TWO, 1)} || '{s}' || {x(_TWO, 2)}" for s in ("-", "", " ")]
     two += [f"CASE WHEN length({x(_TWO, 2)}) = 3 THEN {x(_TWO, 1)} || '{s}0' || {x(_TWO, 2)} END" for s in ("-", "", " ")]
+    ep, bare = (f"'{C.SPELLINGS[k]}'" for k in ("episode", "bare"))
+    tidy = lambda zero: f"replace(replace({x(ep, 1)} || '-{zero}' || {x(ep, 2)} || '.' || {x(ep, 3)} || {x(ep, 4)}, '..', '.'), ' ', '')"
+    episode = f"[{tidy('')}, replace({tidy('')}, '.', ' '), {x(ep, 1)} || {x(ep, 2)}, CASE WHEN length({x(ep, 2)}) = 3 THEN {tidy('0')} END]"
     return f"""CASE WHEN regexp_matches(nm, {_MULTI}) THEN [{x(_MULTI, 1)} || '-' || {x(_MULTI, 2)} || '-' || {x(_MULTI, 3)}]
+      WHEN contains(nm, 'EP') THEN CASE WHEN regexp_matches(nm, {ep}) THEN {episode} WHEN regexp_matches(nm, {bare}) THEN [{x(bare, 1)}] ELSE [] END
       WHEN regexp_matches(nm, {_DOUBLE}) THEN [{x(_DOUBLE, 1)} || '-' || {x(_DOUBLE, 2)} || '-' || {x(_DOUBLE, 3)}]
       WHEN regexp_matches(nm, {_ONE}) THEN [{', '.join(three)}] WHEN regexp_matches(nm, {_TWO}) THEN [{', '.join(two)}] ELSE [] END"""
 
@@ -152,13 +157,14 @@ def _cand_sql() -> str:
 @query(
     "candidate_codes",
     X.cte(f=X.CODES)
-    + f""", g AS (SELECT p_partkey, upper(code) AS nm FROM f), l AS (SELECT p_partkey, {_cand_sql()} AS c FROM g),
+    + f""", g AS (SELECT p_partkey, regexp_replace(upper(code) || CASE WHEN p_partkey % 9 = 0 THEN '.EP3.NAME' WHEN p_partkey % 9 = 1 THEN '-TAIL' ELSE '' END, '-[^0-9]+?$', '') AS nm FROM f), l AS (SELECT p_partkey, {_cand_sql()} AS c FROM g),
       u AS (SELECT p_partkey, unnest(c) AS cand, generate_subscripts(c, 1) AS i FROM l),
       d AS (SELECT p_partkey, cand, min(i) AS i FROM u WHERE cand <> '' GROUP BY 1, 2)
       SELECT p_partkey, cand, row_number() OVER (PARTITION BY p_partkey ORDER BY length(cand), i) - 1 AS pos FROM d""",
 )
 def candidate_codes(t: Tables):
-    rows = t.sql(X.CODES).select("p_partkey", C.candidate_codes(F.upper("code")).alias("c"))
+    tail = F.when(F.col("p_partkey") % 9 == 0, ".EP3.NAME").when(F.col("p_partkey") % 9 == 1, "-TAIL").otherwise("")
+    rows = t.sql(X.CODES).select("p_partkey", C.candidate_codes(F.concat(F.upper("code"), tail)).alias("c"))
     return rows.select("p_partkey", F.posexplode("c").alias("pos", "cand"))
 
 
@@ -247,7 +253,7 @@ def _part_sql() -> str:
     name = f"trim(replace(replace({noise}, item_code, '-'), '--', '-'))"
     for s in "_ .":
         name = f"replace({name}, '{s}', '-')"
-    return f"regexp_replace(lower({name}) || '.', '(vol|case|no|cwp|cwpbd|act)[-.]?\\d+', '', 'g')"
+    return f"regexp_replace(lower({name}) || '.', '(vol|case|no)[-.]?\\d+', '', 'g')"
 
 
 @query(
@@ -263,7 +269,7 @@ def part_number(t: Tables):
 
 
 EDITIONS = P.EditionWords(uncut=("-uncut",), regional=("brand13/",), cut=("brand1/",))
-EDITION_SQL = """CASE WHEN contains(lower(path), '-uncensored.') OR contains(lower(path), 'umr.') OR contains(lower(path), '.restored') THEN 'restored'
+EDITION_SQL = """CASE WHEN contains(lower(path), '.restored') THEN 'restored'
   WHEN contains(lower(path), 'brand13/') THEN 'regional' WHEN contains(lower(path), 'leaked') THEN 'leaked'
   WHEN contains(lower(path), '-uncut') OR regexp_matches(item_code, '^n\\d{4}') THEN 'uncut' WHEN contains(lower(path), 'brand1/') THEN 'cut' END"""
 
