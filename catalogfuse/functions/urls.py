@@ -56,7 +56,7 @@ def normalize_asset_url(
     if collapse_hosts:
         family = url_host(text).rlike(f"(?:{alternation(collapse_hosts)})$")
         path = F.when(family, F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
-    pairs = F.filter(F.split(F.substring(_part(text, 4), 2, 100_000), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substring(_part(text, 4), F.lit(2), F.length(text)), "&"), lambda p: p != "")
     if probe_params:
         pairs = F.filter(pairs, lambda p: ~p.isin(*probe_params))
     query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")

@@ -125,8 +125,6 @@ def prioritize_tags(
     ``shuffle_by`` mixes the priority tags by ``xxhash64(shuffle_by, tag)``: random-looking, yet the
     same on every run. Without it they keep their order.
     """
-    if len(section) > 5000:
-        raise ValueError("section too long for a literal")
     tags = as_col(tags)
     keys = [s.strip().lower() for s in section]
     is_priority = lambda t: tag_key(t).isin(*keys)

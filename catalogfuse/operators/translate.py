@@ -48,7 +48,8 @@ def translate(df: DataFrame, col: str, engines: Sequence[Engine], where=None, ou
     translated = texts.mapInPandas(run, "_src string, _dst string, _by string")
     take = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     keep = [F.col(c) for c in df.columns if c != out]
-    return df.join(translated, F.col(col) == F.col("_src"), "left").select(
+    # Rows that are not to be translated have no key: they stay where they are.
+    return df.join(translated, F.when(take, F.col(col)) == F.col("_src"), "left").select(
         *keep,
         F.when(take, F.coalesce("_dst", F.col(col))).otherwise(F.col(col)).alias(out),
         F.when(take, F.col("_by")).alias(f"{out}_by"),

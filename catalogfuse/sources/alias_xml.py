@@ -20,11 +20,13 @@ def read_alias_table(
     """``aliases(ord, canonical, keywords, href)`` from rows with one attribute per language.
 
     ``ord`` follows the document: the reader keeps file order inside a partition and partitions in
-    order, and an alias document is one small file.
+    order, and an alias document is one file. Several files have no order among them and are refused.
     """
     names = [*languages, "keyword", "href"]
     schema = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in names])
     raw = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_").schema(schema).load(path)
+    if len(raw.inputFiles()) > 1:
+        raise ValueError("an alias table is one document: read several one by one, in their order")
     return alias_rows(raw.withColumn("ord", F.monotonically_increasing_id()), languages, prefix="_")
 
 

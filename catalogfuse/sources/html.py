@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -87,17 +87,19 @@ def _label_hits(nodes, pattern: str) -> list[str]:
     return out
 
 
-def read_page(html: str, rules: Sequence[Rule]) -> dict[str, list[str]]:
-    """Hits of the tag and label rules on one page, first successful attempt per field."""
+def page_hits(html: str, rules: Sequence[Rule]) -> list[list[str]]:
+    """Hits of each tag or label rule on one page."""
     reader = _Reader()
     reader.feed(html or "")
-    found: dict[str, list[str]] = {}
-    for rule in sorted(rules, key=lambda r: r.attempt):
-        if found.get(rule.field):
-            continue
-        hits = _tag_hits(reader.nodes, rule.pattern) if rule.kind == "tag" else _label_hits(reader.nodes, rule.pattern)
-        found[rule.field] = hits if rule.many else hits[:1]
-    return found
+    return [(_tag_hits if rule.kind == "tag" else _label_hits)(reader.nodes, rule.pattern) for rule in rules]
+
+
+def read_page(html: str, rules: Sequence[Rule]) -> dict[str, list[str]]:
+    """What tag and label rules find on one page: per field the hits of its first rule, by attempt, that has any."""
+    out: dict[str, list[str]] = {r.field: [] for r in rules}
+    for rule, hits in sorted(zip(rules, page_hits(html, rules), strict=True), key=lambda x: x[0].attempt):
+        out[rule.field] = out[rule.field] or (hits if rule.many else hits[:1])
+    return out
 
 
 def extract_fields(
@@ -106,42 +108,35 @@ def extract_fields(
     """One column per field, NULL when the page has no value, and ``unsupported``: the fields of
     ``all_fields`` that have no rule at all.
 
-    Regex rules are column expressions. Only when tag or label rules are given do pages pass through
-    a Python worker, and then only key and markup.
+    A field takes the value of its first rule, by ``attempt`` whatever the kinds, that finds one. Regex rules are column
+    expressions. Only when tag or label rules are given does the markup pass through a Python worker, once for all of them.
     """
     fields = list(dict.fromkeys(r.field for r in rules))
-    native = {f: [] for f in fields}
-    for rule in sorted((r for r in rules if r.kind == "regex"), key=lambda r: r.attempt):
-        native[rule.field].append(_regex_value(F.col(html), rule))
     many = {f: any(r.many for r in rules if r.field == f) for f in fields}
-    out = pages.select(key, *[F.coalesce(*native[f]).alias(f) for f in fields if native[f]])
     walked = [r for r in rules if r.kind != "regex"]
+    rows = pages.select(key, html)
     if walked:
-        names = list(dict.fromkeys(r.field for r in walked))
-        key_type = pages.schema[key].dataType.simpleString()
-        schema = f"{key} {key_type}, " + ", ".join(f"_{n} array<string>" for n in names)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [read_page(h, walked) for h in batch[html]]
-                columns = {key: batch[key]}
-                for n in names:
-                    columns[f"_{n}"] = [f.get(n) or None for f in found]
-                yield pd.DataFrame(columns)
-
-        parsed = pages.select(key, html).mapInPandas(run, schema)
-        value = lambda n: F.col(f"_{n}") if many[n] else F.get(F.col(f"_{n}"), F.lit(0))
-        if any(native.values()):
-            out = out.join(parsed, key, "left")
-            cols = [
-                F.coalesce(*([F.col(f)] if native[f] else []), *([value(f)] if f in names else [])).alias(f) for f in fields
-            ]
-        else:
-            out, cols = parsed, [value(f).alias(f) for f in fields]
-        out = out.select(key, *cols)
+
+        @F.pandas_udf(", ".join(f"w{i} array<string>" for i in range(len(walked))))
+        def walk(markup: pd.Series) -> pd.DataFrame:
+            found = [page_hits(page, walked) for page in markup]
+            return pd.DataFrame({f"w{i}": [hits[i] or None for hits in found] for i in range(len(walked))})
+
+        rows = rows.withColumn("_walked", walk(F.col(html)))
+
+    def value(rule: Rule) -> Column:
+        if rule.kind == "regex":
+            found = _regex_value(F.col(html), rule)
+            return F.when(found.isNotNull(), F.array(found)) if many[rule.field] and not rule.many else found
+        hits = F.col(f"_walked.w{walked.index(rule)}")
+        hits = hits if rule.many else F.slice(hits, 1, 1)
+        return hits if many[rule.field] else F.get(hits, F.lit(0))
+
+    ordered = sorted(rules, key=lambda r: r.attempt)
+    columns = [F.coalesce(*[value(r) for r in ordered if r.field == f]).alias(f) for f in fields]
     missing = [f for f in all_fields if f not in fields]
     unsupported = F.array(*[F.lit(f) for f in missing]) if missing else F.array().cast("array<string>")
-    return out.withColumn("unsupported", unsupported)
+    return rows.select(key, *columns, unsupported.alias("unsupported"))
 
 
 def page_values(class_name: str = "PageValues"):
