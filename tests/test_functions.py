@@ -19,6 +19,8 @@ def one(spark, column):
         ("/a/259abcd-1456.mp4", "259ABCD-1456"),
         ("/a/[site] abcd-123-4K-.mp4", "ABCD-123"),
         ("/a/Series.21.03.04.some.words.mp4", "Series.21.03.04"),
+        ("/a/SITE-NAME.21.03.04.mp4", "Site-name.21.03.04"),
+        ("/a/MY_SITE.21.03.04.mp4", "Site.21.03.04"),
         ("/a/h_173mega05.mkv", "MEGA-05"),
         ("/a/n1234.mp4", "n1234"),
         ("/a/only words.mp4", "ONLY WORDS"),
@@ -112,3 +114,34 @@ def test_unknown_template_field_is_an_error(spark):
 
 def test_reserved_names(spark):
     assert one(spark, naming.avoid_reserved(F.lit("con.txt/ok/LPT1"))) == "con_.txt/ok/LPT1_"
+
+
+@pytest.mark.parametrize(
+    ("expected", "found", "code", "least"),
+    [
+        ("a●cdef", "●bcdef", None, 0.95), ("abcdefghijklmn", "xab●defghijklmnx", None, 0.92), ("Red Title Story", "【Set】Red Title Story [DVD]", None, 1.0),
+        ("Red Title Story", "RED-001 Red Title Story", "RED-001", 1.0), ("Red", "red 001 RED [Blu-ray]", "RED-001", 1.0),
+    ],
+)
+def test_titles_with_wildcards_marks_and_codes(spark, expected, found, code, least):
+    df = spark.createDataFrame([(expected, found, code)], "a string, b string, c string")
+    assert scoring.with_title_confidence(df, ["a"], "b", code=F.col("c")).first()["conf"] >= least
+
+
+def test_a_floor_changes_no_score_above_it(spark):
+    words = ["red title story", "red title", "story red title x", "blue", "red t●tle story", "rad titel storie"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    exact = {(r.a, r.b): r.conf for r in scoring.with_title_confidence(df, ["a"], "b").collect()}
+    for r in scoring.with_title_confidence(df, ["a"], "b", floor=F.lit(0.58)).collect():
+        assert r.conf == exact[r.a, r.b] if exact[r.a, r.b] >= 0.58 else r.conf <= exact[r.a, r.b]
+
+
+@pytest.mark.parametrize(
+    ("name", "spellings"),
+    [
+        ("GAME.EP6.PART", ["GAME.EP6"]), ("MXJ-005.EP1.X", ["MXJ005", "MXJ-005.EP1", "MXJ-005 EP1", "MXJ-0005.EP1"]),
+        ("ABC-12-TEXT", ["ABC12", "ABC-12", "ABC012", "ABC-012"]),
+    ],
+)
+def test_spellings(spark, name, spellings):
+    assert one(spark, codes.candidate_codes(F.lit(name))) == spellings

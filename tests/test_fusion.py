@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from catalogfuse.operators.fusion import collect_candidates, fuse_fields, priority_frame
 from catalogfuse.schemas import Field
 
@@ -99,3 +101,20 @@ def test_language_rows_only_serve_their_field(spark):
     pri = spark.createDataFrame([("title", "a", 1)], "field string, source string, rank int")
     got = fuse_fields(obs, pri, [Field("title", language="ja")]).collect()
     assert got[0]["title"] == "nihongo"
+
+
+def test_types_languages_ids_years_and_people(spark):
+    kind = "item_code string, item_type string, source string, language string, external_id string, title string, release string, year string, people array<string>, all_people array<string>, edition string"
+    rows = [
+        ("i", "A", "s", "", "1", "", "2020-01-02", "0000", ["Ann"], ["Bob"], ""),
+        ("i", "A", "s", "ja", "2", "the title", "", "", None, None, " Cut "),
+        ("i", "B", "t", "", "3", "other", "", "", None, None, ""),
+    ]
+    fields = [Field("title", language="ja"), Field("release", "release"), Field("year", "year"), Field("people", "list"), Field("all_people", "list")]
+    pri = priority_frame(spark, [(t, f.name, s, 1) for t in "AB" for f in fields for s in "st"])
+    obs = spark.createDataFrame(rows, kind)
+    got = {r.item_type: r for r in fuse_fields(obs, pri, fields).collect()}
+    assert set(got) == {"A", "B"} and got["A"].title == "the title" and got["B"].title == "other"
+    assert got["A"].year == "2020" and got["A"].all_people == ["Bob", "Ann"] and set(got["A"].external_ids) == {"s"}
+    first = {r.item_type: r for r in collect_candidates(obs, pri, fields, edition=lambda c: F.lower(F.trim(c))).collect()}
+    assert first["A"].edition == "cut" and first["A"].consulted == ["s"]

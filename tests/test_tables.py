@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from catalogfuse.operators import lookups
 from catalogfuse.operators.aliases import alias_prefix_lookup
+from catalogfuse.operators.reports import person_catalog
 from catalogfuse.plans.skew import bucketed_gaps, exact_percentiles
+from catalogfuse.sources.html import Rule, extract_fields
 
 
 def test_exact_percentiles_with_a_hot_key(spark):
@@ -40,17 +42,45 @@ def test_bucketed_gaps_across_bucket_borders(spark):
     assert got == want
 
 
-def test_substring_terms_both_ways(spark, monkeypatch):
-    words = ["ab", "abc", "Bcd", "xyz", "c d"]
+def test_substring_terms(spark):
+    words = ["ab", "abc", "Bcd", "xyz", "c d", "b", "zabcde"]
     texts = [(i, t) for i, t in enumerate(["zabcde", "ABCD", "no", "b c d", "", "xy"])]
     df = spark.createDataFrame(texts, "id int, text string")
     terms = spark.createDataFrame(list(enumerate(words)), "ord int, term string")
     want = sorted((i, w) for i, t in texts for w in words if w.lower() in t.lower())
-    small = lookups.dictionary_terms(df, terms, "text", "id", "substring")
-    assert sorted((r["id"], r["term"]) for r in small.collect()) == want
-    monkeypatch.setattr(lookups, "MAX_SUBSTRING_TERMS", 0)
-    large = lookups.dictionary_terms(df, terms, "text", "id", "substring")
-    assert sorted((r["id"], r["term"]) for r in large.collect()) == want
+    got = lookups.dictionary_terms(df, terms, "text", "id", "substring")
+    assert sorted((r["id"], r["term"]) for r in got.collect()) == want
+    assert lookups.dictionary_terms(df, terms.where("false"), "text", "id", "substring").count() == 0
+
+
+def test_word_terms_of_any_length(spark):
+    df = spark.createDataFrame([(1, "A sci-fi film: one two three four five six"), (2, "science")], "id int, text string")
+    terms = spark.createDataFrame([(1, "one two three four five"), (2, "sci-fi"), (3, "scien"), (4, "--")], "ord int, term string")
+    got = lookups.dictionary_terms(df, terms, "text", "id")
+    assert sorted((r["id"], r["term"]) for r in got.collect()) == [(1, "one two three four five"), (1, "sci-fi")]
+
+
+def test_no_file_is_lost_when_codes_are_shared(spark):
+    files = spark.createDataFrame([(1, "A", True), (2, "A", False), (3, "B", True), (4, None, True)], "id int, item_code string, may boolean")
+    items = spark.createDataFrame([("A", "title")], "item_code string, title string")
+    got = lookups.share_by_code(files, lambda codes: codes.join(items, "item_code"), F.col("may"))
+    assert sorted((r.id, r.title, r.shared, r.resolved) for r in got.collect()) == [
+        (1, "title", True, True), (2, "title", False, True), (3, None, True, False), (4, None, True, False),
+    ]
+
+
+def test_the_last_listing_row_of_a_code_wins(spark):
+    rows = [(1, "p", "A", "old", "2020.1.2", "u", False, False), (2, "p", "A", "new", "03-17-2021", "v", True, False)]
+    listing = spark.createDataFrame(rows, "pos int, person string, item_code string, title string, date_text string, url string, has_download boolean, has_subtitle boolean")
+    got = person_catalog(listing, spark.createDataFrame([("p", "A")], "person string, item_code string")).collect()
+    assert [(r.title, r.date, r.availability, r.single_work) for r in got] == [("new", "2021/03/17", "download", True)]
+
+
+def test_page_rules_go_by_attempt(spark):
+    rules = [Rule("name", "<b>(.*?)</b>", attempt=1), Rule("name", "h1", kind="tag"), Rule("note", "<i>(.*?)</i>"), Rule("note", "h1", kind="tag", attempt=1)]
+    pages = spark.createDataFrame([(1, "<h1>first</h1><b>second</b>"), (1, "<b>only</b>"), (2, "")], "page_id int, html string")
+    got = extract_fields(pages, rules).collect()
+    assert sorted((r.page_id, r.name or "", r.note or "") for r in got) == [(1, "first", "first"), (1, "only", ""), (2, "", "")]
 
 
 def test_prefix_lookup_prefers_exact(spark):
