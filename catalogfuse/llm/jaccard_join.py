@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import parts, query, sifted, table, texts, written
+from catalogfuse.llm.common import dropped, parts, query, sifted, table, texts, written
 from catalogfuse.llm.components import components
 from catalogfuse.llm.hashing import U, list_column, mix, shingle_sets, slices, text_bytes
 
 COMBINE = 4  # frequent tokens in a signature: passages that documents share seldom have so many in one part
-PART = 5  # what a part adds to the count above, about, where all tokens are frequent
+PART = 3  # what a part adds to the count above, about, where all tokens are frequent
 
 
 def _allowed(n: int, percent: int) -> int:
@@ -253,9 +253,12 @@ def jaccard_join(
     whole = texts(docs)
     kind = "doc_id bigint, n bigint, d1 bigint, d2 bigint, first binary, brief binary"
     sketch = written(whole.mapInArrow(_sketch(words, percent), kind), tables)
-    held = sketch.where("n > 0 and doc_id is not null")
+    known = "n > 0 and doc_id is not null"
     # A class is known by the least doc_id that has its set; documents follow by the digest.
-    reps = written(held.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("brief").alias("brief")), tables)
+    reps = written(sketch.where(known).groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("first").alias("first"), F.first("brief").alias("brief")), tables)
+    base = written(sketch.select("doc_id", "n", "d1", "d2"), tables)
+    dropped(sketch)
+    held = base.where(known)
     tokens = reps.select("doc_id", "first").mapInArrow(_explode, "token bigint, doc_id bigint")
     often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > frequent).select("token"), tables)
     common = written(sifted(tokens, "token", often).join(often, "token").groupBy("doc_id").agg(F.collect_set("token").alias("common")), tables)
@@ -283,6 +286,9 @@ def jaccard_join(
     ties = several.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     ties = ties.unionByName(upper.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).unionByName(near)
     clusters = components(ties, tables)
+    classes = written(reps.select("d1", "d2", "n", "doc_id"), tables)
+    for done in (signed, reps):
+        dropped(done)
 
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     small = F.col("members") <= block
@@ -300,10 +306,10 @@ def jaccard_join(
     met = sifted(whole.where("doc_id is not null"), "doc_id", placed).join(placed, "doc_id")
     links = met.groupBy("cell").applyInPandas(_verify(words, percent), "a bigint, b bigint")
     joined = components(links, tables)
-    classes = reps.select("d1", "d2", "n", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left")
+    classes = classes.join(joined, F.col("doc_id") == F.col("node"), "left")
     classes = classes.select("d1", "d2", "n", F.coalesce("component", "doc_id").alias("component_id"))
     lead = held.select("doc_id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sketch.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
