@@ -327,12 +327,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, blocks: int | None = None) -
     lose nothing and cost nobody anything. Rows that repeat a doc_id are no smaller than each other: both keep what they
     share. An empty table gives an empty result.
 
-    ``length`` is from 25 to 64. ``blocks`` (three times the shuffle partitions unless given) bounds the text that a task holds.
+    ``length`` is from 25 to 64. ``blocks`` (twice the shuffle partitions unless given) bounds the text that a task holds.
     """
     if not GRAM < length <= 64:
         raise ValueError(f"length must be from {GRAM + 1} to 64")
     buckets = parts(docs.sparkSession)
-    blocks = blocks or 3 * buckets
+    blocks = blocks or 2 * buckets
     whole = texts(docs)
     dealt = whole.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     by_block = dealt.groupBy("block")
