@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import written
+from catalogfuse.llm.common import dropped, written
 
 
 def components(edges: DataFrame, tables: str = "components") -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame, tables: str = "components") -> DataFrame:
         of_label = labels.select(F.col("a").alias("new"), F.col("label").alias("further"))
         jumped = met.join(of_label, "new").select("a", F.least("new", "further").alias("label"), (F.least("new", "further") < F.col("label")).alias("moved"))
         jumped = written(jumped, tables)
+        dropped(labels)
         labels = jumped.select("a", "label")
         if jumped.where("moved").isEmpty():
+            dropped(both)
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
