@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -310,3 +311,30 @@ def test_pipeline(spark):
         docs, kept = out, out
     final = pipeline.STAGES[-1][1](spark, docs, "")
     assert final.count() == kept.count() and names == ["toxicity", "near duplicates", "decontamination", "mixing"]
+
+
+def test_toxicity_keeps_words_apart_whatever_their_number(spark, monkeypatch):
+    # A mark of toxic texts, and an ordinary word that has the same 20 leading bits of its hash.
+    pool = [f"w{i}" for i in range(3000)]
+    hashes = toxicity.words(*toxicity.text_bytes(pa.array([" ".join(pool)])))[0] >> np.uint64(44)
+    order = np.argsort(hashes, kind="stable")
+    k = int(np.flatnonzero(hashes[order][1:] == hashes[order][:-1])[0])
+    bad, fine = pool[order[k]], pool[order[k + 1]]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        rows.append((i, f"v{i % 7} {bad if toxic else fine} v{i % 5} v{i % 11} {bad if toxic else fine}"))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    counted = toxicity.learn(docs, known)
+    one = {r.row.text: r.ratio for r in counted.ratios(spark.createDataFrame([(1, bad), (2, fine)], "doc_id bigint, text string")).collect()}
+    assert one[bad] > 2 and one[fine] < -2
+
+    folder = "/root/testdata/sf0.01"
+    docs, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    memory = {r.doc_id: r for r in toxicity.score_toxicity(docs, known).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_EVIDENCE", 0)
+    joined = {r.doc_id: r for r in toxicity.score_toxicity(docs, known).collect()}
+    assert memory.keys() == joined.keys()
+    for i, r in memory.items():
+        assert (r.ratio, r.window_ratio, r.score) == pytest.approx((joined[i].ratio, joined[i].window_ratio, joined[i].score), abs=1e-3)
