@@ -23,9 +23,13 @@ UNITS = (
 BROADCAST_WINDOWS = 200_000  # windows of the benchmark up to which they go to the documents; beyond, both are shuffled
 
 
+# Thai, Lao, Burmese, Khmer, kana and Han: no blanks between words.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+
+
 def tokens(text: Column) -> Column:
-    """Words and numbers, without white space and punctuation."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
+    """Words and numbers, without white space and punctuation; scripts without blanks by characters."""
+    return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[{UNSPACED}&&[\p{{L}}\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
 def template(token: Column) -> Column:
@@ -36,16 +40,34 @@ def template(token: Column) -> Column:
     )
 
 
-def windows(tokens_: Column, lengths: list[int]) -> Column:
-    """Hashes of the template's windows of each length, with their first token (from 0) and length."""
+def windows(tokens_: Column, lengths: list[int], literals: int, exact: bool) -> Column:
+    """Hashes of the template's windows of each length, with their first token (from 0) and length.
+
+    A window with fewer than ``literals`` words that are no placeholders has the hash of its tokens themselves, if
+    ``exact``, and none otherwise. A window has as many of them as any other with its template, so it needs one hash only.
+    """
 
     def of(canon: Column) -> Column:
-        def one(length: int) -> Column:
+        def one(length: int, flags: Column | None = None) -> Column:
             last = F.size(canon) - length
             starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(canon, i + 1, length)).alias("h"), i.alias("at")))
 
-        return F.concat(*map(one, lengths)) if len(lengths) > 1 else one(lengths[0])
+            def key(i: Column) -> Column:
+                h = F.xxhash64(F.slice(canon, i + 1, length))
+                if flags is None:
+                    return h
+                words = F.size(F.array_remove(F.slice(flags, i + 1, length), 0))
+                return F.when(words >= literals, h).otherwise(F.xxhash64(F.lit("exact"), F.slice(tokens_, i + 1, length)))
+
+            return F.transform(starts, lambda i: F.struct(key(i).alias("h"), i.alias("at")))
+
+        def all_of(flags: Column | None = None) -> Column:
+            return F.concat(*[one(n, flags) for n in lengths]) if len(lengths) > 1 else one(lengths[0], flags)
+
+        if not exact:
+            return all_of()
+        flag = F.transform(canon, lambda t: F.when(F.substring(t, 1, 1) == "<", 0).otherwise(1))
+        return F.element_at(F.transform(F.array(flag), all_of), 1)
 
     # One element names the template, so that it is computed once and not for every window.
     return F.element_at(F.transform(F.array(F.transform(tokens_, template)), of), 1)
@@ -58,7 +80,8 @@ def contaminated(
 
     A document holds an item when windows of ``window`` tokens on one diagonal cover ``least`` tokens of it (all of a shorter
     item) and the values of the placeholders there map one to one. Windows with fewer than ``literals`` words that are no
-    placeholders tell nothing and are not looked for; an item of fewer than ``window`` tokens is one window.
+    placeholders have templates that tell nothing: they are looked for by their tokens, placeholders' values too. An item of
+    fewer than ``window`` tokens is one window.
 
     Null and empty texts hold nothing, null and empty items are found nowhere. Rows without doc_id are not searched. Rows
     that repeat a doc_id are searched together; rows that repeat an item_id count as one item, whatever text matched.
@@ -67,14 +90,20 @@ def contaminated(
     items = benchmark.select("item_id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("item")).where(F.size("item") > 0)
     items = items.withColumn("length", F.least(F.size("item"), F.lit(window)))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [window]  # at most ``window`` values
-    index = items.select("item_id", "item", "length", F.inline(windows(F.col("item"), lengths)))
-    literal = F.size(F.filter(F.slice("item", F.col("at") + 1, F.col("length")), lambda t: template(t) == t))
-    index = index.where((literal >= literals) & (F.col("h") == F.xxhash64(F.transform(F.slice("item", F.col("at") + 1, F.col("length")), template))))
-    index = index.select("item_id", F.col("h"), F.col("at").alias("item_at")).distinct()
-    side = F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index
+    starts = F.sequence(F.lit(0), F.size("item") - F.col("length"))
+    cut = items.select("item_id", "length", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("item", i + 1, F.col("length")).alias("part")))).alias("w"))
+    part = F.col("w.part")
+    literal = F.size(F.filter(part, lambda t: template(t) == t))
+    h = F.when(literal >= literals, F.xxhash64(F.transform(part, template))).otherwise(F.xxhash64(F.lit("exact"), part))
+    index = cut.select("item_id", h.alias("h"), F.col("w.at").alias("item_at"), (literal < literals).alias("exact")).distinct()
+    counted = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("exact"), F.lit(False)).alias("exact")).first()
+    index = index.drop("exact")
+    side = F.broadcast(index) if counted["n"] <= BROADCAST_WINDOWS else index
 
     searched = texts(docs).where("doc_id is not null")
-    met = searched.select("doc_id", F.inline(windows(tokens(F.col("text")), lengths))).join(side, "h")
+    # The tokens are named once, as the template is.
+    hashed = F.element_at(F.transform(F.array(tokens(F.col("text"))), lambda t: windows(t, lengths, literals, counted["exact"])), 1)
+    met = searched.select("doc_id", F.inline(hashed)).join(side, "h")
     lines = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.sort_array(F.collect_set("item_at")).alias("ats"))
     lines = written(lines, tables)
     # The tokens of the documents that were met.

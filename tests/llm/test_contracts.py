@@ -338,3 +338,13 @@ def test_toxicity_keeps_words_apart_whatever_their_number(spark, monkeypatch):
     assert memory.keys() == joined.keys()
     for i, r in memory.items():
         assert (r.ratio, r.window_ratio, r.score) == pytest.approx((joined[i].ratio, joined[i].window_ratio, joined[i].score), abs=1e-3)
+
+
+def test_decontaminate_finds_items_of_few_plain_words(spark):
+    bench = [
+        (1, "What is 17 + 25?"), (2, "WHO WROTE THE NOVEL WAR AND PEACE IN RUSSIA LONG AGO"), (3, "Name Paris"), (4, "水在摄氏多少度时会沸腾成为水蒸气"),
+        (5, "In 1815 Wellington met Napoleon near Brussels on 18 June with 68 thousand men"),
+    ]
+    docs = [(10 + i, f"before it, {text} and after it") for i, text in bench] + [(20, "What is 18 + 25? Name London"), (21, "水在这里")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 + i, i) for i, _ in bench}
