@@ -79,7 +79,8 @@ def contaminated(
     """Rows for what was found only: doc_id, item_id, matched_tokens, item_tokens, slots, same_slots (those with equal values).
 
     A document holds an item when windows of ``window`` tokens on one diagonal cover ``least`` tokens of it (all of a shorter
-    item) and the values of the placeholders there map one to one. Windows with fewer than ``literals`` words that are no
+    item) and the values of the placeholders there map one to one, or ``least`` tokens in a row are the item's own: a changed
+    value elsewhere does not make those another text. Windows with fewer than ``literals`` words that are no
     placeholders have templates that tell nothing: they are looked for by their tokens, placeholders' values too. An item of
     fewer than ``window`` tokens is one window.
 
@@ -114,14 +115,20 @@ def contaminated(
         F.transform(covered, lambda i: F.struct(F.get("item", i).alias("a"), F.get("doc", i + F.col("shift").cast("int")).alias("b"))),
         lambda v: template(v["a"]) != v["a"],
     )
+    same = lambda i: F.coalesce(F.get("item", i) == F.get("doc", i + F.col("shift").cast("int")), F.lit(False))
+    longest = F.aggregate(
+        F.sequence(F.lit(0), F.size("item") - 1), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, i: F.struct(F.when(same(i), s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(same(i), s["now"] + 1).otherwise(0)).alias("most")),
+    )
     slots = F.array_distinct("values")
-    judged = placed.select("doc_id", "item_id", F.size(covered).alias("matched_tokens"), F.size("item").alias("item_tokens"), values.alias("values"))
+    judged = placed.select("doc_id", "item_id", F.size(covered).alias("matched_tokens"), F.size("item").alias("item_tokens"), values.alias("values"), longest["most"].alias("run"))
     judged = judged.select(
-        "doc_id", "item_id", "matched_tokens", "item_tokens", F.size(slots).alias("slots"),
+        "doc_id", "item_id", "matched_tokens", "item_tokens", "run", F.size(slots).alias("slots"),
         F.size(F.filter(slots, lambda v: v["a"] == v["b"])).alias("same_slots"),
         F.size(F.array_distinct(F.transform(slots, lambda v: v["a"]))).alias("a"), F.size(F.array_distinct(F.transform(slots, lambda v: v["b"]))).alias("b"),
     )
-    good = judged.where((F.col("matched_tokens") >= F.least(F.lit(least), F.col("item_tokens"))) & (F.col("a") == F.col("slots")) & (F.col("b") == F.col("slots")))
+    one_to_one = (F.col("a") == F.col("slots")) & (F.col("b") == F.col("slots"))
+    good = judged.where((F.col("matched_tokens") >= F.least(F.lit(least), F.col("item_tokens"))) & (one_to_one | (F.col("run") >= least)))
     best = F.max(F.struct("matched_tokens", "same_slots", "slots", "item_tokens")).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.matched_tokens", "best.item_tokens", "best.slots", "best.same_slots"

@@ -348,3 +348,11 @@ def test_decontaminate_finds_items_of_few_plain_words(spark):
     docs = [(10 + i, f"before it, {text} and after it") for i, text in bench] + [(20, "What is 18 + 25? Name London"), (21, "水在这里")]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(10 + i, i) for i, _ in bench}
+
+
+def test_decontaminate_keeps_a_long_passage_with_one_other_name(spark):
+    bench = [(1, "Anna walked slowly along the river and thought about the long letter that her brother had sent while Anna was ill at home")]
+    text = bench[0][1]
+    docs = [(10, text), (11, "Peter" + text[4:]), (12, text.replace("Anna was", "Peter was")), (13, "Anna walked fast and thought about a letter that her brother had sent while Peter was ill")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == {10, 11, 12}
