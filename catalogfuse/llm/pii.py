@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give away what the patterns found.
 
-Base spans are e-mail and IP addresses, card and phone numbers. Then information theory decides on the words beside
-them: how much of a protected entity's information a term discloses is their pointwise mutual information, estimated from
+Base spans are e-mail and IP addresses, card and phone numbers. Then information theory decides on the other words of
+their documents: how much of a protected entity's information a term discloses is their pointwise mutual information, estimated from
 document counts of the whole corpus, over the entity's own information,
 
     log(N * n(term, entity) / (n(term) * n(entity))) / log(N / n(entity)).
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import query, table, texts, written
+from catalogfuse.llm.common import query, sifted, table, texts, written
 from catalogfuse.llm.hashing import slices, text_bytes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -74,21 +74,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """(span's place, start, end) of the ``reach`` words on either side of each span that touch no span."""
+def _others(text: str, spans: list[tuple[str, int, int]], reach: int | None) -> list[tuple[int, int]]:
+    """(start, end) of the words that touch no span; with ``reach``, of so many on either side of each span only."""
     found = [m.span() for m in _WORD.finditer(text)]
     starts = [a for a, _ in found]
     taken = sorted((a, b) for _, a, b in spans)
     first, ends = [a for a, _ in taken], []
     for _, b in taken:
         ends.append(max(b, ends[-1]) if ends else b)
+    places = range(len(found))
+    if reach is not None:
+        places = sorted({k for a, b in taken for low, high in [(bisect_left(starts, a), bisect_left(starts, b))] for k in (*range(max(0, low - reach), low), *range(high, min(high + reach, len(found))))})
     out = []
-    for i, (_, a, b) in enumerate(spans):
-        low, high = bisect_left(starts, a), bisect_left(starts, b)
-        for s, e in found[max(0, low - reach) : low] + found[high : high + reach]:
-            k = bisect_left(first, e)
-            if k == 0 or ends[k - 1] <= s:
-                out.append((i, s, e))
+    for s, e in (found[k] for k in places):
+        k = bisect_left(first, e)
+        if k == 0 or ends[k - 1] <= s:
+            out.append((s, e))
     return out
 
 
@@ -100,34 +101,32 @@ def _hashes(values: list[str]) -> np.ndarray:
 
 _MARK = {c: 0xFFFC for c in (0x20, *range(0x09, 0x0E))}
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_CONTEXT = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_TERM = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 FOUND = (
     "doc_id bigint, mark bigint, spans array<struct<kind:string,start:bigint,end:bigint>>, "
-    "contexts array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>"
+    "entities array<bigint>, others array<struct<term:bigint,start:bigint,end:bigint>>"
 )
 
 
-def _find(reach: int):
+def _find(reach: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                values = part.column("text").to_pylist()
+                values, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
                 spans = [base_spans(t) for t in values]
-                near = [_near(t, s, reach) if s else [] for t, s in zip(values, spans, strict=True)]
+                others = [_others(t, s, reach) if s else [] for t, s in zip(values, spans, strict=True)]
                 entity = iter(_hashes([f"{k}:{t[a:b]}" for t, s in zip(values, spans, strict=True) for k, a, b in s]).tolist())
-                term = iter(_hashes([t[a:b] for t, n in zip(values, near, strict=True) for _, a, b in n]).tolist())
-                contexts = []
-                for s, n in zip(spans, near, strict=True):
-                    own = [next(entity) for _ in s]
-                    contexts.append([{"entity": own[i], "term": next(term), "start": a, "end": b} for i, a, b in n])
-                marks = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t in values]
+                term = iter(_hashes([t[a:b] for t, n in zip(values, others, strict=True) for a, b in n]).tolist())
+                # Rows that repeat doc_id and text have the same mark.
+                marks = [int.from_bytes(hashlib.blake2b(f"{i}:{t}".encode(), digest_size=8).digest(), "big", signed=True) for i, t in zip(ids, values, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(marks, pa.int64()),
                         pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], pa.list_(_SPAN)),
-                        pa.array(contexts, pa.list_(_CONTEXT)),
+                        pa.array([sorted({next(entity) for _ in s}) for s in spans], pa.list_(pa.int64())),
+                        pa.array([[{"term": next(term), "start": a, "end": b} for a, b in n] for n in others], pa.list_(_TERM)),
                     ],
-                    names=["doc_id", "mark", "spans", "contexts"],
+                    names=["doc_id", "mark", "spans", "entities", "others"],
                 )
 
     return run
@@ -147,11 +146,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "texts"])
 
 
-def find_pii(docs: DataFrame, reach: int = 5, threshold: float = 0.8, support: int = 2, tables: str = "pii") -> DataFrame:
+def find_pii(docs: DataFrame, reach: int | None = None, threshold: float = 0.8, support: int = 2, tables: str = "pii") -> DataFrame:
     """One row per document: doc_id, spans (kind, start, end in code points, by kind and start), base kinds first.
 
-    A term is a word (lower-cased A-Z, with its punctuation) within ``reach`` words of an entity. It is a span where it
-    discloses ``threshold`` of the entity's information and stands beside it in ``support`` documents at least.
+    A term is a word (lower-cased A-Z, with its punctuation) of a document that holds an entity; with ``reach``, within so
+    many words of one. It is a span where it discloses ``threshold`` of the entity's information. For an entity of several
+    documents it has to stand in ``support`` of them at least; one of a single document has no others to ask.
 
     A null or empty text has no spans. Rows without doc_id, and rows that repeat one, are documents of their own; rows
     that repeat doc_id and text get the same spans. An entity that every document has carries no information and
@@ -159,20 +159,32 @@ def find_pii(docs: DataFrame, reach: int = 5, threshold: float = 0.8, support: i
     """
     whole = texts(docs)
     found = written(whole.mapInArrow(_find(reach), FOUND), tables)
-    total = found.count()
-    beside = found.select("doc_id", "mark", F.inline("contexts"))
-    together = beside.select("doc_id", "mark", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    entities = beside.select("doc_id", "mark", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    often = together.where(F.col("both") >= support)
+    total = F.lit(float(found.count()))
+    holding = found.where(F.size("entities") > 0)
+    held = holding.select("mark", F.explode("entities").alias("entity")).distinct()
+    held = written(held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("holders")), "entity"), tables)
+    own = F.log(total / F.col("holders"))
+    held = held.where(own > 0)
+    words_of = holding.select("mark", F.explode("others.term").alias("term")).distinct()
     texts_with = whole.select("text").mapInArrow(_frequencies, "term bigint, texts bigint").groupBy("term").agg(F.sum("texts").alias("texts"))
-    own = F.log(F.lit(float(total)) / F.col("holders"))
-    mutual = F.log(F.lit(float(total)) * F.col("both") / (F.col("texts") * F.col("holders")))
-    telling = often.join(entities, "entity").join(texts_with, "term").where((own > 0) & (mutual >= threshold * own)).select("entity", "term")
-    extra = beside.join(telling, ["entity", "term"]).groupBy("doc_id", "mark").agg(
+    # A term stands with an entity in its holders at most, so one that is too frequent even then discloses none of that document.
+    most = held.agg(F.max("holders")).first()[0] or 1
+    may = F.log(total / F.col("texts")) >= threshold * own
+    rare = words_of.select("term").distinct().join(texts_with, "term").withColumn("holders", F.lit(most)).where(may).drop("holders")
+    rare = written(rare, tables)
+    candidates = written(sifted(words_of, "term", rare).join(rare, "term"), tables)
+    # Alone in its document, an entity is disclosed by a term whatever the entity: no pairs are needed.
+    alone = held.where("holders = 1").select("mark", "holders").distinct()
+    telling = candidates.join(alone, "mark").where(may).select("mark", "term")
+    pairs = candidates.where(F.col("texts") >= support).join(held.where("holders > 1"), "mark").where(may)
+    together = pairs.groupBy("entity", "term", "texts", "holders").agg(F.count(F.lit(1)).alias("both"))
+    mutual = F.log(total * F.col("both") / (F.col("texts") * F.col("holders")))
+    often = together.where((F.col("both") >= support) & (mutual >= threshold * own)).select("entity", "term")
+    telling = telling.union(pairs.join(often, ["entity", "term"]).select("mark", "term")).distinct()
+    extra = holding.select("mark", F.inline("others")).join(telling, ["mark", "term"]).groupBy(F.col("mark").alias("_mark")).agg(
         F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms")
     )
-    extra = extra.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms")
-    joined = found.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    joined = found.join(extra, F.col("mark") == F.col("_mark"), "left")
     return joined.select("doc_id", F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))).alias("spans"))
 
 

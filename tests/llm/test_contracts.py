@@ -356,3 +356,12 @@ def test_decontaminate_keeps_a_long_passage_with_one_other_name(spark):
     docs = [(10, text), (11, "Peter" + text[4:]), (12, text.replace("Anna was", "Peter was")), (13, "Anna walked fast and thought about a letter that her brother had sent while Peter was ill")]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
     assert {r.doc_id for r in got} == {10, 11, 12}
+
+
+def test_pii_terms_of_an_entity_in_one_document(spark):
+    common = "common words that stand in all of these texts and say nothing"
+    rows = [(i, f"{common} other") for i in range(60)] + [(60, f"Zebulon {common} a@b.cc and more words"), (61, f"zorro {common} c@d.ee"), (62, f"zorro {common} c@d.ee")]
+    found = pii.find_pii(spark.createDataFrame(rows + [(63, "more words and other"), (64, "more and"), (65, "more")], "doc_id bigint, text string"))
+    spans = {r.doc_id: [(s.kind, rows[r.doc_id][1][s.start : s.end]) for s in r.spans] for r in found.collect() if r.doc_id < 63}
+    assert spans[60] == [("email", "a@b.cc"), ("term", "Zebulon")] and spans[61] == spans[62] == [("email", "c@d.ee"), ("term", "zorro")]
+    assert not any(spans[i] for i in range(60))
