@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from catalogfuse.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, pii, sharding, suffix_dedup, toxicity  # noqa: F401
+from catalogfuse.llm import (  # noqa: F401
+    collocations,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 from catalogfuse.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
