@@ -24,6 +24,8 @@ from catalogfuse.llm.hashing import _LOWER, U, mix, slices, text_bytes
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 2**64))
 LONGEST = 4  # words of a phrase
+SLICE = 1 << 20  # bytes of text whose polynomials are held at once
+HELD = 1 << 20  # fingerprints that are summed before they leave a task
 
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -97,7 +99,7 @@ def _sieve(frame: DataFrame, bits: int) -> Sieve:
     return Sieve(bits, {r.block - 1: bytes(r.held) for r in rows})
 
 
-def _scan(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, Phrases]]:
+def _scan(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, Phrases]]:
     for batch in batches:
         for part in slices(batch, max_bytes=most):
             langs = part.column("lang").dictionary_encode()
@@ -106,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Rec
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, found in _scan(batches, 4 << 20):
+    for part, found in _scan(batches):
         at, prints = found.prints(1)
         prints, first, counts = np.unique(prints, return_index=True, return_counts=True)
         lang = part.column("lang").take(pa.array(found.text[at[first]]))
@@ -125,9 +127,18 @@ def _passed(found: Phrases, size: int, shorter) -> tuple[np.ndarray, np.ndarray]
 
 def _count_phrases(size: int, shorter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _scan(batches, 4 << 20):
-            prints, counts = np.unique(_passed(found, size, shorter.value)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], names=["print", "found"])
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            prints, counts = np.unique(np.concatenate([np.zeros(0, U), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts)], names=["print", "found"])
+
+        for _, found in _scan(batches):
+            held.append(_passed(found, size, shorter.value)[1])
+            if sum(map(len, held)) > HELD:
+                yield out()
+        yield out()
 
     return run
 
@@ -168,7 +179,7 @@ def _write_out(frequent, longest: int):
     """(lang, size, phrase, found) of the phrases whose fingerprints are in the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _scan(batches, 8 << 20):
+        for part, found in _scan(batches, 2 * SLICE):
             if not len(found.words):
                 continue
             exact = _exact_words(found)
