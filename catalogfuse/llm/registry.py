@@ -6,6 +6,8 @@ from catalogfuse.llm import (  # noqa: F401
     collocations,
     decontaminate,
     exact_dedup,
+    hard_negatives,
+    hyperminhash,
     jaccard_join,
     line_dedup,
     mixing,
