@@ -21,12 +21,12 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalogfuse.llm.blocks import Linker, compared, text_linker, within
 from catalogfuse.llm.common import dropped, parts, query, sifted, table, texts, written
 from catalogfuse.llm.components import components
 from catalogfuse.llm.hashing import U, list_column, mix, shingle_sets, slices, text_bytes
@@ -167,83 +167,38 @@ def can_link(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int) -> bool
     return len(x) - np.isin(x, y).sum() <= n - least and len(y) - np.isin(y, x).sum() <= m - least
 
 
-def _filter(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("brief_a", "n_a", "brief_b", "n_b")]
-            keep = [can_link(_tokens(x, BRIEF), n, _tokens(y, BRIEF), m, percent) for x, n, y, m in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
+def brief_linker(percent: int) -> Linker:
+    """Links between sets (columns n, brief) that can link by their least tokens. Groups are small: pairs one by one."""
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of blocks of the sets' incidence matrix."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate((np.ones(1, bool), flat[1:] != flat[:-1]))
-    token = np.cumsum(new) - 1
-    shared = np.bincount(token)[token] > 1  # a token of one set overlaps nothing
-    owner, token = owner[shared], token[shared]
-    token = np.unique(token, return_inverse=True)[1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-        a, b = np.searchsorted(token, (at, at + width))
-        x = np.zeros((len(sets), width), np.float32)
-        x[owner[a:b], token[a:b] - at] = 1
-        out += x @ x.T
-    return out
-
-
-def _link(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Links that join what is linked: (k, 2) ids, at most one less than the sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    both = np.rint(_overlaps(sets)).astype(np.int64)
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    labels = np.arange(len(sets))
-    while True:
-        low = np.where(linked, labels[None, :], len(sets)).min(axis=1)
-        low = np.minimum(labels, low)
-        low = low[low]
-        if (low == labels).all():
-            break
-        labels = low
-    moved = np.flatnonzero(labels != np.arange(len(sets)))
-    return np.stack((ids[labels[moved]], ids[moved]), axis=1)
-
-
-def _verify(words: int, percent: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        sets = []
-        column = pa.array(frame["text"], pa.large_string())
-        for part in slices(pa.RecordBatch.from_arrays([column], names=["text"])):
-            sets += shingle_sets(*text_bytes(part.column("text")), words)
-        ids, clusters = frame["doc_id"].to_numpy(), frame["cluster"].to_numpy()
-        order = np.argsort(clusters, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1):
-            if len(group) > 1:
-                out.append(_link(ids[group], [sets[i] for i in group], percent))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+    def link(rows: pa.Table, edges: list[int]) -> np.ndarray:
+        ids, sizes = rows.column("id").to_numpy(), rows.column("n").to_pylist()
+        briefs = [_tokens(x, BRIEF) for x in rows.column("brief").to_pylist()]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            lead = list(range(a, b))
+            for x in range(a, b):
+                for y in range(x + 1, b):
+                    fits = 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y])
+                    if fits and lead[x - a] != lead[y - a] and can_link(briefs[x], sizes[x], briefs[y], sizes[y], percent):
+                        out.append((ids[x], ids[y]))
+                        old, new = lead[y - a], lead[x - a]
+                        lead = [new if k == old else k for k in lead]
+        return np.array(out, np.int64).reshape(-1, 2)
 
-    return run
+    return link
 
 
 def jaccard_join(
-    docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = 8, block: int = 1024, tables: str = "jaccard"
+    docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = 8, block: int = 512, tables: str = "jaccard"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words (lower-cased A-Z); a shorter text is one shingle. Two
     documents link when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id that links lead to.
 
-    Equal sets are one class from the start. The signatures, and for single tokens a comparison of the pair's least tokens,
-    tie the classes into candidate clusters; a cluster's sets
-    are compared in one task, a cluster of more than ``block`` classes in blocks of about half as many, each block with
-    each other, so no task holds more than two blocks and no pair is left out.
+    Equal sets are one class from the start. The signatures, and for single tokens a comparison of the sets' least tokens,
+    tie the classes into candidate clusters. A cluster is compared in cells of about ``block`` classes; what these leave unjoined
+    meets all of the cluster (``blocks.compared``), so no task holds more than two blocks and no pair is left out.
 
     A null, empty or blank text has no shingles (0) and links with nothing, not even its like. Rows without doc_id
     link with nothing and get a null component. Rows that repeat a doc_id count as one document with the texts of all of
@@ -268,16 +223,10 @@ def jaccard_join(
     signed = plain.unionByName(mixed).mapInArrow(_sign(percent, 4 * parts(spark)), "sig bigint, salt int, doc_id bigint, n bigint")
     # Ties lead from a signature's sets to the least of them, in two steps where a signature is salted.
     signed = written(signed, tables)
-    # A single token has ``frequent`` sets at most: all its pairs of fitting sizes, then those whose least tokens allow it.
-    single = signed.where("salt < 0").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets")).where(F.size("sets") > 1)
-    fits = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-    pairs = F.flatten(F.transform("sets", lambda x, i: F.transform(
-        F.filter(F.slice("sets", i + 2, F.size("sets")), lambda y: fits(x, y)), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b"))
-    )))
-    met = single.select(F.inline(pairs)).distinct()
-    for side in ("a", "b"):
-        met = met.join(reps.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("brief").alias(f"brief_{side}")), side)
-    near = met.mapInArrow(_filter(percent), "a bigint, b bigint")
+    # A single token has ``frequent`` sets at most. They are compared among themselves, once for all tokens that the same sets have.
+    single = signed.where("salt < 0").groupBy("sig").agg(F.sort_array(F.collect_list("doc_id")).alias("sets")).where(F.size("sets") > 1)
+    single = single.select("sets").distinct().select(F.xxhash64("sets").alias("group"), F.lit(0).cast("bigint").alias("cell"), F.explode("sets").alias("id"))
+    near = within(single, reps.select(F.col("doc_id").alias("id"), "n", "brief"), brief_linker(percent))
     # A combination ties its sets to the least of them, in two steps as it may have any number.
     several = signed.where("salt >= 0").withColumn("hub", F.min("doc_id").over(W.partitionBy("sig", "salt")))
     hubs = several.where("hub = doc_id").select("sig", "doc_id")
@@ -290,21 +239,9 @@ def jaccard_join(
     for done in (signed, reps):
         dropped(done)
 
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    small = F.col("members") <= block
-    cluster = clusters.join(sizes, "component")
-    # Small clusters share tasks; a large one is dealt to blocks, of which each meets each other in a task of its own.
-    cells = F.ceil(F.col("members") / block)
-    big = cluster.where(~small).withColumn("own", F.pmod(F.xxhash64("node"), 2 * cells))
-    pairs_of = F.transform(F.sequence(F.lit(0), (2 * cells - 1).cast("int")), lambda i: F.struct(F.least(F.col("own"), i).alias("x"), F.greatest(F.col("own"), i).alias("y")))
-    placed = cluster.where(small).select("node", F.col("component").alias("cluster"), F.pmod(F.xxhash64("component"), F.lit(4 * parts(spark))).alias("cell"))
-    placed = placed.unionByName(
-        big.select("node", F.col("component").alias("cluster"), F.explode(pairs_of).alias("pair"))
-        .select("node", "cluster", F.xxhash64("cluster", "pair").alias("cell"))
-    )
-    placed = written(placed.withColumnRenamed("node", "doc_id"), tables)
-    met = sifted(whole.where("doc_id is not null"), "doc_id", placed).join(placed, "doc_id")
-    links = met.groupBy("cell").applyInPandas(_verify(words, percent), "a bigint, b bigint")
+    cluster = written(clusters.select(F.col("component").alias("group"), F.col("node").alias("id")), tables)
+    bodies = sifted(whole.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id", cluster)
+    links = compared(cluster, bodies, text_linker(words, percent), block, tables)
     joined = components(links, tables)
     classes = classes.join(joined, F.col("doc_id") == F.col("node"), "left")
     classes = classes.select("d1", "d2", "n", F.coalesce("component", "doc_id").alias("component_id"))
