@@ -203,14 +203,16 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, s
     spark = docs.sparkSession
     spoken = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     often = F.col("found") >= least
-    counted = written(spoken.mapInArrow(_count_words, "lang string, print bigint, found bigint").groupBy("lang", "print").agg(F.sum("found").alias("found")), tables)
+    # Batches come summed up, so another hash table per task before the shuffle would only take memory.
+    counted = spoken.mapInArrow(_count_words, "lang string, print bigint, found bigint").repartition("print")
+    counted = written(counted.groupBy("lang", "print").agg(F.sum("found").alias("found")), tables)
     totals = written(counted.groupBy("lang").agg(F.sum("found").alias("n")), tables)
     levels = [written(counted.where(often).select("print"), tables)]
     dropped(counted)
     for size in range(2, longest + 1):
         sieve = spark.sparkContext.broadcast(_sieve(levels[-1], sieve_bits))
-        found = spoken.mapInArrow(_count_phrases(size, sieve), "print bigint, found bigint").groupBy("print").agg(F.sum("found").alias("found"))
-        levels.append(written(found.where(often).select("print"), tables))
+        found = spoken.mapInArrow(_count_phrases(size, sieve), "print bigint, found bigint").repartition("print")
+        levels.append(written(found.groupBy("print").agg(F.sum("found").alias("found")).where(often).select("print"), tables))
         sieve.unpersist()
     prints = levels[0]
     for level in levels[1:]:
