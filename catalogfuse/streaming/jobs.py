@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogfuse.functions.paths import extension, file_name, is_scannable, parent_dir
+from catalogfuse.plans.skew import runs
 
 FILE_SCHEMA = "path string, size bigint, mtime timestamp"
 
@@ -86,10 +88,20 @@ def current_items(spark: SparkSession, items: str) -> DataFrame:
 
 
 def error_bursts(events: DataFrame, gap: str = "2 seconds", by: Sequence[str] = ("source",), delay: str = "10 minutes") -> DataFrame:
-    """Bursts of throttled responses per key as session windows; works on a stream and on a table."""
-    rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy(*by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("errors")).select(
-        *by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "errors"
+    """Bursts of throttled responses per key: (by, start, end, errors), where ``end`` is a gap after the last response.
+
+    A stream keeps session windows. A table is scanned by summaries of short spans of time (``plans.skew.runs``), so a key
+    that has nearly all rows is many tasks' work.
+    """
+    if events.isStreaming:
+        rows = events.withWatermark("ts", delay)
+        return rows.groupBy(*by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("errors")).select(
+            *by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "errors"
+        )
+    secs = pd.Timedelta(gap).total_seconds()
+    at = lambda c: F.timestamp_micros(c)
+    return runs(events, by, "ts", secs, closed=True).select(
+        *by, at(F.col("first")).alias("start"), at(F.col("last") + int(secs * 1_000_000)).alias("end"), F.col("rows").alias("errors")
     )
 
 

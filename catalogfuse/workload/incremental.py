@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogfuse.operators import fusion as U
-from catalogfuse.plans.skew import bucketed_gaps
+from catalogfuse.plans.skew import number_rows, runs
 from catalogfuse.session import shared_folder
 from catalogfuse.streaming import jobs as J
 from catalogfuse.workload import fixtures as X
@@ -26,12 +26,19 @@ _BURSTS = f"""g AS (SELECT source, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL
     X.cte(f=_THROTTLED) + f", {_BURSTS} SELECT source, run, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS errors, least(run, 6) AS level FROM r GROUP BY source, run",
 )
 def error_bursts(t: Tables):
-    """Bursts numbered without gathering a source's rows in one task."""
-    rows = bucketed_gaps(t.sql(_THROTTLED), ["source"], "ts", _GAP, F.date_trunc("DAY", "ts"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return rows.groupBy("source", "run").agg(
-        micros(F.min("ts")).alias("start"), micros(F.max("ts")).alias("last"), F.count(F.lit(1)).alias("errors")
-    ).withColumn("level", F.least("run", F.lit(6)))
+    """Bursts numbered by a scan of run summaries."""
+    found = runs(t.sql(_THROTTLED), ["source"], "ts", _GAP)
+    return found.select(
+        "source", "run", F.col("first").alias("start"), "last", F.col("rows").alias("errors"), F.least("run", F.lit(6)).alias("level")
+    )
+
+
+_GAPS = "SELECT source, event_id, sum(st) OVER (PARTITION BY source ORDER BY ts) AS run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 900 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM f WINDOW w AS (PARTITION BY source ORDER BY ts))"
+
+
+@query("burst_of_each_error", X.cte(f=_THROTTLED) + _GAPS)
+def burst_of_each_error(t: Tables):
+    return number_rows(t.sql(_THROTTLED), ["source"], "ts", _GAP).select("source", "event_id", "run")
 
 
 @query(
@@ -42,7 +49,7 @@ def error_bursts(t: Tables):
       SELECT source, epoch_us(min(ts)) AS start, count(*) AS errors, least(run, 6) AS level FROM r GROUP BY source, run""",
 )
 def session_bursts(t: Tables):
-    """The same with Spark's session windows (a gap of exactly the width starts a new burst)."""
+    """The same as sessions (a gap of exactly the width starts a new burst)."""
     bursts = J.error_bursts(t.sql(_THROTTLED), f"{_GAP} seconds")
     out = J.burst_levels(bursts)
     return out.select("source", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "errors", F.col("level").cast("bigint").alias("level"))

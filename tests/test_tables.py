@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalogfuse.operators import lookups
 from catalogfuse.operators.aliases import alias_prefix_lookup
 from catalogfuse.operators.reports import person_catalog
-from catalogfuse.plans.skew import bucketed_gaps, exact_percentiles
+from catalogfuse.plans.skew import exact_percentiles, number_rows, number_slots, run_slots, runs
 from catalogfuse.sources.html import Rule, extract_fields
 
 
@@ -16,30 +16,72 @@ def test_exact_percentiles_with_a_hot_key(spark):
     rnd = random.Random(5)
     rows = [("hot", float(rnd.choice([1, 1, 1, rnd.randint(0, 400)]))) for _ in range(3000)]
     rows += [(f"k{i % 7}", rnd.random() * 50) for i in range(400)] + [("flat", 2.5)] * 30
-    got = {r["k"]: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.5, 0.9, 0.99], buckets=16).collect()}
+    got = {r["k"]: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.5, 0.9, 0.99], accuracy=50).collect()}
     for key in {k for k, _ in rows}:
         vals = sorted(v for k, v in rows if k == key)
         for name, ratio in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)):
             assert got[key][name] == vals[round((len(vals) - 1) * ratio)]
 
 
-def test_bucketed_gaps_across_bucket_borders(spark):
+def test_percentiles_of_a_heavy_tail(spark):
+    """Nearly all values in one of a thousand equal widths; only what is near a position is ordered."""
+    rnd = random.Random(9)
+    vals = [rnd.paretovariate(0.3) for _ in range(20_000)] + [1e12]
+    df = spark.createDataFrame([(None, v) for v in vals] + [("x", 1.0), ("x", None)], "k string, v double")
+    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", [0.0, 0.5, 0.99, 1.0], names=["least", "p50", "p99", "most"], accuracy=500).collect()}
+    vals.sort()
+    assert [got[None][n] for n in ("least", "p50", "p99", "most")] == [vals[round((len(vals) - 1) * r)] for r in (0.0, 0.5, 0.99, 1.0)]
+    assert got["x"]["p50"] == got["x"]["most"] == 1.0
+
+
+def _runs_by_hand(rows, gap, closed=False):
+    want, last, run = [], {}, {}
+    for k, ts in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        since = (ts - last[k]).total_seconds() if k in last else None
+        if since is None or since > gap or (closed and since == gap):
+            run[k] = run.get(k, 0) + 1
+        last[k] = ts
+        want.append((k, ts, run[k]))
+    return want
+
+
+def test_runs_across_the_borders_of_spans(spark):
     rnd, start = random.Random(6), datetime(2024, 1, 1, 23, 50)
     rows = []
-    for key in "ab":
+    for key in ("a", "b", None):
         at = start
         for _ in range(300):
-            at += timedelta(seconds=rnd.choice([1, 5, 700, 40000]))
+            at += timedelta(seconds=rnd.choice([1, 5, 600, 601, 700, 40000]))
             rows.append((key, at))
-    df = spark.createDataFrame(rows, "k string, ts timestamp")
-    got = sorted((r["k"], r["ts"], r["run"]) for r in bucketed_gaps(df, ["k"], "ts", 600, F.date_trunc("DAY", "ts")).collect())
-    want, last, run = [], {}, {}
-    for k, ts in sorted(rows):
-        if k not in last or (ts - last[k]).total_seconds() > 600:
-            run[k] = run.get(k, 0) + 1
-        last[k] = ts
-        want.append((k, ts, run[k]))
-    assert got == want
+    df = spark.createDataFrame([*rows, ("a", None)], "k string, ts timestamp")
+    key = lambda r: (r[0] or "", r[1] or start, r[2] or 0)
+    for closed in (False, True):
+        want = _runs_by_hand(rows, 600, closed)
+        got = [(r["k"], r["ts"], r["run"]) for r in number_rows(df, ["k"], "ts", 600, closed).collect()]
+        assert sorted(got, key=key) == sorted([*want, ("a", None, None)], key=key)
+        # Whatever the spans and their levels.
+        slots = run_slots(df, ["k"], "ts", 600)
+        opens = (lambda g: g >= 600_000_000) if closed else (lambda g: g > 600_000_000)
+        for fan, levels in ((2, 3), (3, 1), (1024, 0)):
+            numbered = number_slots(slots, ["k"], opens, fan, levels).groupBy("k").agg(F.max("_run").alias("n")).collect()
+            assert {r["k"]: r["n"] for r in numbered} == {k: max(x[2] for x in want if x[0] == k) for k in ("a", "b", None)}
+
+
+def test_bursts_of_one_key_on_one_day(spark):
+    """99 in 100 rows are of one key and one day: what meets in a task after the rows' own is a small part of them."""
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 100 == 0, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("k"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.pmod(F.xxhash64("id"), F.lit(86_000_000)) * 1000).alias("ts"),
+    ).repartition(8)
+    got = {(r["k"], r["run"]): r for r in runs(rows, ["k"], "ts", 2).collect()}
+    want = {}
+    for k, ts, run in _runs_by_hand([(r["k"], r["ts"]) for r in rows.collect()], 2):
+        want[(k, run)] = want.get((k, run), 0) + 1
+    assert {x: r["rows"] for x, r in got.items()} == want
+    summaries = run_slots(rows.where("k = 'hot'"), ["k"], "ts", 900)
+    assert summaries.count() <= 100
+    spans = run_slots(rows, ["k"], "ts", 2).groupBy("k", F.floor(F.col("_slot") / 1024)).count()
+    assert spans.agg(F.max("count")).first()[0] <= 1024 < 0.05 * 200_000
 
 
 def test_substring_terms(spark):
