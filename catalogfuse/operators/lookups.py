@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogfuse.functions.basics import as_col, first_hit
 from catalogfuse.functions.paths import ancestors, file_name, parent_dir
+from catalogfuse.operators.substrings import substring_terms
 
 
 def missing_items(catalog: DataFrame, local: DataFrame) -> DataFrame:
@@ -152,8 +153,7 @@ def dictionary_terms(
 
     ``terms(ord, term)``. 'word' matches whole words: text and terms are cut into words alike, and the text's distinct
     word n-grams, of the lengths that the terms have, are equi joined to the terms, so cost is linear in the text.
-    'substring' matches anywhere: a term is blocked on its first characters, as many as the largest power of two
-    that it holds, the text's distinct grams of those lengths are joined to the blocks, and hits are verified.
+    'substring' matches anywhere, by each term's rarest gram (``operators.substrings``).
     """
     text = as_col(text)
     if mode == "word":
@@ -179,25 +179,4 @@ def dictionary_terms(
         return found.select(key, F.col("hit.ord").alias("ord"), F.col("hit.term").alias("term"))
     if mode != "substring":
         raise ValueError(f"unknown mode {mode!r}")
-    folded = terms.groupBy(F.lower("term").alias("_t")).agg(F.min(F.struct("ord", "term")).alias("hit")).where("_t <> ''")
-    size = F.pow(F.lit(2), F.floor(F.log2(F.length("_t")))).cast("int")
-    blocked = folded.withColumn("_k", size).withColumn("_g", F.substring(F.col("_t"), F.lit(1), F.col("_k")))
-    sizes = F.coalesce(blocked.agg(F.collect_set("_k")).scalar(), F.array().cast("array<int>"))
-    lowered = df.select(key, F.lower(text).alias("_low"))
-    low = F.col("_low")
-    grams = F.flatten(
-        F.transform(
-            F.col("_sizes"),
-            lambda k: F.when(
-                F.length(low) >= k, F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, k))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    # Grams travel without the text; the text joins in again only for texts with a block hit.
-    hits = (
-        lowered.withColumn("_sizes", sizes).select(key, F.explode(F.array_distinct(grams)).alias("_g"))
-        .join(blocked, "_g")
-        .join(lowered, key)
-        .where(F.col("_low").contains(F.col("_t")))
-    )
-    return hits.select(key, F.col("hit.ord").alias("ord"), F.col("hit.term").alias("term"))
+    return substring_terms(df, terms, text, key)

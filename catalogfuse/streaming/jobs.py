@@ -19,17 +19,72 @@ FILE_SCHEMA = "path string, size bigint, mtime timestamp"
 
 
 def stream_inventory(
-    spark: SparkSession, folder: str, exts: Sequence[str], delay: str = "1 day", fmt: str = "json"
+    spark: SparkSession, folder: str, exts: Sequence[str], horizon: str = "1 day", fmt: str = "json"
 ) -> DataFrame:
-    """New inventory rows of a folder of listings, each path once within the watermark delay."""
+    """New inventory rows of a folder of listings, each path once within the horizon."""
     raw = spark.readStream.format(fmt).schema(FILE_SCHEMA).load(folder)
-    return dedupe_inventory(raw, exts, delay)
+    return dedupe_inventory(raw, exts, horizon)
 
 
-def dedupe_inventory(raw: DataFrame, exts: Sequence[str], delay: str = "1 day") -> DataFrame:
+def dedupe_inventory(raw: DataFrame, exts: Sequence[str], horizon: str = "1 day") -> DataFrame:
+    """Scannable files, each path once within ``horizon`` of its arrival. The clock is that of arrival, so no row is too
+    late, and the state holds the paths of one horizon whatever their dates; ``only_new_paths`` catches older repeats."""
     rows = raw.where(extension("path").isin(*exts) & is_scannable("path"))
-    rows = rows.withColumn("dir", parent_dir("path")).withColumn("name", file_name("path"))
-    return rows.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["path"])
+    rows = rows.withColumn("dir", parent_dir("path")).withColumn("name", file_name("path")).withColumn("_seen", F.current_timestamp())
+    return rows.withWatermark("_seen", horizon).dropDuplicatesWithinWatermark(["path"]).drop("_seen")
+
+
+def only_new_paths(rows: DataFrame, ledger: str, checkpoint: str, bits: int = 27, buckets: int = 256):
+    """Append the rows whose path no earlier batch had to ``ledger``. Returns the started query; read the rows with :func:`new_paths`.
+
+    A bitmap of 2 ** ``bits`` hashed paths, at most 2 ** (bits - 15) rows of 4 kB, follows the ledger. A path whose bit is clear is new
+    for certain. Only the others meet the ledger, and of it only the hash buckets that they fall into; a batch
+    without such paths reads none of it. A repeated batch replaces itself: it reads what was before it.
+    """
+    place = F.pmod(F.xxhash64("path"), F.lit(1 << bits)) + 1
+    keyed = {"bucket": F.pmod(F.xxhash64("path", F.lit(1)), F.lit(buckets)).cast("int"), "_block": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        found = batch.withColumns(keyed)
+        earlier = _batches_before(spark, f"{ledger}/seen", batch_id)
+        fresh = found
+        if earlier:
+            seen = spark.read.parquet(f"{ledger}/seen/batch={earlier[-1]}")
+            octet = F.conv(F.hex(F.substring(F.col("held"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            known = F.coalesce(F.call_function("getbit", octet, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+            gated = found.join(seen, "_block", "left").withColumn("_known", known).drop("held")
+            maybe = gated.where("_known").drop("_known")
+            fresh = gated.where("not _known").drop("_known")
+            wanted = [r.bucket for r in maybe.select("bucket").distinct().collect()]  # at most ``buckets``
+            if wanted:
+                rows_ = spark.read.parquet(f"{ledger}/rows").where(F.col("batch").isin(*earlier) & F.col("bucket").isin(*wanted))
+                fresh = fresh.unionByName(maybe.join(rows_.select("bucket", "path"), ["bucket", "path"], "left_anti"))
+        target = f"{ledger}/rows/batch={batch_id}"
+        fresh.drop("_block", "_bit").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        bits_of = spark.read.parquet(target).select("path").withColumns(keyed).groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("held"))
+        if earlier:
+            bits_of = bits_of.unionByName(seen).groupBy("_block").agg(F.bitmap_or_agg("held").alias("held"))
+        bits_of.write.mode("overwrite").parquet(f"{ledger}/seen/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_paths(spark: SparkSession, ledger: str) -> DataFrame:
+    return spark.read.parquet(f"{ledger}/rows").drop("bucket", "batch")
+
+
+def _batches_before(spark: SparkSession, folder: str, batch_id: int) -> list[int]:
+    """The batches that were written whole below ``folder``, but for this one and later ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath() for s in files.listStatus(path)]
+    done = [int(p.getName().partition("=")[2]) for p in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(b for b in done if b < batch_id)
 
 
 def batch_first_result(events: DataFrame) -> DataFrame:
@@ -50,41 +105,46 @@ def batch_first_result(events: DataFrame) -> DataFrame:
 
 
 def stream_fuse(
-    observations: DataFrame,
-    fuse: Callable[[DataFrame], DataFrame],
-    store: str,
-    items: str,
-    checkpoint: str,
-    buckets: int = 64,
+    observations: DataFrame, fuse: Callable[[DataFrame], DataFrame], sources: Sequence[str], order: Sequence[str], items: str, checkpoint: str,
+    keys: Sequence[str] = ("item_code",),
 ):
     """Keep an item table current while observations arrive. Returns the started query.
 
-    Each micro-batch appends its observations to ``store`` (partitioned by a hash bucket of the
-    code and stamped with the batch id, so a repeated batch replaces itself), then re-fuses the
-    touched codes from the buckets they live in and writes them to ``items`` under the batch id.
-    Readers take the latest batch per code with :func:`current_items`.
+    The stream's state holds, per item, each ranked source's first record by ``order``: what fusion reads of all
+    history, and a least value per source, so a batch merges into it and no earlier record is read again. ``sources`` are those
+    of the priority table, which bounds the state of an item. A batch writes its touched items, fused anew from their
+    state, as its own folder of ``items``, so a repeated batch replaces itself. Readers use :func:`current_items`.
     """
+    rest = [c for c in observations.columns if c not in (*keys, "source", *order)]
+    record = F.struct(*order, *rest)
+    first = [F.min(F.when(F.col("source") == s, record)).alias(f"_s{i}") for i, s in enumerate(sources)]
+    state = observations.where(F.col("source").isin(*sources)).groupBy(*keys).agg(*first)
+    records = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"_s{i}").alias("r")) for i, s in enumerate(sources)])
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        stamped = batch.withColumn("bucket", F.pmod(F.xxhash64("item_code"), F.lit(buckets)).cast("int"))
-        # Static overwrite of this batch's own folder: a replayed batch lands in the same place.
-        stamped.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
-        codes = stamped.select("bucket", "item_code").distinct()
-        touched = spark.read.parquet(store).join(codes, ["bucket", "item_code"], "left_semi").drop("bucket", "batch")
-        fuse(touched).write.mode("overwrite").parquet(f"{items}/batch={batch_id}")
-
-    return (
-        observations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+        held = batch.select(*keys, F.inline(F.filter(records, lambda x: x["r"].isNotNull()))).select(*keys, "source", "r.*")
+        fuse(held).write.mode("overwrite").parquet(f"{items}/changes/batch={batch_id}")
+
+    return state.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_items(spark: SparkSession, items: str, keys: Sequence[str] = ("item_code",)) -> DataFrame:
+    """Latest fused row of every item: the compacted table and the changes since."""
+    upto = _batches_before(spark, f"{items}/base", 2**62)
+    rows = spark.read.parquet(f"{items}/changes")
+    if upto:
+        base = spark.read.parquet(f"{items}/base/upto={upto[-1]}").withColumn("batch", F.lit(upto[-1]))
+        rows = rows.where(F.col("batch") > upto[-1]).unionByName(base)
+    value = [c for c in rows.columns if c not in (*keys, "batch")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*value), "batch").alias("_r"))
+    return latest.select(*keys, "_r.*")
 
 
-def current_items(spark: SparkSession, items: str) -> DataFrame:
-    """Latest fused row of every code."""
-    rows = spark.read.parquet(items)
-    latest = rows.groupBy("item_code").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["item_code", "batch"], "left_semi").drop("batch")
+def compact_items(spark: SparkSession, items: str, keys: Sequence[str] = ("item_code",)) -> None:
+    """Merge the changes so far into one table, so that reading costs the items and not the batches."""
+    done = _batches_before(spark, f"{items}/changes", 2**62)
+    if done:
+        current_items(spark, items, keys).write.mode("overwrite").parquet(f"{items}/base/upto={done[-1]}")
 
 
 def error_bursts(events: DataFrame, gap: str = "2 seconds", by: Sequence[str] = ("source",), delay: str = "10 minutes") -> DataFrame:

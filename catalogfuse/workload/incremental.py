@@ -141,8 +141,9 @@ def stream_inventory(t: Tables):
         F.concat(F.lit("/lib/"), F.col("l_partkey").cast("string"), ext).alias("path"), F.lit(1).cast("bigint").alias("size"),
         F.col("l_shipdate").cast("timestamp").alias("mtime"),
     )
-    # The whole history arrives at once, so the delay spans it.
-    return _run(t, J.dedupe_inventory(raw, (".mp4",), "36500 days")).select("path", "name")
+    base = _folder(t)
+    J.only_new_paths(J.dedupe_inventory(raw, (".mp4",)), f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
+    return J.new_paths(t.spark, f"{base}/ledger").select("path", "name")
 
 
 @query("stream_fuse", ORACLE["fuse_repeated_observations"])
@@ -151,6 +152,7 @@ def stream_fuse(t: Tables):
     base = _folder(t)
     obs = t.spark.sql(X.RAW_OBSERVATIONS, lineitem=_stream(t, "lineitem"))
     pri = t.sql(_RAW_PRI)
-    fuse = lambda rows: U.fuse_fields(rows, pri, _RAW_FIELDS, order=["seq", "title"])
-    J.stream_fuse(obs, fuse, f"{base}/obs", f"{base}/items", f"{base}/checkpoint", buckets=8).awaitTermination()
+    sources = sorted(r.source for r in pri.select("source").distinct().collect())
+    fuse = lambda rows: U.fuse_fields(rows, pri, _RAW_FIELDS)
+    J.stream_fuse(obs, fuse, sources, ["seq", "title"], f"{base}/items", f"{base}/checkpoint").awaitTermination()
     return J.current_items(t.spark, f"{base}/items").select("item_code", "title", "maker", "release")

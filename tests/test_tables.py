@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from catalogfuse.operators import lookups
+from catalogfuse.operators import lookups, substrings
 from catalogfuse.operators.aliases import alias_prefix_lookup
 from catalogfuse.operators.reports import person_catalog
 from catalogfuse.plans.skew import exact_percentiles, number_rows, number_slots, run_slots, runs
@@ -95,6 +95,26 @@ def test_substring_terms(spark):
     assert lookups.dictionary_terms(df, terms.where("false"), "text", "id", "substring").count() == 0
 
 
+def test_substrings_by_their_rarest_gram(spark):
+    """Long and short terms, marks of several bytes, terms across texts' borders; few rows for rare terms."""
+    rnd = random.Random(3)
+    pool = ["einsteinium", "Überraschung", "ü", "question mark", "abcabcabcabc", "tion", "水が沸騰する", "zzz", "question mark."]
+    texts = []
+    for i in range(400):
+        words = [rnd.choice(["alpha", "beta", "question", "mark", "abcabc"]) for _ in range(rnd.randint(0, 30))]
+        if i % 20 == 0:
+            words.insert(rnd.randint(0, len(words)), rnd.choice(pool).upper())
+        texts.append((i, " ".join(words)))
+    texts += [(400, "einstein"), (401, "ium"), (402, None)]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    terms = spark.createDataFrame(list(enumerate(pool)), "ord int, term string")
+    want = sorted((i, w) for i, t in texts if t for w in pool if w.lower() in t.lower())
+    assert sorted((r.id, r.term) for r in substrings.substring_terms(df, terms, "text", "id").collect()) == want
+    rare = terms.where("term in ('einsteinium', 'Überraschung', '水が沸騰する', 'absent entirely')").unionByName(spark.createDataFrame([(99, "absent entirely")], "ord int, term string"))
+    hits, chosen = substrings.gram_hits(df, rare, "text", "id")
+    assert hits.count() < 20 and "absent entirely" not in [r["_t"] for r in chosen.collect()]
+
+
 def test_word_terms_of_any_length(spark):
     df = spark.createDataFrame([(1, "A sci-fi film: one two three four five six"), (2, "science")], "id int, text string")
     terms = spark.createDataFrame([(1, "one two three four five"), (2, "sci-fi"), (3, "scien"), (4, "--")], "ord int, term string")
