@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import written
+from catalogfuse.llm.common import parts, written
 from catalogfuse.llm.components import components
 from catalogfuse.llm.hashing import shingle_sets, slices, text_bytes
 
@@ -107,7 +107,9 @@ def _streamed(link: Linker):
 
 def within(rows: DataFrame, payload: DataFrame, link: Linker) -> DataFrame:
     """(a, b): the links in each cell of (group, cell, id). A cell is held whole, so it has to be of bounded size."""
-    cells = rows.join(payload, "id").repartition("group", "cell").sortWithinPartitions("group", "cell")
+    # In order of id, the least one leads: groups that share most of their members then give the same links.
+    spark = rows.sparkSession
+    cells = rows.join(payload, "id").repartition(parts(spark), "group", "cell").sortWithinPartitions("group", "cell", "id")
     return cells.mapInArrow(_streamed(link), "a bigint, b bigint")
 
 

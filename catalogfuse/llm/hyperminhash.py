@@ -22,6 +22,7 @@ from catalogfuse.llm.blocks import NONE, Linker, compared, joined, text_linker
 from catalogfuse.llm.common import dropped, query, sifted, table, texts, written
 from catalogfuse.llm.components import components
 from catalogfuse.llm.hashing import U, mix, shingle_sets, slices, text_bytes
+from catalogfuse.plans.sieve import sieve
 
 ROWS, BANDS, MANTISSA = 6, 50, 10
 REGISTERS = ROWS * BANDS
@@ -112,15 +113,20 @@ def _sketch(words: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) for each band that has a register with an element."""
-    for batch in batches:
-        found = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
-        keys = np.broadcast_to(np.arange(BANDS, dtype=U), found.shape[:2]).copy()
-        for r in range(ROWS):
-            keys = mix(keys * U(31) + found[:, :, r].astype(U))
-        row, band = np.nonzero((found != EMPTY).any(axis=2))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), batch.column("id").take(pa.array(row))], names=["key", "id"])
+def _bands(only=None):
+    """(key, id) for each band that has a register with an element; of keys in the sieve ``only``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
+            keys = np.broadcast_to(np.arange(BANDS, dtype=U), found.shape[:2]).copy()
+            for r in range(ROWS):
+                keys = mix(keys * U(31) + found[:, :, r].astype(U))
+            held = (found != EMPTY).any(axis=2)
+            row, band = np.nonzero(held if only is None else held & only.value.has(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), batch.column("id").take(pa.array(row))], names=["key", "id"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, block: int = 512, tables: str = "hyperminhash") -> DataFrame:
@@ -142,11 +148,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, block: i
     leads = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "registers")
     base = written(sketches.select("doc_id", "n", "d1", "d2"), tables)
     dropped(sketches)
-    bands = leads.select("id", "registers").mapInArrow(_bands, "key bigint, id bigint")
+    sets = leads.select("id", "registers")
+    bands = sets.mapInArrow(_bands(), "key bigint, id bigint")
     # Bands under which the same sets meet are one group: it is told by its size, least member and two sums of its members' hashes.
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
     groups = written(met.where("size > 1").groupBy("size", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), tables)
-    members = written(bands.join(groups, "key").select(F.col("key").alias("group"), "id").distinct(), tables)
+    # Few keys are shared: the others go before they are shuffled.
+    some = sets.mapInArrow(_bands(sieve(groups, "key", 27)), "key bigint, id bigint")
+    members = written(some.join(groups, "key").select(F.col("key").alias("group"), "id").distinct(), tables)
     near = compared(members, leads, sketch_linker(percent), block, tables)
     clusters = written(components(near, tables).select(F.col("component").alias("group"), F.col("node").alias("id")), tables)
     bodies = sifted(whole.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id", clusters)
