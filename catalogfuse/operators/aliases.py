@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogfuse.functions.basics import distinct_in_order
-from catalogfuse.functions.text import alias_key
+from catalogfuse.functions.text import alias_key, strip_title_affixes
 
 
 def alias_index(aliases: DataFrame, match_names: bool = True) -> DataFrame:
@@ -208,3 +208,35 @@ def alias_section(
     if skip:
         names = names.where(~F.col("name").isin(*skip))
     return names.distinct()
+
+
+def strip_title_names(
+    df: DataFrame, aliases: DataFrame, key: str, title: str = "title", code: str = "item_code", people: str = "people", extra: str | None = None,
+) -> DataFrame:
+    """Titles without the names of their people at the end, whatever alias stands there, and without a leading code.
+
+    A person is looked up as written and as the parts outside brackets; with ``extra`` a second list of names (as a shop
+    spells them) is looked up too. Names at the end go one after the other, the longest first, each with the blank before it.
+    The alias join is on unique keys; an item's names are those of its own people, so the list that meets its
+    title is bounded by the people it has. ``key`` is unique per row.
+    """
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(F.col(people), none)
+    if extra:
+        listed = F.concat(listed, F.coalesce(F.col(extra), none))
+    spelled = F.flatten(F.transform(listed, lambda n: F.regexp_extract_all(n, F.lit("([^()（）]+)"), 1)))
+    index = alias_index(aliases).select("akey", "keywords")
+    asked = df.select(key, F.explode(F.array_distinct(F.concat(listed, spelled))).alias("_n")).withColumn("akey", alias_key("_n"))
+    known = asked.join(index, "akey").select(key, F.explode("keywords").alias("_k")).where("_k <> ''")
+    names = known.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("_k")).alias("l"), F.col("_k").alias("k")))).alias("_names"))
+    joined = df.join(names, key, "left").withColumn("_names", F.transform(F.coalesce("_names", F.array().cast("array<struct<l:int,k:string>>")), lambda x: x["k"]))
+
+    def shorter(text: Column) -> Column:
+        hit = F.get(F.filter("_names", lambda n: text.endswith(F.concat(F.lit(" "), n))), F.lit(0))
+        return F.when(hit.isNotNull(), F.substring(text, F.lit(1), F.length(text) - F.length(hit) - 1)).otherwise(text)
+
+    # No more steps than the title has blanks.
+    blanks = F.length(title) - F.length(F.replace(F.col(title), F.lit(" "), F.lit("")))
+    cut = F.aggregate(F.sequence(F.lit(0), blanks), F.col(title), lambda text, _: shorter(text))
+    joined = joined.withColumn("_cut", F.when(F.size("_names") > 0, cut).otherwise(F.col(title)))
+    return joined.select(*[c for c in df.columns if c != title], strip_title_affixes("_cut", code, none).alias(title))

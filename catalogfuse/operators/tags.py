@@ -122,7 +122,7 @@ def prioritize_tags(
     """Priority tags first, then series tags, then the rest; unchanged with fewer than two tags or no
     priority tag.
 
-    ``shuffle_by`` mixes the priority tags by ``xxhash64(shuffle_by, tag)``: random-looking, yet the
+    ``shuffle_by`` mixes the priority tags by the MD5 of it and the tag: random-looking, yet the
     same on every run. Without it they keep their order.
     """
     tags = as_col(tags)
@@ -135,7 +135,7 @@ def prioritize_tags(
 
     first = F.filter(tags, is_priority)
     if shuffle_by is not None:
-        keyed = F.transform(first, lambda t: F.struct(F.xxhash64(shuffle_by, t).alias("h"), t.alias("t")))
+        keyed = F.transform(first, lambda t: F.struct(F.md5(F.concat_ws("|", shuffle_by.cast("string"), t)).alias("h"), t.alias("t")))
         mixed = F.transform(F.array_sort(keyed), lambda s: s["t"])
     else:
         mixed = first

@@ -163,10 +163,44 @@ def prioritize_tags(t: Tables):
     return rows.select("p_partkey", F.array_join(out, "|").alias("tags"))
 
 
-@query("prioritize_tags_mixed")
+@query(
+    "prioritize_tags_mixed",
+    """WITH f AS (SELECT p_partkey, list_concat(string_split(p_name, ' '), [p_type, p_brand]) AS tags FROM part),
+      g AS (SELECT *, list_filter(tags, lambda x: lower(trim(x)) IN ('red', 'hot', 'widget', 'plate')) AS pr, list_filter(tags, lambda x: lower(trim(x)) NOT IN ('red', 'hot', 'widget', 'plate')) AS rs FROM f),
+      h AS (SELECT *, list_transform(list_sort(list_transform(pr, lambda x: md5(p_partkey || '|' || x) || x)), lambda x: substr(x, 33)) AS mx FROM g)
+      SELECT p_partkey, array_to_string(CASE WHEN len(tags) < 2 OR len(pr) = 0 THEN tags ELSE list_concat(mx, rs) END, '|') AS tags FROM h""",
+)
 def prioritize_tags_mixed(t: Tables):
     """Priority tags mixed by a hash of item and tag: the same order on every run."""
     tags = F.concat(F.split("p_name", " "), F.array("p_type", "p_brand"))
     rows = t("part").select("p_partkey", tags.alias("tags"))
     out = G.prioritize_tags("tags", ["red", "hot", "widget", "plate"], shuffle_by=F.col("p_partkey"))
     return rows.select("p_partkey", F.array_join(out, "|").alias("tags"))
+
+
+_CREDITED = """
+SELECT o_orderkey, 'C-' || cast(o_custkey AS string) AS item_code, CASE o_orderkey % 2 WHEN 0 THEN lower(n_name) ELSE 'stage (' || n_name || ')' END AS person,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'C-' || cast(o_custkey AS string) || ' ' ELSE '' END || o_orderpriority || '/' || o_orderstatus
+  || CASE o_orderkey % 5 WHEN 0 THEN ' ' || lower(n_name) WHEN 1 THEN ' ' || n_name || ' nation ' || cast(n_nationkey % 20 AS string) WHEN 2 THEN ' nation ' || cast(n_nationkey % 20 AS string) || ' ' || n_name WHEN 3 THEN ' Someone' ELSE '' END AS title
+FROM {orders} JOIN {nation} ON n_nationkey = o_custkey % 25
+"""
+_STRIP = ", ".join(
+    f"s{i} AS (SELECT * REPLACE (CASE WHEN len(list_filter(nm, lambda x: ends_with(title, ' ' || x))) > 0 THEN left(title, length(title) - length(list_filter(nm, lambda x: ends_with(title, ' ' || x))[1]) - 1) ELSE title END AS title) FROM {'c' if i == 1 else f's{i - 1}'})"
+    for i in (1, 2, 3)
+)
+
+
+@query(
+    "strip_title_names",
+    X.cte(f=_CREDITED, al=X.ALIASES)
+    + f"""kx AS (SELECT upper(k) AS k, min(ord) AS ord FROM (SELECT ord, unnest([kw1, kw2, kw3, en, local, short]) AS k FROM al) GROUP BY 1),
+      q AS (SELECT o_orderkey, upper(trim(unnest(list_concat([person], regexp_extract_all(person, '([^()]+)', 1))))) AS k FROM f),
+      h AS (SELECT DISTINCT o_orderkey, unnest([al.kw1, al.kw2, al.kw3]) AS nm FROM q JOIN kx USING (k) JOIN al USING (ord)),
+      n AS (SELECT o_orderkey, list(nm ORDER BY length(nm) DESC, nm) AS nm FROM h GROUP BY 1),
+      c AS (SELECT f.o_orderkey, f.item_code, f.title, coalesce(n.nm, []) AS nm FROM f LEFT JOIN n USING (o_orderkey)), {_STRIP}
+      SELECT o_orderkey, trim(replace(CASE WHEN item_code <> trim(title) AND starts_with(trim(title), item_code) THEN trim(replace(trim(title), item_code, '')) ELSE trim(title) END, '/', '#'), ' -') AS title FROM s3""".replace("kx AS", ", kx AS", 1),
+)
+def strip_title_names(t: Tables):
+    """Titles end with a nation's other names; people are credited by one of them, in brackets or not."""
+    rows = t.sql(_CREDITED).withColumn("people", F.array("person"))
+    return A.strip_title_names(rows, alias_table(t), "o_orderkey").select("o_orderkey", "title")

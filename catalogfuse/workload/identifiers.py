@@ -187,7 +187,7 @@ _LABELS = ("small", "gizmo")
 @query(
     "candidate_titles",
     X.cte(d=X.LINES)
-    + """, f AS (SELECT doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 60) AS nm FROM d),
+    + """, f AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g') AS nm FROM d),
       w AS (SELECT doc_id, nm, list_filter(string_split(regexp_replace(upper(replace(nm, 'ß', 'ss')), '[^\\p{L}\\p{N}\\p{M}]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM f),
       p AS (SELECT doc_id, nm, w, len(w) AS n FROM w),
       l AS (SELECT doc_id, CASE WHEN n > 1 THEN list_concat(list_filter(w, lambda x: length(x) > 7), [
@@ -200,8 +200,9 @@ _LABELS = ("small", "gizmo")
       SELECT doc_id, array_to_string(list_filter(v, lambda x, i: x IS NOT NULL AND x <> '' AND list_position(v, x) = i), '|') AS titles FROM l""",
 )
 def candidate_titles(t: Tables):
-    name = F.substring(F.regexp_replace("text", "\\s+", " "), 1, 60)
-    return t.sql(X.LINES).select("doc_id", F.array_join(C.candidate_titles(name), "|").alias("titles"))
+    """Every line of every document as a name."""
+    lines = t.sql(X.LINES).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", F.array_join(C.candidate_titles(F.regexp_replace("line", "\\s+", " ")), "|").alias("titles"))
 
 
 @query(

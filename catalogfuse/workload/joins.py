@@ -11,7 +11,8 @@ from catalogfuse.workload import fixtures as X
 from catalogfuse.workload.registry import Tables, query
 
 _CATALOG = "SELECT 'P' || cast(p_partkey AS string) AS item_code, p_name AS title, p_partkey % 3 = 0 AS has_download, p_partkey % 5 < 2 AS has_subtitle FROM {part}"
-_LOCAL = "SELECT 'P' || cast(l_partkey AS string) AS item_code, l_quantity > 48 AS has_subtitle FROM {lineitem} WHERE l_partkey % 4 <> 0"
+# Every fourth part's rows are held under another code, so that it is missing.
+_LOCAL = "SELECT CASE WHEN l_partkey % 4 = 0 THEN 'Q' ELSE 'P' END || cast(l_partkey AS string) AS item_code, l_quantity > 48 AS has_subtitle FROM {lineitem}"
 
 
 @query(
@@ -93,8 +94,8 @@ def skip_processed(t: Tables):
     return K.skip_processed(t.sql(_TODO), _ledger(t))
 
 
-_OLD = "SELECT 'p' || cast(p_partkey AS string) AS path, upper(p_name) AS item_code, p_size > 20 AS has_sub FROM {part} WHERE p_partkey % 3 <> 0"
-_NEW = "SELECT 'p' || cast(p_partkey AS string) AS path, lower(p_brand) AS item_code, p_size > 40 AS has_sub FROM {part} WHERE p_partkey % 2 = 0"
+_OLD = "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'old' ELSE 'p' END || cast(p_partkey AS string) AS path, upper(p_name) AS item_code, p_size > 20 AS has_sub FROM {part}"
+_NEW = "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE 'new' END || cast(p_partkey AS string) AS path, lower(p_brand) AS item_code, p_size > 40 AS has_sub FROM {part}"
 
 
 @query("upsert_code_cache", X.cte(o=_OLD, n=_NEW) + "SELECT path, coalesce(o.item_code, n.item_code) AS item_code, coalesce(o.has_sub, n.has_sub) AS has_sub FROM o FULL JOIN n USING (path)")
@@ -165,7 +166,7 @@ def share_by_code(t: Tables):
 
 
 _CAST = "SELECT o_orderkey, 'P' || cast(o_custkey AS string) AS item_code, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Known' END AS people FROM {orders}"
-_BY_CODE = "SELECT 'P' || cast(c_custkey AS string) AS item_code, c_name AS people FROM {customer} WHERE c_custkey % 2 = 0"
+_BY_CODE = "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'P' ELSE 'Q' END || cast(c_custkey AS string) AS item_code, c_name AS people FROM {customer}"
 
 
 @query(

@@ -28,19 +28,17 @@ FROM {part}
 @query(
     "sidecar_round_trip",
     X.cte(f=_ITEMS)
-    + """SELECT item_code, title, originaltitle, maker, label, release, outline, series, score, 'Ann,' || p_name AS people, 'red,' || p_name AS tags, 'red' AS own_tags FROM f WHERE title IS NOT NULL""",
+    + """SELECT item_code, title, originaltitle, item_code || ' ' || originaltitle AS sort_as, maker, label, release, outline, series, score, 'Ann,' || p_name AS people, 'red,' || p_name AS tags, 'red' AS own_tags FROM f WHERE title IS NOT NULL""",
 )
 def sidecar_round_trip(t: Tables):
     """Item rows to XML documents and back; rows without a title come out as damaged."""
     rows = t.sql(_ITEMS).withColumns({"people": F.array(F.lit("Ann"), "p_name"), "tags": F.array(F.lit("red"), "p_name")})
-    parts = [p for p in sidecars.PARTS if p != "sorttitle"]
-    docs = rows.select(sidecars.sidecar_xml(rows, parts).alias("xml"))
+    docs = rows.select(sidecars.sidecar_xml(rows).alias("xml")).withColumn("sort_as", F.regexp_extract("xml", "<sorttitle>(.*)</sorttitle>", 1))
     items, _ = sidecars.sidecar_items(sidecars.parse_sidecars(docs))
     joined = lambda c: F.array_join(c, ",").alias(c)
-    tags = F.array_join(F.filter("own_tags", lambda x: x == "red"), ",").alias("own_tags")
     return items.select(
-        "item_code", "title", "originaltitle", "maker", F.when(F.col("label").startswith("Label"), F.col("label")).alias("label"),
-        "release", "outline", "series", "score", joined("people"), joined("tags"), tags,
+        "item_code", "title", "originaltitle", "sort_as", "maker", "label", "release", "outline", "series", "score",
+        joined("people"), joined("tags"), joined("own_tags"),
     )
 
 
@@ -139,7 +137,14 @@ def extract_fields(t: Tables):
     )
 
 
-@query("extract_tag_fields")
+_H1 = "nullif(" + _NODE.format(x="replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&')") + ", '')"
+
+
+@query(
+    "extract_tag_fields",
+    f"""SELECT page_id, {_H1} AS heading, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang,
+      nullif(array_to_string(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> ''), ' '), '') AS links FROM pages""",
+)
 def extract_tag_fields(t: Tables):
     """Tag-path rules: a parser walks each page in a Python worker."""
     rules = (html.Rule("heading", "h1", "tag"), html.Rule("links", "a@href", "tag", many=True), html.Rule("lang", '<html lang="([a-z]+)"'))
@@ -147,7 +152,11 @@ def extract_tag_fields(t: Tables):
     return out.select("page_id", "heading", "lang", F.array_join("links", " ").alias("links"))
 
 
-@query("user_rule_values")
+@query(
+    "user_rule_values",
+    """SELECT page_id, 'heading' AS field, len(regexp_extract_all(html, '<h1>')) AS n FROM pages WHERE contains(html, '<h1>')
+      UNION ALL SELECT page_id, 'link', len(regexp_extract_all(html, '<a href="[^"]')) FROM pages WHERE contains(html, '<a href="')""",
+)
 def user_rule_values(t: Tables):
     """User rules as a table function: one (field, value) row per hit."""
     values = html.page_values()

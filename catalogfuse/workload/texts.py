@@ -1,5 +1,7 @@
 """Text, date, number and list queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogfuse.functions import text as T
@@ -7,6 +9,8 @@ from catalogfuse.functions import values as V
 from catalogfuse.functions.basics import text_list
 from catalogfuse.operators import filters as L
 from catalogfuse.operators.tags import drop_quality_tags, resolution_tags
+from catalogfuse.session import shared_folder
+from catalogfuse.sources.ledger import scan_lines, write_lines
 from catalogfuse.workload import fixtures as X
 from catalogfuse.workload.registry import Tables, query
 
@@ -45,9 +49,13 @@ def fold_width(t: Tables):
     return t("documents").select("doc_id", T.fold_width(wide).alias("k"))
 
 
-@query("nfkc_key")
+# The documents' letters are composed, so NFKC is NFC there; ligatures and full-width forms are put in to be taken apart.
+@query(
+    "nfkc_key",
+    "SELECT doc_id, replace(lower(nfc_normalize(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))), 'ß', 'ss') || 'fi a1' AS k FROM documents",
+)
 def nfkc_key(t: Tables):
-    return t("documents").select("doc_id", T.nfkc_key("text").alias("k"))
+    return t("documents").select("doc_id", T.nfkc_key(F.concat(F.lit(" "), F.regexp_replace("text", "^\\s+|\\s+$", ""), F.lit("ﬁ\u3000Ａ１ "))).alias("k"))
 
 
 @query("convert_script", "SELECT doc_id, translate(text, 'éèêç', 'eeec') AS text FROM documents")
@@ -327,6 +335,18 @@ def filter_lines(t: Tables):
     return L.filter_lines(lines, _SPEC)
 
 
+@query(
+    "scan_filter_write_lines",
+    f"WITH l AS ({_LINES_SQL}), a AS (SELECT line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS tx FROM l) SELECT line, count(*) AS n FROM a WHERE {_LINE_COND} GROUP BY line",
+)
+def scan_filter_write_lines(t: Tables):
+    """Text files to text files: the documents as files of lines, read back, filtered and written again."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    write_lines(t("documents").select(F.explode(F.split("text", "\n")).alias("line")), f"{folder}/in")
+    write_lines(L.filter_lines(scan_lines(t.spark, f"{folder}/in"), _SPEC), f"{folder}/out")
+    return scan_lines(t.spark, f"{folder}/out").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "line_stats",
     f"WITH l AS ({_LINES_SQL}), a AS (SELECT doc_id, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS tx FROM l) SELECT count(*) AS total, count_if({_LINE_COND}) AS matched FROM a",
@@ -362,13 +382,20 @@ def words(t: Tables):
     return t("events").select("event_id", F.array_join(text_list(joined, ";"), "|").alias("ws"))
 
 
+_MARKED = "CASE length(text) % 9 WHEN 0 THEN text || ' カタ' WHEN 1 THEN '漢字漢字漢字漢字漢字' || left(text, 12) ELSE text END"
+
+
 @query(
     "needs_translation",
-    "SELECT conv_id, turn, false AS todo_en, length(trim(text)) > 0 AND NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}]') AND len(regexp_extract_all(text, '[A-Za-z]')) >= 20 AS todo_ja FROM conversations WHERE len(regexp_extract_all(text, '[A-Za-z]')) >= 20 OR len(regexp_extract_all(text, '[A-Za-z]')) = 0",
+    f"""WITH m AS (SELECT conv_id, turn, {_MARKED} AS line FROM conversations), a AS (SELECT *, trim(line, ' ') AS tx FROM m),
+      b AS (SELECT *, len(regexp_extract_all(tx, '[A-Za-z]')) AS letters, len(regexp_extract_all(tx, '[{_CJK}]')) AS cjk,
+        len(regexp_extract_all(tx, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS words, len(regexp_extract_all(tx, '[A-Za-z]+(?:''[A-Za-z]+)?|[{_CJK}]')) AS tokens FROM a),
+      c AS (SELECT conv_id, turn, line, regexp_matches(line, '[\\x{{3040}}-\\x{{30FF}}]') AS kana, {_EN} AS en FROM b)
+      SELECT conv_id, turn, line IS NOT NULL AND coalesce(kana, false) AS todo_en, line IS NOT NULL AND coalesce(NOT kana AND en, false) AS todo_ja FROM c""",
 )
 def needs_translation(t: Tables):
-    rows = t("conversations").select(
-        "conv_id", "turn", T.needs_translation("text", "en").alias("todo_en"), T.needs_translation("text", "ja").alias("todo_ja"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[A-Za-z]", ""))).alias("letters"),
-    )
-    return rows.where((F.col("letters") >= 20) | (F.col("letters") == 0)).drop("letters")
+    """Every turn, some with kana or ideographs added."""
+    kind = F.length("text") % 9
+    line = F.when(kind == 0, F.concat("text", F.lit(" カタ"))).when(kind == 1, F.concat(F.lit("漢字漢字漢字漢字漢字"), F.substring("text", 1, 12))).otherwise(F.col("text"))
+    rows = t("conversations").select("conv_id", "turn", line.alias("line"))
+    return rows.select("conv_id", "turn", T.needs_translation("line", "en").alias("todo_en"), T.needs_translation("line", "ja").alias("todo_ja"))
