@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from catalogfuse.operators import lookups, substrings
+from catalogfuse.operators import linkage, lookups, substrings
 from catalogfuse.operators.aliases import alias_prefix_lookup
 from catalogfuse.operators.reports import person_catalog
 from catalogfuse.plans.skew import exact_percentiles, number_rows, number_slots, run_slots, runs
@@ -150,3 +150,32 @@ def test_prefix_lookup_prefers_exact(spark):
     asked = spark.createDataFrame([("Ann",), ("An",), ("B",), ("x",)], "who string")
     got = {r["who"]: (r["person"], r["matched_by"]) for r in alias_prefix_lookup(asked, names, "who").collect()}
     assert got == {"Ann": ("P2", "exact"), "An": ("P1", "prefix"), "B": ("P3", "prefix"), "x": (None, None)}
+
+
+def test_signatures_meet_within_eight_bits(spark):
+    """Against all pairs; copies of one picture are one class."""
+    rnd = random.Random(2)
+    base = [[rnd.choice([-1.0, 1.0]) * (1 + rnd.random()) for _ in range(64)] for _ in range(30)] + [[1.0] * 64]
+    refs = [(i, v) for i, v in enumerate(base)] + [(100 + i, v) for i, v in enumerate(base[:5])]
+    pictures = []
+    for i in range(200):
+        v = list(rnd.choice(base))
+        for k in rnd.sample(range(64), rnd.randint(0, 11)):
+            v[k] = -v[k]
+        pictures.append((i, v))
+    pictures += [(300 + i, base[3]) for i in range(20)]
+    frame = lambda rows, name: spark.createDataFrame([(i, v, [abs(x) for x in v]) for i, v in rows], f"{name} int, vec array<double>, hist array<double>")
+    bits = lambda v: sum(1 << i for i, x in enumerate(v) if x >= sum(v) / 64)
+    want = {}
+    for p, v in pictures:
+        found = []
+        for r, w in refs:
+            hashed = 1 - (bits(v) ^ bits(w)).bit_count() / 64
+            hist = sum(min(abs(x), abs(y)) for x, y in zip(v, w)) / min(sum(map(abs, v)), sum(map(abs, w)))
+            score = hashed * 0.7 + hist * 0.3
+            if hashed >= 0.86 and hist >= 0.7 and score >= 0.82:
+                found.append((-round(score, 9), r))
+        if found:
+            want[p] = min(found)[1]
+    got = {r.picture: r.ref for r in linkage.signature_links(frame(pictures, "picture"), frame(refs, "ref")).collect()}
+    assert got == want and 100 < len(got) < 220
