@@ -34,6 +34,38 @@ def read_json_observations(
     return out
 
 
+def read_variant_observations(
+    raw: DataFrame, source: str, fields: Mapping[str, tuple[str, str] | tuple[str, str, str]], json: str = "json", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Source rows to observation columns without a schema of the documents.
+
+    ``fields`` gives a JSON path and a type per output column, and where wanted a SQL expression over the value, written ``{v}``. A document
+    is parsed once, as a variant, so a field that a source adds needs no change and one that it drops, or fills with another
+    type, is NULL. Unreadable documents have NULL in all fields. '' and [] become NULL here.
+    """
+    parsed = raw.withColumn("_d", F.try_parse_json(json))
+    got = {f"_v_{n}": F.try_variant_get("_d", spec[0], spec[1]) for n, spec in fields.items()}
+    out = parsed.select(*keep, F.lit(source).alias("source"), *[c.alias(n) for n, c in got.items()])
+    columns = []
+    for n, spec in fields.items():
+        value = F.expr(spec[2].format(v=f"`_v_{n}`")) if len(spec) > 2 else F.col(f"_v_{n}")
+        columns.append(value.alias(n))
+    out = out.select(*keep, "source", *columns)
+    for f in out.schema.fields:
+        if f.name not in (*keep, "source"):
+            kind = f.dataType.typeName()
+            if kind == "string":
+                out = out.withColumn(f.name, F.nullif(f.name, F.lit("")))
+            elif kind == "array":
+                out = out.withColumn(f.name, empty_to_null(f.name))
+    return out
+
+
+def json_shape(raw: DataFrame, json: str = "json", by: Sequence[str] = ()) -> DataFrame:
+    """The merged shape of all documents, per group of ``by``, as a type string: what a source sends now. One aggregate."""
+    return raw.groupBy(*by).agg(F.schema_of_variant_agg(F.try_parse_json(json)).alias("shape"), F.count(F.lit(1)).alias("documents"))
+
+
 def json_island(html: Column | str, selector: str = "application/ld+json", by: str = "type") -> Column:
     """Text of the first ``<script by="selector">`` of a page, entities unescaped; NULL if none."""
     pattern = f"(?is)<script[^>]*\\b{by}=[\"']\\Q{selector}\\E[\"'][^>]*>(.*?)</script>"

@@ -15,7 +15,7 @@ from catalogfuse.sources import alias_xml, html, json_records, sidecars
 from catalogfuse.sources.ledger import load_people_db
 from catalogfuse.workload import fixtures as X
 from catalogfuse.workload.identifiers import TOKENS, code_ctes
-from catalogfuse.workload.registry import Tables, query
+from catalogfuse.workload.registry import ORACLE, Tables, query
 
 # Sidecars --------------------------------------------------------------------------------------
 _ITEMS = """
@@ -99,6 +99,34 @@ def read_json_observations(t: Tables):
     return out
 
 
+_VARIANT_FIELDS = {
+    "title": ("$.data.title", "string"), "outline": ("$.data.description", "string"),
+    "runtime": ("$.data.duration", "bigint", "cast({v} div 60 as string)"), "series": ("$.data.site.name", "string"),
+    "maker": ("$.data.site.network.name", "string"),
+    "all_people": ("$.data.performers", "array<struct<name: string, kind: string>>", "array_join(transform({v}, p -> p.name), ',')"),
+    "people": ("$.data.performers", "array<struct<name: string, kind: string>>", "array_join(transform(filter({v}, p -> p.kind <> 'M'), p -> p.name), ',')"),
+    "score": ("$.data.missing", "string"),
+}
+
+
+@query("read_variant_observations", ORACLE["read_json_observations"])
+def read_variant_observations(t: Tables):
+    """The same records read without a schema."""
+    return json_records.read_variant_observations(_documents(t), "api", _VARIANT_FIELDS, keep=("p_partkey",))
+
+
+@query(
+    "json_shape",
+    """SELECT p_partkey % 2 = 0 AS sited, p_partkey % 3 = 0 AS cast_known, count(*) AS documents, p_partkey % 2 = 0 AS has_site, p_partkey % 3 = 0 AS has_performers FROM part GROUP BY ALL""",
+)
+def json_shape(t: Tables):
+    """Which branches the documents of each kind have."""
+    rows = _documents(t).withColumns({"sited": F.col("p_partkey") % 2 == 0, "cast_known": F.col("p_partkey") % 3 == 0})
+    out = json_records.json_shape(rows, by=("sited", "cast_known"))
+    has = lambda name: F.col("shape").contains(f"{name}: ")
+    return out.select("sited", "cast_known", "documents", has("site").alias("has_site"), has("performers").alias("has_performers"))
+
+
 @query(
     "read_embedded_json",
     "SELECT page_id, url AS name, page_id * 2 AS n FROM pages",
