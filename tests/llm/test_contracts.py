@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalogfuse.llm import blocks, collocations, hard_negatives, hyperminhash
 from catalogfuse.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, pii, sharding, suffix_dedup, toxicity
 from catalogfuse.llm.registry import ORACLE, QUERIES
 from check import rows_of
@@ -26,7 +27,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.mark.parametrize("name", sorted(set(ORACLE) - {"pipeline"}))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     cur = con.execute(ORACLE[name])
@@ -365,3 +366,201 @@ def test_pii_terms_of_an_entity_in_one_document(spark):
     spans = {r.doc_id: [(s.kind, rows[r.doc_id][1][s.start : s.end]) for s in r.spans] for r in found.collect() if r.doc_id < 63}
     assert spans[60] == [("email", "a@b.cc"), ("term", "Zebulon")] and spans[61] == spans[62] == [("email", "c@d.ee"), ("term", "zorro")]
     assert not any(spans[i] for i in range(60))
+
+
+def edit_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, last = [i], row
+        for j, d in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+def test_lines_of_as_many_edits_as_their_length_allows(spark):
+    """Planted lines of 0 to 5 edits and all lengths, against all pairs."""
+    rng = np.random.default_rng(5)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice(list("abcdé f"), int(rng.integers(14, 90)))).strip() + "x"
+        for _ in range(3):
+            x = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                k = int(rng.integers(0, len(x) + 1))
+                x[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("abc"), int(rng.integers(0, 2))))
+            lines.append("".join(x))
+    rows = [(i, "\n".join(lines[i::40])) for i in range(40)]
+    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    order = [(i, at, line) for i, text in rows for at, line in enumerate(text.split("\n"))]
+    gone, seen, kinds = set(), {}, Counter()
+    for i, at, line in order:
+        if line in seen:
+            gone.add((i, at))
+            continue
+        for other in seen:
+            n = min(len(line), len(other))
+            edits = edit_distance(line, other)
+            if n >= 16 and edits <= min(3, max(1, n // 20)):
+                gone.add((i, at))
+                kinds[edits] += 1
+        seen[line] = i
+    assert {(r.doc_id, at) for r in found for at in range(r.n_lines) if at not in r.kept_lines} == gone
+    assert min(kinds[1], kinds[2], kinds[3]) > 2
+
+
+def test_cells_join_what_all_pairs_join(spark):
+    """Groups over the size of a cell, whose members hang together by chains only, or not at all."""
+    rng = np.random.default_rng(8)
+    values = {i: int(x) for i, x in enumerate(rng.integers(0, 1500, 300))}
+    groups = [(1, i) for i in range(0, 200)] + [(2, i) for i in range(150, 300)] + [(3, i) for i in (5, 250)] + [(4, 7)]
+
+    def link(rows, edges):
+        ids, x = rows.column("id").to_numpy(), rows.column("x").to_numpy()
+        return np.concatenate([blocks.NONE, *(blocks.joined(ids[a:b], abs(x[a:b, None] - x[None, a:b]) <= 5) for a, b in zip(edges[:-1], edges[1:], strict=True))])
+
+    members, payload = spark.createDataFrame(groups, "group bigint, id bigint"), spark.createDataFrame(list(values.items()), "id bigint, x bigint")
+    links = [(r.a, r.b) for r in blocks.compared(members, payload, link, block=16).collect()]
+
+    def parts(pairs):
+        lead = {i: i for i in values}
+
+        def find(i):
+            while lead[i] != i:
+                i = lead[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            lead[b] = a
+        return [find(i) for i in values]
+
+    asked = [(a, b) for g in (1, 2, 3) for x, a in enumerate([i for k, i in groups if k == g]) for b in [i for k, i in groups if k == g][x + 1 :] if abs(values[a] - values[b]) <= 5]
+    assert parts(links) == parts(asked) and 20 < len(set(parts(asked))) < 290
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_hyperminhash_links(spark, block):
+    """Texts of 1 to 900 words with a few changes, many of them near the threshold; with ``block`` 8 groups are cut to cells."""
+    rng = np.random.default_rng(7)
+    plain = []
+    for i in range(260):
+        family = i // 13
+        words = [f"w{x}" for x in np.random.default_rng(family).integers(0, 5000, [3, 9, 12, 20, 35, 60, 120, 300, 500, 900][family % 10])]
+        for _ in range(int(rng.integers(0, 1 + max(1, len(words) // 40)))):
+            words[int(rng.integers(0, len(words)))] = f"n{rng.integers(0, 40)}"
+        plain.append((i, " ".join(words), None))
+    df = spark.createDataFrame([(i, t) for i, t, _ in plain], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in hyperminhash.near_duplicates(df, block=block).collect()}
+    want = brute_components(plain, 5, 85)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want and all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+    assert 30 < len({c for _, c in want.values()}) < 240
+
+
+def test_hyperminhash_estimates(spark):
+    """The estimate of sets of known similarity, and of sets that share nothing, collisions taken off."""
+    rng = np.random.default_rng(11)
+    hashed = lambda n: rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    errors = []
+    for share in (0.0, 0.5, 0.85, 0.95):
+        for n in (200, 2000, 20000):
+            common, union = hashed(int(n * share)), n
+            own = np.array_split(hashed(union - len(common)), 2)
+            sets = [np.unique(np.concatenate((common, x))) for x in own]
+            near, read = hyperminhash.estimates(np.stack([hyperminhash.registers(s) for s in sets]), np.array([len(s) for s in sets]))
+            errors.append(abs(near[0, 1] - share) / max(0.005, math.sqrt(share * (1 - share) / read[0, 1])))
+    assert max(errors) < 4
+    assert [int(x) >> 10 for x in hyperminhash.compress(np.array([1 << 63, 1 << 62, 1, 0], np.uint64))] == [0, 1, 63, 63]
+
+
+def brute_negatives(rows, anchors, positives=5, negatives=10):
+    out = []
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    for i, label, v in rows:
+        if not anchors(i):
+            continue
+        scored = [(-dot(v, w), j, m) for j, m, w in rows if j != i]
+        for s, p, _ in sorted(x for x in scored if x[2] == label)[:positives]:
+            near = sorted(x for x in scored if x[2] != label and 30 * -s <= 100 * -x[0] <= 90 * -s)[:negatives]
+            out += [(i, p, k, j, -s, -n) for k, (n, j, _) in enumerate(near, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("dims", "rows", "spread"), [(2, 3000, 300), (8, 900, 40), (4, 400, 3)])
+def test_hard_negatives(spark, dims, rows, spread):
+    """Few dimensions, where the lists cut much; small numbers, where all ties; labels of very unequal size."""
+    rng = np.random.default_rng(dims)
+    table = [(int(i), int(rng.integers(0, 3) if i % 3 else 0), [float(x) for x in rng.normal(0, spread, dims).round()]) for i in range(rows)]
+    df = spark.createDataFrame(table, "vec_id bigint, label int, embedding array<double>")
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 40 == 0, scale=1.0, block_rows=200, block_anchors=7)
+    want = brute_negatives([(i, m, [int(x) for x in v]) for i, m, v in table], lambda i: i % 40 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+
+
+def test_focus_ranges_cut_and_keep(monkeypatch):
+    """The coordinate lists leave out most rows of a bucket where vectors are of few dimensions, and never one of the result."""
+    rng, seen = np.random.default_rng(1), []
+    rows, anchors = rng.integers(-500, 500, (4000, 3)), rng.integers(-500, 500, (20, 3))
+    real = hard_negatives._products
+    monkeypatch.setattr(hard_negatives, "_products", lambda a, b: seen.append(len(a)) or real(a, b))
+    low, high = np.full((20, 1), 150_000), np.full((20, 1), hard_negatives.MOST - 1)
+    best = hard_negatives.best_rows(np.arange(4000), np.zeros(4000, int), rows, np.arange(5000, 5020), np.ones(20, int), anchors, low.copy(), high, False, 5)
+    for i in range(20):
+        scores = sorted(((-int(s), j) for j, s in enumerate(rows @ anchors[i]) if s >= 150_000))[:5]
+        mine = best.band == i
+        assert sorted(zip((-best.score[mine]).tolist(), best.row[mine].tolist(), strict=True)) == scores
+    assert sum(n for n in seen if n < 1024) < 20 * 4000 / 2
+
+
+def test_scores_beyond_doubles():
+    big = np.array([[2**31, 3], [2**31, -5]])
+    a, b = hard_negatives._exact(big, big)
+    assert hard_negatives._products(a, b.T).tolist() == [[2**62 + 9, 2**62 - 15], [2**62 - 15, 2**62 + 25]]
+    huge = np.array([[2**62, 2**62]])
+    assert hard_negatives._products(*(x.T if k else x for k, x in enumerate(hard_negatives._exact(huge, huge)))).tolist() == [[2**63 - 1]]
+
+
+def brute_collocations(rows, least=30, inside=80, first=2000):
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        lang, text = "und" if lang is None else lang, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for m in range(1, 5):
+                for i in range(len(words) - m + 1):
+                    counts[lang, tuple(words[i : i + m])] += 1
+    out = []
+    for lang in total:
+        kept = {p: a for (g, p), a in counts.items() if g == lang and len(p) > 1 and a >= least}
+        scored = []
+        for p, a in kept.items():
+            if any(len(q) > len(p) and 100 * b >= inside * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in kept.items()):
+                continue
+            cuts = [(2_000_000 * a // (counts[lang, p[:k]] + counts[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            scored.append((-score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]]))
+        out += [(lang, n, x[2].decode(), -x[1], x[3], x[4], total[lang], -x[0]) for n, x in enumerate(sorted(scored)[:first], 1)]
+    return sorted(out)
+
+
+def test_collocations(spark, docs):
+    rows = [(r.lang, r.text) for r in docs.collect()] + [(None, "New York, new york! NEW\tYork"), ("und", "new york new york"), ("xx", None), ("", "a b a b")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = collocations.collocations(df, least=5, first=300)
+    assert sorted(tuple(r) for r in got.collect()) == brute_collocations(rows, least=5, first=300)
+
+
+def test_fingerprints_that_collide(spark, monkeypatch):
+    """With 3 bits per fingerprint all phrases collide: the words' own bytes keep them apart."""
+    monkeypatch.setattr(collocations, "mix", lambda x: x & np.uint64(7))
+    rows = [("en", "red apple and green apple and red pear " * 3), ("de", "roter apfel red apple " * 4)]
+    langs = {"en": np.uint64(1), "de": np.uint64(2)}
+    data, offsets = toxicity.text_bytes(pa.array([t for _, t in rows]))
+    found = collocations.Phrases(data, offsets, np.array([langs[g] for g, _ in rows], np.uint64))
+    exact, spoken = collocations._exact_words(found), found.text
+    words = [data[a:b].tobytes() for a, b in zip(found.starts, found.ends, strict=True)]
+    for size in (1, 2, 3):
+        at, prints = found.prints(size)
+        first, counts = collocations.distinct_phrases(at, prints, exact, size, spoken)
+        want = Counter((int(spoken[a]), tuple(words[a : a + size])) for a in at)
+        assert Counter({(int(spoken[a]), tuple(words[a : a + size])): int(n) for a, n in zip(first, counts, strict=True)}) == want

@@ -2,6 +2,9 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
+from catalogfuse.llm import collocations, hard_negatives, hyperminhash
 from catalogfuse.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, packing, pii, sharding, suffix_dedup, toxicity
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -91,3 +94,35 @@ def test_sharding(hard, none):
     rows = sharding.shard_rows(hard, shards=4).collect()
     assert sorted(r.row_no for r in rows) == list(range(11)) and len({(r.shard, r.slot) for r in rows}) == 11
     assert sharding.shard_rows(none).count() == 0
+
+
+def test_near_duplicates(hard, none):
+    rows = by_id(hyperminhash.near_duplicates(hard))
+    assert [(r.doc_id, r.component_id, r.kept) for r in rows] == [
+        (1, 1, True), (1, 1, True), (2, 1, False), *((i, i, True) for i in range(3, 9)), (None, None, True), (None, None, True)
+    ]
+    assert [r.n_shingles for r in rows[:6]] == [3, 3, 3, 0, 0, 0] and rows[7].n_shingles == 1
+    assert hyperminhash.near_duplicates(none).count() == 0
+
+
+def test_hard_negatives(spark):
+    """Nulls everywhere, short and empty vectors, repeated rows, other columns, no rows."""
+    nan, inf = float("nan"), float("inf")
+    kind = "vec_id bigint, label int, embedding array<double>, block int, score string"
+    rows = [
+        (0, 1, [2.0, 0.0]), (0, 1, [2.0, 0.0]), (1, 1, [2.0, 1.0]), (2, 2, [1.0, 5.0]), (2, 2, [1.0, 5.0]), (3, 2, [1.5]), (4, 2, []), (5, None, [1.0, 1.0]),
+        (6, 2, None), (7, 2, [1.0, None]), (8, 2, [nan, 1.0]), (9, 2, [inf, 1.0]), (None, 2, [1.0, 1.0]),
+    ]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], kind)
+    got = sorted(tuple(r) for r in hard_negatives.hard_negatives(df, F.col("vec_id") == 0, scale=2.0).collect())
+    # The other row of the anchor's id is no positive; the repeated negative counts twice; an empty vector scores 0.
+    assert got == [(0, 1, 1, 3, 16, 12), (0, 1, 2, 2, 16, 8), (0, 1, 3, 2, 16, 8)]
+    assert hard_negatives.hard_negatives(df.where("false"), F.col("vec_id") == 0).count() == 0
+    assert hard_negatives.hard_negatives(df, F.col("vec_id") == 99).count() == 0
+
+
+def test_collocations(hard, none):
+    rows = {(r.lang, r.phrase): (r.a, r.l, r.r) for r in collocations.collocations(hard, least=3).collect()}
+    assert rows[("en", "one two three four")][0] == 3 and ("und", "one two") not in rows
+    assert {k for k in rows if k[0] == "de"} == {("de", "word word word word")}
+    assert collocations.collocations(none).count() == 0
