@@ -11,6 +11,7 @@ probability (1 - 0.85 ** 6) ** 50, about 5e-11, and the estimate has to be six s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ ROWS, BANDS, MANTISSA = 6, 50, 10
 REGISTERS = ROWS * BANDS
 EMPTY = 0xFFFF
 DEVIATIONS = 6
+FIRST = 10  # bands that are met first
 
 
 def compress(least: np.ndarray) -> np.ndarray:
@@ -113,22 +115,45 @@ def _sketch(words: int):
     return run
 
 
-def _bands(only=None):
-    """(key, id) for each band that has a register with an element; of keys in the sieve ``only``."""
+def _bands(first: int, last: int, only=None):
+    """(key, id, part, n) for each band from ``first`` to before ``last`` that has a register with an element; of keys in the
+    sieve ``only``, without it just (key, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
-            keys = np.broadcast_to(np.arange(BANDS, dtype=U), found.shape[:2]).copy()
+            found = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)[:, first:last]
+            keys = np.broadcast_to(np.arange(first, last, dtype=U), found.shape[:2]).copy()
             for r in range(ROWS):
                 keys = mix(keys * U(31) + found[:, :, r].astype(U))
             held = (found != EMPTY).any(axis=2)
             row, band = np.nonzero(held if only is None else held & only.value.has(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), batch.column("id").take(pa.array(row))], names=["key", "id"])
+            names = ["part"] if only is None else ["id", "part", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in names)], names=["key", *names])
 
     return run
 
 
+def _ties(sets: DataFrame, first: int, last: int, percent: int, block: int, tables: str) -> DataFrame:
+    """(a, b): links between sketches that meet in some bands. ``sets`` has (id, part, n, registers), where ``part`` tells what is tied already:
+    a band under which only one part meets has nothing to add."""
+    met = sets.mapInArrow(_bands(first, last), "key bigint, part bigint").groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    met = written(met.where("low <> high").select("key"), tables)
+    # Few keys are shared: the others go before they are shuffled.
+    rows = sets.mapInArrow(_bands(first, last, sieve(met, "key", 27)), "key bigint, id bigint, part bigint, n bigint").join(met, "key")
+    # Sets that can link are of the same window of sizes or of neighbouring ones: each set stands in two.
+    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.0001))
+    rows = written(rows.select("id", "part", F.explode(F.array(F.xxhash64("key", level), F.xxhash64("key", level + 1))).alias("group")), tables)
+    # Bands under which the same sets meet are one group: it is told by its size, least member and two sums of its members' hashes.
+    kinds = rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"),
+        F.min("part").alias("low"), F.max("part").alias("high"),
+    )
+    groups = kinds.where("low <> high").groupBy("size", "least", "x", "y").agg(F.min("group").alias("group")).select("group")
+    members = written(rows.join(groups, "group").select("group", "id").distinct(), tables)
+    dropped(rows)
+    return compared(members, sets.select("id", "n", "registers"), sketch_linker(percent), block, tables)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, block: int = 512, tables: str = "hyperminhash") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -148,20 +173,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, block: i
     leads = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).select("id", "n", "registers")
     base = written(sketches.select("doc_id", "n", "d1", "d2"), tables)
     dropped(sketches)
-    sets = leads.select("id", "registers")
-    bands = sets.mapInArrow(_bands(), "key bigint, id bigint")
-    # Bands under which the same sets meet are one group: it is told by its size, least member and two sums of its members' hashes.
-    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"))
-    groups = written(met.where("size > 1").groupBy("size", "least", "x", "y").agg(F.min("key").alias("key")).select("key"), tables)
-    # Few keys are shared: the others go before they are shuffled.
-    some = sets.mapInArrow(_bands(sieve(groups, "key", 27)), "key bigint, id bigint")
-    members = written(some.join(groups, "key").select(F.col("key").alias("group"), "id").distinct(), tables)
-    near = compared(members, leads, sketch_linker(percent), block, tables)
+    # Most of what belongs together meets in the first bands. The other bands then have to tie what is apart still.
+    early = _ties(leads.withColumn("part", F.col("id")), 0, FIRST, percent, block, tables)
+    parts = components(early, tables).withColumnRenamed("component", "part")
+    later = written(leads.join(parts, F.col("id") == F.col("node"), "left").select("id", "n", "registers", F.coalesce("part", "id").alias("part")), tables)
+    near = early.unionByName(_ties(later, FIRST, BANDS, percent, block, tables))
     clusters = written(components(near, tables).select(F.col("component").alias("group"), F.col("node").alias("id")), tables)
     bodies = sifted(whole.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id", clusters)
     links = compared(clusters, bodies, text_linker(words, percent), block, tables)
     joins = components(links, tables)
-    dropped(members)
+    dropped(later)
     lead = classes.drop("registers").join(joins, F.col("id") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     lead = base.where(known).join(lead, ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = base.join(lead, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
