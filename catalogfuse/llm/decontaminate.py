@@ -20,6 +20,18 @@ UNITS = (
     "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent",
     "degree", "degrees",
 )
+# Number words.
+NUMBERS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen",
+)
+# Words that have a capital only because they begin a sentence.
+LEADS = (
+    "a", "an", "the", "if", "when", "while", "what", "who", "which", "where", "why", "how", "in", "on", "at", "of", "to", "for", "from", "with", "by", "is",
+    "are", "was", "were", "do", "does", "did", "can", "has", "have", "and", "but", "or", "he", "she", "it", "they", "we", "you", "this", "that", "then",
+)
+NAME_WORDS = 4
+BEND = 8  # tokens by which longer or shorter names and numbers may move what follows them
 BROADCAST_WINDOWS = 200_000  # windows of the benchmark up to which they go to the documents; beyond, both are shuffled
 
 
@@ -28,18 +40,43 @@ UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u30FF\u
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers, without white space and punctuation; scripts without blanks by characters."""
+    """Words and numbers, without white space and punctuation; scripts without blanks by characters.
+
+    A text that is mostly in capitals is read in small letters, since capitals don't tell its names.
+    """
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    small = F.length(text) - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz", ""))
+    text = F.when(capitals > small, F.lower(text)).otherwise(text)
     return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[{UNSPACED}&&[\p{{L}}\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
 def template(token: Column) -> Column:
-    """A number, a word with a capital and a unit are placeholders; another word is itself."""
+    """A number, in digits or a word, a word with a capital and a unit are placeholders; another word is itself."""
     return (
-        F.when(F.substring(token, 1, 1).between("0", "9"), F.lit("<num>"))
+        F.when(F.substring(token, 1, 1).between("0", "9") | token.isin(*NUMBERS), F.lit("<num>"))
         .when(token.isin(*UNITS), F.lit("<unit>")).when(token != F.lower(token), F.lit("<name>")).otherwise(token)
     )
 
 
+def spelled(tokens_: Column, at: Column, before: Column, after: Column) -> Column:
+    """A placeholder's value: the token, and of a name all of its words, up to NAME_WORDS on either side, but not more than ``before``
+    and ``after`` tokens away."""
+    name = lambda t: F.coalesce((template(t) == "<name>") & ~F.lower(t).isin(*LEADS), F.lit(False))
+    none = F.struct(F.lit("").alias("text"), F.lit(True).alias("on"))
+
+    def grown(side: int, most: Column) -> Column:
+        def more(s: Column, k: Column) -> Column:
+            word = F.get(tokens_, at + side * k)
+            on = s["on"] & (k <= most) & name(word)
+            joined = F.concat(word, F.lit(" "), s["text"]) if side < 0 else F.concat(s["text"], F.lit(" "), word)
+            return F.named_struct(F.lit("text"), F.when(on, joined).otherwise(s["text"]), F.lit("on"), on)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(NAME_WORDS)), none, more)["text"]
+
+    word = F.get(tokens_, at)
+    return F.when(name(word), F.concat(grown(-1, before), word, grown(1, after))).otherwise(word)
+
+
 def windows(tokens_: Column, lengths: list[int], literals: int, exact: bool) -> Column:
     """Hashes of the template's windows of each length, with their first token (from 0) and length.
 
@@ -78,8 +115,8 @@ def contaminated(
 ) -> DataFrame:
     """Rows for what was found only: doc_id, item_id, matched_tokens, item_tokens, slots, same_slots (those with equal values).
 
-    A document holds an item when windows of ``window`` tokens on one diagonal cover ``least`` tokens of it (all of a shorter
-    item) and the values of the placeholders there map one to one, or ``least`` tokens in a row are the item's own: a changed
+    A document holds an item when windows of ``window`` tokens on one diagonal, or on some at most BEND tokens apart (a name of two
+    words in place of one moves what follows), cover ``least`` tokens of it (all of a shorter item) and the values of the placeholders there map one to one, or ``least`` tokens in a row are the item's own: a changed
     value elsewhere does not make those another text. Windows with fewer than ``literals`` words that are no
     placeholders have templates that tell nothing: they are looked for by their tokens, placeholders' values too. An item of
     fewer than ``window`` tokens is one window.
@@ -110,19 +147,30 @@ def contaminated(
     # The tokens of the documents that were met.
     held = sifted(searched, "doc_id", lines).select("doc_id", tokens(F.col("text")).alias("doc"))
     placed = lines.join(held, "doc_id").join(items.select("item_id", "item", "length"), "item_id")
+    placed = written(placed, tables)
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("length") - 1))))
     values = F.filter(
-        F.transform(covered, lambda i: F.struct(F.get("item", i).alias("a"), F.get("doc", i + F.col("shift").cast("int")).alias("b"))),
-        lambda v: template(v["a"]) != v["a"],
+        covered, lambda i: template(F.get("item", i)) != F.get("item", i)
     )
+    ends = lambda i: (i, F.size("item") - 1 - i)
+    values = F.transform(values, lambda i: F.named_struct(
+        F.lit("a"), spelled(F.col("item"), i, *ends(i)), F.lit("b"), spelled(F.col("doc"), i + F.col("shift").cast("int"), *ends(i))
+    ))
     same = lambda i: F.coalesce(F.get("item", i) == F.get("doc", i + F.col("shift").cast("int")), F.lit(False))
     longest = F.aggregate(
         F.sequence(F.lit(0), F.size("item") - 1), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
         lambda s, i: F.struct(F.when(same(i), s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(same(i), s["now"] + 1).otherwise(0)).alias("most")),
     )
+    here = placed.select("doc_id", "item_id", F.size(covered).alias("matched_tokens"), F.size("item").alias("item_tokens"), values.alias("values"), longest["most"].alias("run"))
+    # Diagonals near each other: each stands in two bands, so any two at most BEND apart share one.
+    bands = F.array(F.floor(F.col("shift") / (2 * BEND)) * 2, F.floor((F.col("shift") + BEND) / (2 * BEND)) * 2 + 1)
+    spans = placed.select("doc_id", "item_id", F.size("item").alias("item_tokens"), F.explode(bands).alias("band"), covered.alias("covered"), values.alias("values"))
+    bent = spans.groupBy("doc_id", "item_id", "band", "item_tokens").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched_tokens"), F.flatten(F.collect_list("values")).alias("values"), F.count(F.lit(1)).alias("lines")
+    ).where("lines > 1")
+    both = here.unionByName(bent.select("doc_id", "item_id", "matched_tokens", "item_tokens", "values", F.lit(0).alias("run")))
     slots = F.array_distinct("values")
-    judged = placed.select("doc_id", "item_id", F.size(covered).alias("matched_tokens"), F.size("item").alias("item_tokens"), values.alias("values"), longest["most"].alias("run"))
-    judged = judged.select(
+    judged = both.select(
         "doc_id", "item_id", "matched_tokens", "item_tokens", "run", F.size(slots).alias("slots"),
         F.size(F.filter(slots, lambda v: v["a"] == v["b"])).alias("same_slots"),
         F.size(F.array_distinct(F.transform(slots, lambda v: v["a"]))).alias("a"), F.size(F.array_distinct(F.transform(slots, lambda v: v["b"]))).alias("b"),

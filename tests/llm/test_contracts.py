@@ -564,3 +564,14 @@ def test_fingerprints_that_collide(spark, monkeypatch):
         first, counts = collocations.distinct_phrases(at, prints, exact, size, spoken)
         want = Counter((int(spoken[a]), tuple(words[a : a + size])) for a in at)
         assert Counter({(int(spoken[a]), tuple(words[a : a + size])): int(n) for a, n in zip(first, counts, strict=True)}) == want
+
+
+def test_decontaminate_whatever_the_case_and_the_spelling_of_values(spark):
+    item = "If Anna buys 12 apples for 3 euros each and Anna sells 12 of them how much money does she keep"
+    docs = [
+        (10, item), (11, item.upper()), (12, item.lower()), (13, item.replace("Anna", "Anna Maria")), (14, item.replace("12", "twelve")),
+        (15, item.replace("Anna", "Peter").replace("12", "40").upper()), (16, "so " + item.replace("Anna", "Jean Luc").replace("12", "forty").replace("3", "7")),
+        (17, "he buys 12 apples for 3 euros each and that is all there is to say"), (18, item.replace("sells 12", "sells eleven")),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in got} == {10, 11, 12, 13, 14, 15, 16}
