@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalogfuse.functions import codes as C
 from catalogfuse.operators.fusion import priority_frame
-from catalogfuse.operators.reports import duplicate_targets
 from catalogfuse.operators.tags import TagOptions
 from catalogfuse.operators.translate import translate as translate_texts
 from catalogfuse.plans import resolve as R
@@ -15,7 +14,7 @@ from catalogfuse.sources import alias_xml, html, json_records, sidecars
 from catalogfuse.sources.ledger import load_people_db
 from catalogfuse.workload import fixtures as X
 from catalogfuse.workload.identifiers import TOKENS, code_ctes
-from catalogfuse.workload.registry import ORACLE, Tables, query
+from catalogfuse.workload.registry import ORACLE, Tables, in_sql, query
 
 # Sidecars --------------------------------------------------------------------------------------
 _ITEMS = """
@@ -270,13 +269,51 @@ def resolve_library(t: Tables):
     return library(t).select("p_partkey", "path", "item_code", "title", "maker", "status")
 
 
-@query("resolve_library_targets")
+_FOLDER = "'/out/' || CASE WHEN maker IS NULL THEN '' ELSE maker || '/' END || item_code"
+
+
+@query(
+    "resolve_library_targets",
+    _LIB_SQL + f" SELECT CASE WHEN it.item_code IS NOT NULL THEN {_FOLDER} END AS folder, path, it.item_code IS NOT NULL AS placed, CASE WHEN it.item_code IS NOT NULL THEN item_code || CASE WHEN title IS NULL THEN '' ELSE ' ' || title END END AS stem FROM coded LEFT JOIN it USING (item_code)",
+)
 def resolve_library_targets(t: Tables):
-    """Target paths of the whole library, and which inputs collide on one."""
-    rows = library(t).where("status = 'ok'").select(F.col("target.file").alias("target"), "path")
-    return duplicate_targets(rows).unionByName(
-        rows.select("target", "path", F.lit(1).cast("bigint").alias("inputs"), F.lit(True).alias("is_kept"))
+    """The folder of every file of the library, and its name without part and extension; none for files without a record."""
+    target = F.col("target")
+    name = F.regexp_extract(target["file"], "([^/]*)[.][^.]*$", 1)
+    stem = F.when(F.col("part") != "0", F.regexp_replace(name, "-cd[0-9]+$", "")).otherwise(name)
+    return library(t).select(target["dir"].alias("folder"), "path", target.isNotNull().alias("placed"), F.when(target.isNotNull(), stem).alias("stem"))
+
+
+# A second copy of every file, brand names of the makers, and records that some codes have already.
+_TWICE = f"SELECT p_partkey, path, size FROM ({X.PATHS}) UNION ALL SELECT p_partkey, replace(path, '/lib/', '/lib2/') AS path, size FROM ({X.PATHS})"
+_HOUSES = "SELECT row_number() OVER (ORDER BY p_brand) AS ord, p_brand FROM (SELECT DISTINCT p_brand FROM {part})"
+_RECORDS = "SELECT upper(replace(p_name, ' ', '')) || '-' || lpad(cast(p_partkey AS string), 5, '0') AS item_code, 'Kept ' || p_name AS title, p_type AS maker FROM {part} WHERE p_partkey % 5 = 0"
+
+
+@query(
+    "resolve_run",
+    _LIB_SQL.replace(in_sql(X.PATHS), in_sql(_TWICE), 1)
+    + f""", rec AS ({in_sql(_RECORDS)}),
+      al AS (SELECT item_code, CASE WHEN r.item_code IS NOT NULL THEN r.title ELSE replace(i.title, 'Title', 'Opus') END AS title, CASE WHEN r.item_code IS NOT NULL THEN r.maker WHEN i.maker IS NOT NULL THEN 'House ' || i.maker END AS maker, r.item_code IS NOT NULL AS kept
+        FROM it i FULL JOIN rec r USING (item_code))
+      SELECT path, item_code, al.title, al.maker, al.kept AS from_record, coalesce(NOT contains(item_code, '.'), false) AS shared,
+        CASE WHEN coalesce(item_code, '') = '' THEN 'no code in the path' WHEN al.kept IS NULL THEN 'no source has the code' WHEN starts_with(path, '/lib2/') THEN 'another file has the target' END AS reason,
+        CASE WHEN al.kept IS NULL THEN NULL ELSE {_FOLDER.replace('maker', 'al.maker')} END AS folder
+      FROM coded LEFT JOIN al USING (item_code)""",
+)
+def resolve_run(t: Tables):
+    """Everything a run does, over two copies of each file: records first, fusion, translation, names, duplicate targets."""
+    options = R.RunOptions(
+        library=R.LibraryOptions(noise=TOKENS, fields=(Field("title"), Field("maker")), tags=TagOptions(include=("maker", "edition")), language="en"),
+        replacements=(("Titolo", "Opus"),), engines=(("down", _fails), ("words", lambda texts: [x.replace("Title", "Titolo") for x in texts])),
     )
+    obs = t.sql(_LIBRARY_OBS)
+    first = obs.groupBy("item_code", "source").agg(F.min_by(F.struct("title", "maker"), "seq").alias("r")).select("item_code", "source", "r.title", "r.maker")
+    houses = t.sql(_HOUSES).select("ord", F.create_map(F.lit("en"), F.concat(F.lit("House "), "p_brand")).alias("canonical"), F.array("p_brand").alias("keywords"), F.lit("").alias("href"))
+    inventory = t.sql(_TWICE).withColumn("ext", F.regexp_extract("path", "(\\.[^.]*)$", 1))
+    out = R.resolve_run(inventory, first, priority_frame(t.spark, _LIBRARY_PRI), options, aliases=houses, records=t.sql(_RECORDS))
+    folder = F.when(F.col("target").isNotNull(), F.regexp_extract("target", "^(.*)/[^/]*$", 1)).alias("folder")
+    return out.select("path", "item_code", "title", "maker", "from_record", "shared", "reason", folder)
 
 
 _CATALOG = "SELECT upper(replace(p_name, ' ', '')) || '-' || lpad(cast(p_partkey AS string), 5, '0') AS item_code, cast(p_size AS string) AS date, p_partkey % 3 = 0 AS has_download, p_partkey % 5 < 2 AS has_subtitle FROM {part}"
