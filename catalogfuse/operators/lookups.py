@@ -120,9 +120,9 @@ def share_by_code(
 ) -> DataFrame:
     """Resolve every distinct code once and give the result to each file with that code.
 
-    ``resolve`` maps a one-column frame of codes to item rows. Tags that belong to a file are
-    replaced by the file's own. Every file comes out: ``shared`` tells whether its record serves others too
-    (``shareable``), ``resolved`` whether its code has a record at all.
+    ``resolve`` maps a one-column frame of codes to item rows. Files that share a record (``shareable``) get their own tags in
+    place of those that belong to a file; a file that may not share stands for itself and has the record as it is.
+    Every file comes out: ``shared`` tells which it is, ``resolved`` whether its code has a record at all.
     """
     rows = inventory.withColumn("shared", F.lit(True) if shareable is None else F.coalesce(shareable, F.lit(False)))
     items = resolve(rows.where(F.col(key).isNotNull()).select(key).distinct()).withColumn("_found", F.lit(True))
@@ -132,7 +132,7 @@ def share_by_code(
     tags = F.filter("tags", lambda t: ~t.isin(*drop_tags)) if drop_tags else F.col("tags")
     if file_tags is not None:
         tags = F.concat(tags, F.filter(file_tags, lambda t: t.isNotNull() & (t != "")))
-    return joined.withColumn("tags", tags)
+    return joined.withColumn("tags", F.when(F.col("shared"), tags).otherwise(F.col("tags")))
 
 
 def lookup_people(items: DataFrame, people_by_code: DataFrame, unknown: Column, key: str = "item_code") -> DataFrame:

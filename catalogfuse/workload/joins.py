@@ -154,8 +154,8 @@ _SHARED = "SELECT o_orderkey, 'P' || cast(o_custkey % 700 AS string) AS item_cod
 @query(
     "share_by_code",
     X.cte(f=_SHARED)
-    + """, i AS (SELECT 'P' || p_partkey AS item_code, p_name AS title, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN [] ELSE [p_type] END AS tags FROM part)
-      SELECT o_orderkey, item_code, title, CASE WHEN title IS NOT NULL THEN array_to_string(list_concat(tags, list_filter([edition, CASE WHEN has_sub THEN 'subtitled' END], lambda x: x IS NOT NULL)), ',') END AS tags,
+    + """, i AS (SELECT 'P' || p_partkey AS item_code, p_name AS title, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN [] ELSE [p_type] END AS tags, [p_type] AS own FROM part)
+      SELECT o_orderkey, item_code, title, CASE WHEN title IS NOT NULL THEN array_to_string(CASE WHEN may THEN list_concat(tags, list_filter([edition, CASE WHEN has_sub THEN 'subtitled' END], lambda x: x IS NOT NULL)) ELSE own END, ',') END AS tags,
         may AS shared, title IS NOT NULL AS resolved FROM f LEFT JOIN i USING (item_code)""",
 )
 def share_by_code(t: Tables):
