@@ -73,11 +73,6 @@ def literal_map(mapping: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
-def bound_rows(df, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def sealed(df, *columns: Column, keep: Sequence[str]):
     """The columns ``keep`` of ``df`` and the computed ``columns``, closed to filter pushdown.
 
