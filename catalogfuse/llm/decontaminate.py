@@ -42,10 +42,10 @@ UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3031-\u30FF\u
 def tokens(text: Column) -> Column:
     """Words and numbers, without white space and punctuation; scripts without blanks by characters.
 
-    A text that is mostly in capitals is read in small letters, since capitals don't tell its names.
+    A text that is mostly in capitals (of E, A and N, which tell it cheaply) is read in small letters: there, capitals don't tell names.
     """
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    small = F.length(text) - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz", ""))
+    held = lambda letters: sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in letters), F.lit(0))
+    capitals, small = held("EAN"), held("ean")
     text = F.when(capitals > small, F.lower(text)).otherwise(text)
     return F.regexp_extract_all(text, F.lit(rf"[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[{UNSPACED}&&[\p{{L}}\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
@@ -53,8 +53,9 @@ def tokens(text: Column) -> Column:
 def template(token: Column) -> Column:
     """A number, in digits or a word, a word with a capital and a unit are placeholders; another word is itself."""
     return (
-        F.when(F.substring(token, 1, 1).between("0", "9") | token.isin(*NUMBERS), F.lit("<num>"))
-        .when(token.isin(*UNITS), F.lit("<unit>")).when(token != F.lower(token), F.lit("<name>")).otherwise(token)
+        F.when(F.substring(token, 1, 1).between("0", "9"), F.lit("<num>"))
+        .when(token.isin(*UNITS, *NUMBERS), F.when(token.isin(*NUMBERS), F.lit("<num>")).otherwise("<unit>"))
+        .when(token != F.lower(token), F.lit("<name>")).otherwise(token)
     )
 
 
