@@ -20,6 +20,8 @@ from catalogfuse.functions.values import is_zero_runtime, normalize_release, nor
 from catalogfuse.schemas import FUSED_FIELDS, PRIORITY, Field
 
 KEY = "item_code"
+# A field's state in an observation.
+LETTERS = VALID, INVALID, MISSING = "vim"
 
 
 def item_keys(obs: DataFrame) -> list[str]:
@@ -90,6 +92,13 @@ def resolve_priorities(
     return merged.select("item_type", "field", "source", F.row_number().over(order).alias("rank"))
 
 
+def _rank_table(priority: DataFrame, fields: Sequence[Field], typed: bool) -> DataFrame:
+    """The priority table as one row per (item_type, source) with an ARRAY<INT> of ranks per field."""
+    keys = ["item_type", "source"] if typed else ["source"]
+    ranks = F.array(*[F.min(F.when(F.col("field") == f.name, F.col("rank"))) for f in fields])
+    return priority.where(F.col("field").isin(*[f.name for f in fields])).groupBy(*keys).agg(ranks.alias("_ranks"))
+
+
 def _with_ranks(obs: DataFrame, priority: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """Observations with an ARRAY<INT> of ranks per field; rows of unranked sources are dropped.
 
@@ -97,11 +106,8 @@ def _with_ranks(obs: DataFrame, priority: DataFrame, fields: Sequence[Field]) ->
     (types x sources) rows. It carries no hint: the optimizer broadcasts it by its real size.
     """
     typed = "item_type" in obs.columns
-    keys = ["item_type", "source"] if typed else ["source"]
-    ranks = F.array(*[F.min(F.when(F.col("field") == f.name, F.col("rank"))) for f in fields])
-    wide = priority.where(F.col("field").isin(*[f.name for f in fields])).groupBy(*keys).agg(ranks.alias("_ranks"))
-    out = obs.join(wide, keys)
-    if "language" in obs.columns and any(f.language for f in fields):
+    out = obs.join(_rank_table(priority, fields, typed), ["item_type", "source"] if typed else ["source"])
+    if _by_language(obs, fields):
         lang = F.coalesce(F.col("language"), F.lit(""))
         allowed = [
             F.when((lang == "") | (lang == (f.language or "")), F.col("_ranks")[i]) for i, f in enumerate(fields)
@@ -110,14 +116,32 @@ def _with_ranks(obs: DataFrame, priority: DataFrame, fields: Sequence[Field]) ->
     return out.where(F.exists("_ranks", lambda r: r.isNotNull()))
 
 
-def one_per_source(obs: DataFrame, order: Sequence[str], extra_keys: Sequence[str] = ()) -> DataFrame:
-    """First observation of each (item, source) by ``order``; combines before it shuffles."""
+def _by_language(obs: DataFrame, fields: Sequence[Field]) -> bool:
+    return "language" in obs.columns and any(f.language for f in fields)
+
+
+def one_per_source(
+    obs: DataFrame, order: Sequence[str], extra_keys: Sequence[str] = (), keep: Sequence[str] | None = None
+) -> DataFrame:
+    """First observation of each (item, source) by ``order``; combines before it shuffles. Only the columns ``keep`` (all) travel."""
     keys = [KEY, "source", *extra_keys]
-    rest = [c for c in obs.columns if c not in keys]
+    rest = [c for c in (obs.columns if keep is None else keep) if c not in keys]
     picked = obs.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _first_ranked(
+    obs: DataFrame, priority: DataFrame, fields: Sequence[Field], order: Sequence[str], extra_keys: Sequence[str], keep: Sequence[str]
+) -> DataFrame:
+    """``one_per_source`` of the ranked rows, with their ``_ranks``. Ranks that are the same for a source's rows join in afterwards."""
+    if _by_language(obs, fields):
+        return one_per_source(_with_ranks(obs, priority, fields), order, extra_keys, [*keep, "_ranks"])
+    typed = ["item_type"] if "item_type" in obs.columns else []
+    ranks = _rank_table(priority, fields, bool(typed)).where(F.exists("_ranks", lambda r: r.isNotNull()))
+    ranked = obs.join(ranks.select(*typed, "source"), [*typed, "source"], "left_semi")
+    return one_per_source(ranked, order, extra_keys, [*typed, *keep]).join(ranks, [*typed, "source"])
+
+
 def _with_values(ranked: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """Valid values as columns ``_v_<field>``, computed once per row."""
     return ranked.withColumns({f"_v_{f.name}": valid_value(f) for f in fields})
@@ -155,9 +179,11 @@ def fuse_fields(
     """
     fields = [f for f in fields if f.name in obs.columns]
     with_id = "external_id" in obs.columns
-    ranked = _with_ranks(obs, priority, fields)
     if order:
-        ranked = one_per_source(ranked, order, ["language"] if "language" in obs.columns else [])
+        keep = [*[f.name for f in fields], *(["external_id"] if with_id else [])]
+        ranked = _first_ranked(obs, priority, fields, order, ["language"] if "language" in obs.columns else [], keep)
+    else:
+        ranked = _with_ranks(obs, priority, fields)
     keys = item_keys(obs)
     fused = _with_values(ranked, fields).groupBy(*keys).agg(*_winners(fields, with_id))
     return fused.select(*keys, *_fused_columns(fields, with_id))
@@ -192,18 +218,15 @@ def _collected(obs, priority, fields, order, payload: Sequence[str], try_all: Se
     sources: the list is bounded by the priority table, not by the data.
     """
     more = [c for c in ("item_type", "language") if c in obs.columns]
-    ranked = _with_values(one_per_source(_with_ranks(obs, priority, fields), order, more), fields)
-    state = F.array(
-        *[
-            F.when(F.col(f"_v_{f.name}").isNotNull(), "valid").when(present(f), "invalid").otherwise("missing")
-            for f in fields
-        ]
-    )
-    entry = F.struct("source", F.col("_ranks").alias("ranks"), state.alias("state"), *payload)
+    # A letter per field is all that travels of values that are only asked whether they are valid.
+    letters = [F.when(valid_value(f).isNotNull(), VALID).when(present(f), INVALID).otherwise(MISSING) for f in fields]
+    coded = obs.withColumn("_state", F.concat(*letters))
+    ranked = _first_ranked(coded, priority, fields, order, more, ["_state", *payload])
+    entry = F.struct("source", F.col("_ranks").alias("ranks"), F.col("_state").alias("state"), *payload)
     wins = [
         F.lit(None).cast("int")
         if f.name in try_all
-        else F.min(F.when(F.col(f"_v_{f.name}").isNotNull(), F.col("_ranks")[i]))
+        else F.min(F.when(F.substring("_state", i + 1, 1) == VALID, F.col("_ranks")[i]))
         for i, f in enumerate(fields)
     ]
     return ranked.groupBy(*item_keys(obs)).agg(F.array(*wins).alias("_wins"), F.collect_list(entry).alias("_entries"))
@@ -285,6 +308,7 @@ def field_coverage(
     fields = [f for f in fields if f.name in obs.columns]
     grouped = _collected(obs, priority, fields, order, [], ())
     names = F.array(*[F.lit(f.name) for f in fields])
+    states = F.array(F.lit("valid"), F.lit("invalid"), F.lit("missing"))
 
     def status(e: Column, i: Column) -> Column:
         rank = F.get(e["ranks"], i)
@@ -295,7 +319,7 @@ def field_coverage(
             F.when(rank.isNull(), F.lit(None).cast("string"))
             .when(rank > win, "not_asked")
             .when(rank == win, "chosen")
-            .otherwise(F.get(e["state"], i))
+            .otherwise(F.get(states, F.call_function("instr", F.lit(LETTERS), F.substring(e["state"], i + 1, F.lit(1))) - 1))
             .alias("status"),
         )
 

@@ -118,3 +118,21 @@ def test_types_languages_ids_years_and_people(spark):
     assert got["A"].year == "2020" and got["A"].all_people == ["Bob", "Ann"] and set(got["A"].external_ids) == {"s"}
     first = {r.item_type: r for r in collect_candidates(obs, pri, fields, edition=lambda c: F.lower(F.trim(c))).collect()}
     assert first["A"].edition == "cut" and first["A"].consulted == ["s"]
+
+
+def test_only_what_is_read_travels(spark):
+    from catalogfuse.operators.fusion import field_coverage
+
+    fields = [Field("title"), Field("thumb")]
+    columns = ["item_code", "item_type", "source", "external_id", "title", "thumb", "blob", "seq"]
+    rows = [("i", "t", "a", "1", "late", "u", "x", 2), ("i", "t", "a", "2", "", "u", "x", 1), ("i", "t", "b", "3", "t", "", "x", 1), ("i", "t", "z", "4", "t", "v", "x", 1)]
+    obs = spark.createDataFrame(rows, columns)
+    pri = priority_frame(spark, [("t", "title", "a", 1), ("t", "title", "b", 2), ("t", "thumb", "b", 1), ("t", "thumb", "a", 2)])
+    fused, asked, covered = (f(obs, pri, fields, order=["seq"]) for f in (fuse_fields, collect_candidates, field_coverage))
+    for frame, unread in ((fused, "blob"), (asked, "blob"), (asked, "external_id"), (covered, "blob"), (covered, "external_id")):
+        assert unread not in frame._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert [(r.title, r.thumb) for r in fused.collect()] == [("t", "u")]
+    assert asked.collect()[0].consulted == ["a", "b"]
+    assert {(r.field, r.source, r.status, r.n) for r in covered.collect()} == {
+        ("title", "a", "missing", 1), ("title", "b", "chosen", 1), ("thumb", "b", "missing", 1), ("thumb", "a", "chosen", 1)
+    }
