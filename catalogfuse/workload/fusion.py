@@ -129,7 +129,8 @@ _SOURCE_ORDER = "SELECT * FROM (VALUES ('s3', 1), ('s0', 2), ('s4', 3), ('s1', 4
       FROM r JOIN w ON r.item_code = w.item_code AND r.rank = w.win""",
 )
 def fuse_first_source(t: Tables):
-    out = U.fuse_first_source(observations(t), t.sql(_SOURCE_ORDER), log_skipped=True)
+    obs = observations(t).select("item_code", "source", "title", "maker", "release")
+    out = U.fuse_first_source(obs, t.sql(_SOURCE_ORDER), log_skipped=True)
     return out.select("item_code", "source", "title", "maker", "release", F.array_join("skipped", ">").alias("skipped"))
 
 
