@@ -179,3 +179,19 @@ def test_signatures_meet_within_eight_bits(spark):
             want[p] = min(found)[1]
     got = {r.picture: r.ref for r in linkage.signature_links(frame(pictures, "picture"), frame(refs, "ref")).collect()}
     assert got == want and 100 < len(got) < 220
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_titles_cut_a_name_into_words_once(spark):
+    from catalogfuse.functions.codes import candidate_titles
+
+    df = spark.createDataFrame([("one longerword and another longword",), (None,), ("short",), ("",)], "line string")
+    got = df.select(candidate_titles("line").alias("t"))
+    assert _plan(got).count("regexp_replace") == 1
+    whole = "ONE LONGERWORD AND ANOTHER LONGWORD"
+    want = ["LONGERWORD", "LONGWORD", whole, "ONE LONGERWORD", "AND ANOTHER LONGWORD", "LONGERWORD AND ANOTHER", "one longerword and another longword"]
+    assert [r.t for r in got.collect()][0] == want
+    assert [r.t for r in got.collect()][2:] == [["SHORT", "short"], []]
