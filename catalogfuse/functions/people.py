@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalogfuse.functions.basics import as_col, distinct_in_order, literal_map
+from catalogfuse.functions.basics import as_col, distinct_in_order, let, literal_map
 
 # Separators between names, and entries that stand for no name.
 NAME_SEPARATORS = "[|｜,，/／、]"
@@ -109,11 +109,15 @@ def provider_ids(claims_json: Column | str, entity: Column | str, properties: Se
     for _, prop in properties:
         path = F.concat(F.lit("$.entities."), as_col(entity), F.lit(f".claims.{prop}[0].mainsnak.datavalue.value"))
         values.append(F.call_function("get_json_object", doc, path))
-    entries, seen_all = [], F.lit(True)
-    for (name, _), value in zip(properties, values, strict=True):
-        seen_all = seen_all & value.isNotNull()
-        entries.append(F.when(seen_all, F.struct(F.lit(name).alias("key"), value.alias("value"))))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+
+    def known(found: Column) -> Column:
+        entries, seen_all = [], F.lit(True)
+        for i, (name, _) in enumerate(properties):
+            seen_all = seen_all & found[i].isNotNull()
+            entries.append(F.when(seen_all, F.struct(F.lit(name).alias("key"), found[i].alias("value"))))
+        return F.map_from_entries(F.array_compact(F.array(*entries)))
+
+    return let(F.array(*values), known)
 
 
 def description(

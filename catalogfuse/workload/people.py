@@ -102,7 +102,7 @@ def claims(t: Tables):
     )
     entity = F.concat(F.lit("Q"), key.cast("string"))
     doc = F.to_json(F.struct(F.create_map(entity, body).alias("entities")))
-    return t("customer").select("c_custkey", entity.alias("entity"), doc.alias("doc"))
+    return t.read("customer", spread=True).select("c_custkey", entity.alias("entity"), doc.alias("doc"))
 
 
 @query(

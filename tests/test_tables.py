@@ -195,3 +195,14 @@ def test_titles_cut_a_name_into_words_once(spark):
     want = ["LONGERWORD", "LONGWORD", whole, "ONE LONGERWORD", "AND ANOTHER LONGWORD", "LONGERWORD AND ANOTHER", "one longerword and another longword"]
     assert [r.t for r in got.collect()][0] == want
     assert [r.t for r in got.collect()][2:] == [["SHORT", "short"], []]
+
+
+def test_provider_ids_read_a_document_once_per_property(spark):
+    from catalogfuse.functions.people import provider_ids
+
+    claim = lambda v: '[{"mainsnak": {"datavalue": {"value": "%s"}}}]' % v
+    doc = '{"entities": {"Q1": {"claims": {"P1": %s, "P3": %s}}}}' % (claim("a"), claim("c"))
+    df = spark.createDataFrame([("Q1", doc), ("Q2", doc), ("Q1", None)], "entity string, doc string")
+    got = df.select(provider_ids("doc", "entity", [("one", "P1"), ("two", "P2"), ("three", "P3")]).alias("ids"))
+    assert _plan(got).count("get_json_object") == 3
+    assert [r.ids for r in got.collect()] == [{"one": "a"}, {}, {}]
