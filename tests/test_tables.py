@@ -206,3 +206,10 @@ def test_provider_ids_read_a_document_once_per_property(spark):
     got = df.select(provider_ids("doc", "entity", [("one", "P1"), ("two", "P2"), ("three", "P3")]).alias("ids"))
     assert _plan(got).count("get_json_object") == 3
     assert [r.ids for r in got.collect()] == [{"one": "a"}, {}, {}]
+
+
+def test_file_index_holds_a_path_once(spark):
+    paths = ["/b/x.srt", "/a/z/X.srt", "/a/x.SRT", "x.srt", "/c/y.srt", None]
+    got = lookups.file_index(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert "min_by" not in _plan(got)
+    assert {r._name: r.match for r in got.collect()} == {"x.srt": "x.srt", "y.srt": "/c/y.srt", None: None}
