@@ -1,9 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 How many edits two lines may be apart follows the shorter one's length. Cut that line into so many segments and one more,
-and at least one of them is intact in the longer line, at nearly the same place. So segments are indexed under the line's
-length and the segment's number, and a line probes that index with the few substrings whose place fits that length. What
-meets is verified by a banded bit-parallel edit distance. Nothing but JVM expressions runs.
+and at least one of them is intact in the longer line, at nearly the same place. The segments lie in the first characters of
+a line, as many as its length rounded down: lines of a few lengths share their places and sizes, so a line probes the index with few
+substrings. What meets is verified by the edit distance up to the limit. Nothing but JVM expressions runs.
 """
 
 from __future__ import annotations
@@ -16,106 +16,92 @@ from pyspark.sql import functions as F
 from catalogfuse.llm.common import SPACE, query, sifted, table, texts, written
 
 
-def segments(length: Column, number: int, pieces: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment: the last ones are a character longer where the pieces don't divide the length."""
-    size, rest = F.floor(length / pieces).cast("int"), F.pmod(length, F.lit(pieces)).cast("int")
-    short = F.lit(pieces) - rest
-    start = F.lit(number) * size + F.greatest(F.lit(0), F.lit(number) - short)
-    return start, size + F.when(F.lit(number) >= short, 1).otherwise(0)
-
-
 def allowed(length: Column, per: int, most: int) -> Column:
     """Edits that a line of a length may differ by: one per ``per`` characters, at least one and at most ``most``."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(length / per).cast("int")))
 
 
-def _key(length: Column, number: int, part: Column) -> Column:
-    """48 bits: what shares them by chance is only verified in vain."""
-    return F.xxhash64(length, F.lit(number), part).bitwiseAND(F.lit((1 << 48) - 1))
+def rounded(length: Column) -> Column:
+    """The length without its digits but the first three, in binary: at least four fifths of it."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.length(F.bin(length.cast("bigint"))) - 3))
+    return length - F.pmod(length, step)
+
 
+def moves(edits: int, less: int, number: int) -> range:
+    """How far segment ``number``, counted from 0, may have moved in a line that is ``less`` characters longer.
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    keys = []
-    for i in range(edits + 1):
-        start, size = segments(length, i, edits + 1)
-        keys.append(_key(length, i, F.substring(line, start + 1, size)))
-    return F.array(*keys)
+    Of the segments, the first that has no more edits up to its end than its number is intact: it has so many edits to its left and the
+    others to its right, so it moves by no more than these allow against either end.
+    """
+    return range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
 
 
-def probe_keys(line: Column, length: Column, edits: int, less: int) -> Column:
-    """Keys of the substrings that can be an intact segment of a line that is ``less`` characters shorter.
+def probes(most: int) -> list[tuple[int, int, int, int, int]]:
+    """(edits, less, number, move, before): what a line looks up. ``before`` is the next smaller ``less`` that asks for the same, or -1."""
+    found = []
+    for edits in range(1, most + 1):
+        for less in range(edits + 1):
+            for number in range(edits + 1):
+                for move in moves(edits, less, number):
+                    before = max((k for k in range(less) if move in moves(edits, k, number)), default=-1)
+                    found.append((edits, less, number, move, before))
+    return found
 
-    Only moves that the edits on both sides of the segment allow: segment i, counted from 0, of such a line
-    moves by at most i against its left end, and by at most edits - i against its right end.
-    """
-    keys = []
-    for i in range(edits + 1):
-        start, size = segments(length - less, i, edits + 1)
-        for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-            fits = (start + move >= 0) & (start + move + size <= length)
-            keys.append(F.when(fits, _key(length - less, i, F.substring(line, start + move + 1, size))))
-    return F.array(*keys)
 
+def _key(base: Column, edits: Column, number: Column, line: Column, move: Column) -> Column:
+    """48 bits for a segment of a line, or for the substring ``move`` characters off its place; null outside of the line."""
+    size = F.floor(base / (edits + 1)).cast("int")
+    start = number * size + move
+    hashed = F.xxhash64(base, edits, number, F.substring(line, start + 1, size)).bitwiseAND(F.lit((1 << 48) - 1))
+    return F.when((start >= 0) & (start + size <= F.length(line)), hashed)
 
-def indexed(line: Column, length: Column, per: int, most: int) -> Column:
-    edits = allowed(length, per, most)
-    return reduce(lambda c, e: c.when(edits == e, index_keys(line, length, e)), range(2, most + 1), F.when(edits == 1, index_keys(line, length, 1)))
 
+def index_keys(lines: DataFrame, per: int, most: int) -> DataFrame:
+    """(key, a, a_marks, edits): a row for each segment of the lines(id, line, marks)."""
+    own = lines.withColumns({"edits": allowed(F.length("line"), per, most), "base": rounded(F.length("line"))})
+    cut = own.select("*", F.explode(F.sequence(F.lit(0), "edits")).alias("number"))
+    key = _key(F.col("base"), F.col("edits"), F.col("number"), F.col("line"), F.lit(0))
+    return cut.select(key.alias("key"), F.col("id").alias("a"), F.col("marks").alias("a_marks"), F.col("edits").cast("tinyint").alias("edits"))
 
-def probed(line: Column, length: Column, per: int, most: int, least: int) -> Column:
-    """The keys under which lines may stand that are up to as many characters shorter as their own length allows."""
-    none = F.array().cast("array<bigint>")
-    parts = []
-    for less in range(most + 1):
-        edits = allowed(length - less, per, most)
-        for e in range(max(1, less), most + 1):
-            parts.append(F.when((edits == e) & (length - less >= least), probe_keys(line, length, e, less)).otherwise(none))
-    return F.array_distinct(F.array_compact(F.concat(*parts)))
 
+def probe_keys(lines: DataFrame, per: int, most: int, least: int) -> DataFrame:
+    """(key, b, b_marks): under what the lines may stand that are up to as many characters shorter as their own length allows."""
+    names = ("edits", "less", "number", "move", "before")
+    asked = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p, strict=True)]) for p in probes(most)])
+    cut = lines.select("id", "line", "marks", F.inline(asked))
+    length = F.length("line") - F.col("less")
+    nearer = F.length("line") - F.col("before")
+    again = (F.col("before") >= 0) & (rounded(nearer) == rounded(length)) & (allowed(nearer, per, most) == F.col("edits"))
+    cut = cut.where((length >= least) & (allowed(length, per, most) == F.col("edits")) & ~again)
+    key = _key(rounded(length), F.col("edits"), F.col("number"), F.col("line"), F.col("move"))
+    return cut.select(key.alias("key"), F.col("id").alias("b"), F.col("marks").alias("b_marks")).where("key is not null")
 
-def parities(line: Column) -> Column:
-    """32 bits: whether each class of characters is in the line an odd number of times. An edit flips two at most."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1), F.pmod(F.ascii(c), F.lit(32)))
-    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: F.when(c == "", bits).otherwise(bits.bitwiseXOR(bit(c))))
 
+# The letters that are counted, the most frequent ones of the languages at hand.
+COUNTED = " eantr"
 
-def banded_distance(x: Column, y: Column, edits: int) -> Column:
-    """The edit distance of two texts if it is at most ``edits``, else null.
 
-    The band is 2 * edits + 1 diagonals. For every number of errors e, one integer holds the diagonals that the text so
-    far can end on with e errors; one step per character of ``x`` moves all of them at once. Each bit of ``match`` tells
-    whether the character equals that of ``y`` on a diagonal.
-    """
-    width, mask = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    a, b = F.split(x, ""), F.split(y, "")
-
-    def match(c: Column, i: Column) -> Column:
-        bits = [F.when((i + (d - edits) >= 0) & (F.get(b, i + (d - edits)) == c), 1 << d).otherwise(0) for d in range(width)]
-        return reduce(lambda p, q: p + q, bits)
-
-    def moved(s: Column, m: Column) -> Column:
-        rows = [s["e0"].bitwiseAND(m)]
-        for e in range(1, edits + 1):
-            fewer = s[f"e{e - 1}"]
-            # equal; replaced; a character of x too many; one of y too many
-            now = s[f"e{e}"].bitwiseAND(m).bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(rows[-1], 1))
-            rows.append(now.bitwiseAND(F.lit(mask)))
-        return F.struct(*[r.alias(f"e{e}") for e, r in enumerate(rows)])
-
-    # With e errors, e characters of y may have come before the first of x.
-    start = F.struct(*[F.lit(sum(1 << (edits + k) for k in range(e + 1))).alias(f"e{e}") for e in range(edits + 1)])
-    masks = F.when(F.length(x) > 0, F.transform(a, match)).otherwise(F.array().cast("array<int>"))
-    ended = F.aggregate(masks, start, moved)
-    last = F.length(y) - F.length(x) + edits
-    on_last = lambda r: F.element_at(F.array(*[r.bitwiseAND(F.lit(1 << d)) > 0 for d in range(width)]), last + 1)
-
-    def judged(s: Column) -> Column:
-        out = F.lit(None).cast("int")
-        for e in reversed(range(edits + 1)):
-            out = F.when(on_last(s[f"e{e}"]), e).otherwise(out)
-        return out
-
-    return F.when(F.abs(F.length(x) - F.length(y)) <= edits, F.element_at(F.transform(F.array(ended), judged), 1))
+def marks(line: Column) -> Column:
+    """64 bits: the low 16 of the length, the low 8 of how often each letter of COUNTED is there."""
+    counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("bigint") for c in COUNTED]
+    shifted = [F.shiftleft(n, 16 + 8 * k) for k, n in enumerate(counts)]
+    return reduce(lambda p, q: p.bitwiseOR(q), shifted, F.length(line).bitwiseAND(F.lit(65535)).cast("bigint"))
+
+
+def may_be_near(a: Column, b: Column, edits: Column) -> Column:
+    """By their marks, a line ``b`` can come from ``a`` and be no shorter: an edit changes two counts by one at most."""
+    apart = []
+    for k in range(len(COUNTED)):
+        x, y = (F.shiftrightunsigned(c, 16 + 8 * k).bitwiseAND(F.lit(255)) for c in (a, b))
+        off = F.abs(x - y)
+        apart.append(F.least(off, 256 - off))
+    less = (b.bitwiseAND(F.lit(65535)) - a.bitwiseAND(F.lit(65535)) + 65536).bitwiseAND(F.lit(65535))
+    return (less <= edits) & (reduce(lambda p, q: p + q, apart) <= 2 * edits)
+
+
+def banded_distance(x: Column, y: Column, edits: Column | int) -> Column:
+    """The edit distance of two texts if it is at most ``edits``, else null."""
+    return F.nullif(F.call_function("levenshtein", x, y, edits if isinstance(edits, Column) else F.lit(edits)), F.lit(-1))
 
 
 def line_dedup(docs: DataFrame, per: int = 20, most: int = 3, least: int = 16, tables: str = "lines") -> DataFrame:
@@ -133,35 +119,20 @@ def line_dedup(docs: DataFrame, per: int = 20, most: int = 3, least: int = 16, t
     blank = lambda line: F.regexp_replace(line, f"{SPACE}+", "") == ""
     lines = whole.where("doc_id is not null").select("doc_id", F.posexplode("lines").alias("at", "line")).where(~blank(F.col("line")))
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    length = F.col("length")
-    known = written(
-        firsts.withColumn("length", F.length("line")).select(
-            "first", F.monotonically_increasing_id().alias("id"), F.when(length >= least, allowed(length, per, most)).alias("edits"),
-            *[F.when(length >= least, x).alias(n) for n, x in (
-                ("bits", parities(F.col("line"))), ("index", indexed(F.col("line"), length, per, most)), ("probe", probed(F.col("line"), length, per, most, least)),
-            )],
-        ),
-        tables,
-    )
-    index = known.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("bits").alias("a_bits"), F.col("edits").cast("tinyint").alias("edits"))
-    probe = known.select(F.explode("probe").alias("key"), F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-    may = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * F.col("edits"))
-    met = index.join(probe, (index["key"] == probe["key"]) & may).select("a", "b", "edits").distinct()
-    place_of = known.select("id", "first")
-    met = met.join(place_of.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(place_of.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    pairs = written(met.select(F.least("fa", "fb").alias("earlier"), F.greatest("fa", "fb").alias("later"), "edits").distinct(), tables)
-
-    # The texts of the lines that met, from their documents.
-    places = pairs.select(F.explode(F.array("earlier", "later")).alias("first")).distinct()
-    near = sifted(whole.where("doc_id is not null"), "doc_id", places.select("first.doc_id"))
-    place = F.posexplode("lines").alias("at", "line")
-    held = near.select("doc_id", place).select(F.struct("doc_id", "at").alias("first"), "line").where(F.length("line") >= least)
-    held = written(held.join(places, "first", "left_semi"), tables)
-    near_enough = reduce(lambda c, e: c.when(F.col("edits") == e, banded_distance(F.col("x"), F.col("y"), e).isNotNull()), range(2, most + 1), F.when(F.col("edits") == 1, banded_distance(F.col("x"), F.col("y"), 1).isNotNull()))
+    known = written(firsts.select("first", F.monotonically_increasing_id().alias("id"), "line"), tables)
+    long = known.where(F.length("line") >= least).select("id", "line", marks(F.col("line")).alias("marks"))
+    index, probe = index_keys(long, per, most), probe_keys(long, per, most, least)
+    may = (F.col("a") != F.col("b")) & may_be_near(F.col("a_marks"), F.col("b_marks"), F.col("edits"))
+    met = index.join(probe, (index["key"] == probe["key"]) & may)
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("edits").cast("int").alias("edits")).distinct(), tables)
+
+    # The texts of the lines that met.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = written(sifted(known, "id", ids).join(ids, "id", "left_semi"), tables)
     verified = (
-        pairs.join(held.select(F.col("first").alias("earlier"), F.col("line").alias("x")), "earlier")
-        .join(held.select(F.col("first").alias("later"), F.col("line").alias("y")), "later")
-        .where(near_enough).select("later").distinct()
+        pairs.join(held.select(F.col("id").alias("a"), F.col("first").alias("fa"), F.col("line").alias("x")), "a")
+        .join(held.select(F.col("id").alias("b"), F.col("first").alias("fb"), F.col("line").alias("y")), "b")
+        .where(banded_distance(F.col("x"), F.col("y"), F.col("edits")).isNotNull()).select(F.greatest("fa", "fb").alias("later")).distinct()
     )
     marked = known.select("first").join(verified.select(F.col("later").alias("first"), F.lit(1).alias("near")), "first", "left")
     per_doc = marked.groupBy(F.col("first.doc_id").alias("_id")).agg(

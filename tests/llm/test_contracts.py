@@ -575,3 +575,14 @@ def test_decontaminate_whatever_the_case_and_the_spelling_of_values(spark):
     ]
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
     assert {r.doc_id for r in got} == {10, 11, 12, 13, 14, 15, 16}
+
+
+def test_lines_of_a_few_lengths_share_their_keys(spark):
+    """Near lines on both sides of the lengths where segments change, and few keys for a line of three edits."""
+    base = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 200))
+    lines = [base[:n] + "#" for n in (59, 61, 62, 64, 79, 81, 82, 94, 95, 97, 126, 128, 130)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    found = {r.doc_id: r.n_near for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: int(any(edit_distance(x, y) <= min(3, max(1, len(y) // 20)) for y in lines[:i])) for i, x in rows}
+    one = spark.createDataFrame([(1, base, 0)], "id bigint, line string, marks bigint")
+    assert line_dedup.index_keys(one, 20, 3).count() == 4 and line_dedup.probe_keys(one, 20, 3, 16).count() <= 26 - 8
