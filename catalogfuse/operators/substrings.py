@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 from catalogfuse.functions.basics import as_col
 from catalogfuse.plans.sieve import U, scramble, sieve
 
-GRAM = 8
+GRAM, HEAD = 8, 3
 SLICE = 1 << 20  # bytes of text that are unfolded to windows at once
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of about SLICE bytes of ``_low``, or of one longer text."""
     ends = np.cumsum(pc.binary_length(batch.column("_low")).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -34,18 +34,19 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The eight bytes from each byte of the texts on, as integers; how many of them are the text's own; each byte's text."""
+def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The eight bytes from each byte of the texts on, as integers, and where each text ends."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    lengths = np.diff(offsets)
-    padded = np.concatenate((data, np.zeros(GRAM, np.uint8))).astype(U)
-    out = np.zeros(len(data), U)
-    for i in range(GRAM):
-        out |= padded[i : i + len(data)] << U(8 * i)
-    left = np.repeat(offsets[1:] - offsets[0], lengths) - np.arange(len(data))
-    return out, left, np.repeat(np.arange(len(column)), lengths)
+    padded = np.concatenate((data, np.zeros(GRAM, np.uint8)))
+    return np.ndarray((len(data),), "<u8", padded, 0, (1,)).astype(U), offsets[1:] - offsets[0]
+
+
+def _texts(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each place, and how many of the bytes from there on are its own."""
+    row = np.searchsorted(ends, at, side="right")
+    return row, ends[row] - at
 
 
 def _mask(size: int) -> np.uint64:
@@ -60,8 +61,9 @@ def _term_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_t, size, gram, hashed): all windows of a long term, the whole of a short one."""
     names = ["_t", "size", "gram", "hashed"]
     for batch in batches:
-        for part in _slices(batch):
-            grams, left, row = _windows(part.column("_low"))
+        for part in byte_slices(batch):
+            grams, ends = _windows(part.column("_low"))
+            row, left = _texts(np.arange(len(grams)), ends)
             length = np.bincount(row, minlength=part.num_rows)
             first = np.concatenate((np.ones(1, bool), row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
             for size in range(1, GRAM + 1):
@@ -71,36 +73,42 @@ def _term_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(at), size, np.int32)), pa.array(found.view(np.int64)), pa.array(_hash(found, size).view(np.int64))], names=names)
 
 
-def _found(part: pa.RecordBatch, sizes: list[int], held: Broadcast) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _found(part: pa.RecordBatch, sizes: list[int], heads: Broadcast, held: Broadcast) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each size the distinct (text, gram) of the slice that are in the sieve."""
-    grams, left, row = _windows(part.column("_low"))
+    grams, ends = _windows(part.column("_low"))
+    # Of the places, those whose first HEAD bytes begin a gram; all for shorter grams.
+    likely = np.flatnonzero(heads.value.has(grams << U(64 - 8 * HEAD)))
+    places = {True: (likely, *_texts(likely, ends))}
     for size in sizes:
-        at = np.flatnonzero(left >= size)
-        some = grams[at] & _mask(size)
+        if size < HEAD and False not in places:
+            places[False] = (np.arange(len(grams)), *_texts(np.arange(len(grams)), ends))
+        at, row, left = places[size >= HEAD]
+        own = left >= size
+        some, text = grams[at[own]] & _mask(size), row[own]
         keep = held.value.has(_hash(some, size))
-        some, text = some[keep], row[at[keep]]
+        some, text = some[keep], text[keep]
         order = np.lexsort((some, text))
         some, text = some[order], text[order]
         new = np.concatenate((np.ones(1, bool), (some[1:] != some[:-1]) | (text[1:] != text[:-1]))) if len(some) else np.zeros(0, bool)
         yield size, text[new], some[new]
 
 
-def _count(sizes: list[int], held: Broadcast):
+def _count(sizes: list[int], heads: Broadcast, held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                for size, _, grams in _found(part, sizes, held):
+            for part in byte_slices(batch):
+                for size, _, grams in _found(part, sizes, heads, held):
                     grams, texts = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.view(np.int64)), pa.array(texts)], names=["size", "gram", "texts"])
 
     return run
 
 
-def _lookup(sizes: list[int], held: Broadcast):
+def _lookup(sizes: list[int], heads: Broadcast, held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                for size, text, grams in _found(part, sizes, held):
+            for part in byte_slices(batch):
+                for size, text, grams in _found(part, sizes, heads, held):
                     keys = part.column("_key").take(pa.array(text))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.view(np.int64))], names=["_key", "size", "gram"])
 
@@ -112,15 +120,24 @@ def gram_hits(df: DataFrame, terms: DataFrame, text: Column | str, key: str) ->
     lowered = df.select(F.col(key).alias("_key"), F.coalesce(F.lower(as_col(text)), F.lit("")).alias("_low"))
     grams = terms.select(F.lower("term").alias("_low")).distinct().where("_low <> ''").mapInArrow(_term_grams, "_t string, size int, gram bigint, hashed bigint")
     sizes = sorted(r.size for r in grams.select("size").distinct().collect())
-    counts = lowered.mapInArrow(_count(sizes, sieve(grams, "hashed")), "size int, gram bigint, texts bigint")
-    counts = counts.groupBy("size", "gram").agg(F.sum("texts").alias("texts"))
+    # Only a term longer than a gram has a choice of grams: the others are not counted.
+    many = grams.where(F.octet_length("_t") > GRAM)
+    counts = lowered.mapInArrow(_count([GRAM], _heads(many), sieve(many, "hashed")), "size int, gram bigint, texts bigint")
+    # Read by the sieve, the heads and the result: the texts are counted once.
+    counts = counts.groupBy("size", "gram").agg(F.sum("texts").alias("texts")).persist()
     # A term with a gram that no text has is in no text.
-    known = grams.join(counts, ["size", "gram"], "left").groupBy("_t").agg(
+    known = many.join(counts, ["size", "gram"], "left").groupBy("_t").agg(
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "size", "gram", "hashed")).alias("_g")
     )
     chosen = known.where("_g.texts > 0").select("_t", "_g.size", "_g.gram", "_g.hashed")
+    chosen = chosen.unionByName(grams.where(F.octet_length("_t") <= GRAM))
     kind = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("size", T.IntegerType()), T.StructField("gram", T.LongType())])
-    return lowered.mapInArrow(_lookup(sizes, sieve(chosen, "hashed")), kind), chosen.drop("hashed")
+    return lowered.mapInArrow(_lookup(sizes, _heads(chosen), sieve(chosen, "hashed")), kind), chosen.drop("hashed")
+
+
+def _heads(grams: DataFrame) -> Broadcast:
+    """The first HEAD bytes of the grams, as a bitmap of all such bytes."""
+    return sieve(grams.where(F.col("size") >= HEAD), F.shiftleft("gram", 64 - 8 * HEAD), 8 * HEAD)
 
 
 def substring_terms(df: DataFrame, terms: DataFrame, text: Column | str, key: str) -> DataFrame:

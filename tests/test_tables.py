@@ -1,6 +1,7 @@
 """Table jobs on small inputs, checked by brute force; hot keys included."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -213,3 +214,11 @@ def test_file_index_holds_a_path_once(spark):
     got = lookups.file_index(spark.createDataFrame([(p,) for p in paths], "path string"))
     assert "min_by" not in _plan(got)
     assert {r._name: r.match for r in got.collect()} == {"x.srt": "x.srt", "y.srt": "/c/y.srt", None: None}
+
+
+def test_texts_are_counted_once_for_the_rarest_grams(spark):
+    df = spark.createDataFrame([(1, "a long dictionary word"), (2, "dictionary"), (3, "x")], "id int, text string")
+    terms = spark.createDataFrame([(1, "dictionary"), (2, "x"), (3, "wo"), (4, "ary ")], "ord int, term string")
+    got = lookups.dictionary_terms(df, terms, "text", "id", "substring")
+    assert sorted((r.id, r.term) for r in got.collect()) == [(1, "ary "), (1, "dictionary"), (1, "wo"), (2, "dictionary"), (3, "x")]
+    assert "InMemoryRelation" in got._jdf.queryExecution().withCachedData().toString()
