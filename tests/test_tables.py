@@ -216,6 +216,23 @@ def test_file_index_holds_a_path_once(spark):
     assert {r._name: r.match for r in got.collect()} == {"x.srt": "x.srt", "y.srt": "/c/y.srt", None: None}
 
 
+def test_word_terms_shuffle_only_what_the_dictionary_may_hold(spark):
+    """Repeated, adjacent and cut phrases, marks of several bytes; texts' n-grams are no rows unless a term's hash is theirs."""
+    rnd = random.Random(5)
+    pool = ["Ünder", "sea", "a_b", "x", "水が", "sci-fi", "film"]
+    texts = [(i, rnd.choice([" ", ", ", "--"]).join(rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for i in range(200)] + [(200, None), (201, "...")]
+    terms = list(enumerate(["ünder SEA", "sea", "x x", "film, film; film", "水が", "a_b x", "sci", "--", "UNDER", "ünder-sea", "not there at all"]))
+    df, dictionary = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame(terms, "ord int, term string")
+    words = lambda t: " ".join(w for w in re.split(r"\W+", t.lower()) if w)
+    first = {}
+    for _, term in terms:
+        first.setdefault(words(term), term)
+    want = sorted((i, first[w]) for i, t in texts if t for w in first if w and f" {w} " in f" {words(t)} ")
+    got = lookups.dictionary_terms(df, dictionary, "text", "id")
+    assert sorted((r.id, r.term) for r in got.collect()) == want and len(want) > 200
+    assert "explode" not in _plan(got) and "MapInArrow" in _plan(got)
+
+
 def test_texts_are_counted_once_for_the_rarest_grams(spark):
     df = spark.createDataFrame([(1, "a long dictionary word"), (2, "dictionary"), (3, "x")], "id int, text string")
     terms = spark.createDataFrame([(1, "dictionary"), (2, "x"), (3, "wo"), (4, "ary ")], "ord int, term string")
