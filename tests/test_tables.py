@@ -239,3 +239,14 @@ def test_texts_are_counted_once_for_the_rarest_grams(spark):
     got = lookups.dictionary_terms(df, terms, "text", "id", "substring")
     assert sorted((r.id, r.term) for r in got.collect()) == [(1, "ary "), (1, "dictionary"), (1, "wo"), (2, "dictionary"), (3, "x")]
     assert "InMemoryRelation" in got._jdf.queryExecution().withCachedData().toString()
+
+
+def test_signature_takes_the_mean_once(spark):
+    from catalogfuse.functions.scoring import signature_bits
+
+    rnd = random.Random(2)
+    vectors = [[rnd.uniform(-1, 1) for _ in range(64)] for _ in range(20)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*vectors, [], None])], "i int, v array<double>").select("i", signature_bits("v").alias("b"))
+    want = [sum(1 << k for k, x in enumerate(v) if x >= sum(v) / 64) for v in vectors]
+    assert [r.b if r.b is None else r.b % 2**64 for r in df.orderBy("i").collect()] == [*want, 0, None]
+    assert re.search(r">= lambda \w+#\w+\.mean", _plan(df))
