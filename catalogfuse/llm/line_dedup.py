@@ -77,12 +77,12 @@ def probe_keys(lines: DataFrame, per: int, most: int, least: int) -> DataFrame:
     return cut.select(key.alias("key"), F.col("id").alias("b"), F.col("marks").alias("b_marks")).where("key is not null")
 
 
-# The letters that are counted, the most frequent ones of the languages at hand.
-COUNTED = " eantr"
+# The letters that are counted. A count costs about 5 microseconds on a line of 245 bytes.
+COUNTED = " e"
 
 
 def marks(line: Column) -> Column:
-    """64 bits: the low 16 of the length, the low 8 of how often each letter of COUNTED is there."""
+    """The low 16 bits of the length, the low 8 of how often each letter of COUNTED is there."""
     counts = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(255)).cast("bigint") for c in COUNTED]
     shifted = [F.shiftleft(n, 16 + 8 * k) for k, n in enumerate(counts)]
     return reduce(lambda p, q: p.bitwiseOR(q), shifted, F.length(line).bitwiseAND(F.lit(65535)).cast("bigint"))
@@ -119,8 +119,8 @@ def line_dedup(docs: DataFrame, per: int = 20, most: int = 3, least: int = 16, t
     blank = lambda line: F.regexp_replace(line, f"{SPACE}+", "") == ""
     lines = whole.where("doc_id is not null").select("doc_id", F.posexplode("lines").alias("at", "line")).where(~blank(F.col("line")))
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    known = written(firsts.select("first", F.monotonically_increasing_id().alias("id"), "line"), tables)
-    long = known.where(F.length("line") >= least).select("id", "line", marks(F.col("line")).alias("marks"))
+    known = written(firsts.select("first", F.monotonically_increasing_id().alias("id"), "line", marks(F.col("line")).alias("marks")), tables)
+    long = known.where(F.length("line") >= least).select("id", "line", "marks")
     index, probe = index_keys(long, per, most), probe_keys(long, per, most, least)
     may = (F.col("a") != F.col("b")) & may_be_near(F.col("a_marks"), F.col("b_marks"), F.col("edits"))
     met = index.join(probe, (index["key"] == probe["key"]) & may)
@@ -128,7 +128,7 @@ def line_dedup(docs: DataFrame, per: int = 20, most: int = 3, least: int = 16, t
 
     # The texts of the lines that met.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(sifted(known, "id", ids).join(ids, "id", "left_semi"), tables)
+    held = written(sifted(known.drop("marks"), "id", ids).join(ids, "id", "left_semi"), tables)
     verified = (
         pairs.join(held.select(F.col("id").alias("a"), F.col("first").alias("fa"), F.col("line").alias("x")), "a")
         .join(held.select(F.col("id").alias("b"), F.col("first").alias("fb"), F.col("line").alias("y")), "b")
