@@ -145,3 +145,14 @@ def test_a_floor_changes_no_score_above_it(spark):
 )
 def test_spellings(spark, name, spellings):
     assert one(spark, codes.candidate_codes(F.lit(name))) == spellings
+
+
+def test_wildcards_inside_a_title_are_one_pattern(spark):
+    """Wildcards on either side, against the comparison of characters at every place."""
+    w = scoring.WILDCARD
+    texts = ["", "a", w, "ab", f"a{w}", f"{w}b", "xaby", f"x{w}by", "水ab𝒳c", f"b{w}c", f"{w}{w}", "b𝒳c", f"水{w}b"]
+    at = lambda x, y, k: all(p == q or w in (p, q) for p, q in zip(x, y[k:], strict=False))
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string").select("x", "y", scoring._inside(F.col("x"), F.col("y"), F.lit(True)).alias("in"))
+    for r in df.collect():
+        assert r["in"] == (r.x in r.y or (0 < len(r.x) <= len(r.y) and any(at(r.x, r.y, k) for k in range(len(r.y) - len(r.x) + 1))))
+    assert "exists(" not in df._jdf.queryExecution().optimizedPlan().toString()
