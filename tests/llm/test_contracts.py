@@ -586,3 +586,32 @@ def test_lines_of_a_few_lengths_share_their_keys(spark):
     assert found == {i: int(any(edit_distance(x, y) <= min(3, max(1, len(y) // 20)) for y in lines[:i])) for i, x in rows}
     one = spark.createDataFrame([(1, base, 0)], "id bigint, line string, marks bigint")
     assert line_dedup.index_keys(one, 20, 3).count() == 4 and line_dedup.probe_keys(one, 20, 3, 16).count() <= 26 - 8
+
+
+def test_lines_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Lines that share most of their text, none near another, and lines that are all near each other: what is verified follows their number."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), 6)) for _ in range(40)]
+    apart = []
+    for i in range(300):
+        x = list(words)
+        for k in rng.choice(40, 3, replace=False):
+            x[k] += "".join(rng.choice(list("bcdfgklmprst"), 6))
+        apart.append(" ".join(x))
+    base = "".join(rng.choice(list("uvwxyz "), 120))
+    alike = [f"{base[:k]}{c}{base[k + 1 :]}" for k in range(1, 119) for c in "qj"]
+    lines = [x for pair in zip(apart, alike, strict=False) for x in pair] + apart[len(alike) :]
+    verified = []
+    plain = line_dedup.banded_distance
+
+    def seen(x, y, edits):
+        verified.append(spark.sparkContext.accumulator(0))
+        count = F.udf(lambda v, n=verified[-1]: n.add(1) or v, "string")
+        return plain(count(x), y, edits)
+
+    monkeypatch.setattr(line_dedup, "banded_distance", seen)
+    found = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+    near = {r.doc_id for r in found.collect() if r.n_near}
+    want = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 3 and sum(map(str.__ne__, x, y)) <= 3 for y in lines[:i] if (x in alike) == (y in alike) and len(x) == len(y))}
+    assert near == want and len(near) >= len(alike) - 1
+    assert sum(n.value for n in verified) < 10 * len(lines)
