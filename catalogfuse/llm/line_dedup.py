@@ -3,7 +3,8 @@
 How many edits two lines may be apart follows the shorter one's length. Cut that line into so many segments and one more,
 and at least one of them is intact in the longer line, at nearly the same place. The segments lie in the first characters of
 a line, as many as its length rounded down: lines of a few lengths share their places and sizes, so a line probes the index with few
-substrings. What meets is verified by the edit distance up to the limit. Nothing but JVM expressions runs.
+substrings. Of the lines that meet any other, those that are near none of the first under their keys meet all before them; pairs
+are verified by the edit distance up to the limit. Nothing but JVM expressions runs.
 """
 
 from __future__ import annotations
