@@ -1,9 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 How many edits two lines may be apart follows the shorter one's length. Cut that line into so many segments and one more,
-and at least one of them is intact in the longer line, at nearly the same place. The segments lie in the first characters of
-a line, as many as its length rounded down: lines of a few lengths share their places and sizes, so a line probes the index with few
-substrings. Of the lines that meet any other, those that are near none of the first under their keys meet all before them; pairs
+and at least one of them is intact in the longer line, at nearly the same place. The sizes of the segments follow from the length
+rounded down, and the former half of them is placed from the line's start, the latter from its end: lines of a few lengths share
+their segments, and few edits can move one, so a line stands under few substrings. Of the lines that meet any other, those that are near none of the first under their keys meet all before them; pairs
 are verified by the edit distance up to the limit. Nothing but JVM expressions runs.
 """
 
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogfuse.llm.common import SPACE, parts, query, sifted, table, texts, written
+from catalogfuse.llm.common import parts, query, sifted, table, texts, written
 
 
 def allowed(length: Column, per: int, most: int) -> Column:
@@ -29,12 +29,18 @@ def rounded(length: Column) -> Column:
 
 
 def moves(edits: int, less: int, number: int) -> range:
-    """How far segment ``number``, counted from 0, may have moved in a line that is ``less`` characters longer.
+    """How far segment ``number``, counted from 0, may have moved in a line that is ``less`` characters longer, against its own end.
 
     Of the segments, the first that has no more edits up to its end than its number is intact: it has so many edits to its left and the
     others to its right, so it moves by no more than these allow against either end.
     """
-    return range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
+    against = 0 if _from_start(edits, number) else less
+    return range(max(-number, less - (edits - number)) - against, min(number, less + (edits - number)) + 1 - against)
+
+
+def _from_start(edits, number):
+    """Whether a segment, one of ``edits`` + 1, is placed from the start of a line; the others are from the end. Numbers or columns."""
+    return number * 2 <= edits
 
 
 def probes(most: int) -> list[tuple[int, int, int, int, int]]:
@@ -52,7 +58,8 @@ def probes(most: int) -> list[tuple[int, int, int, int, int]]:
 def _key(base: Column, edits: Column, number: Column, line: Column, move: Column, length: Column | None = None) -> Column:
     """48 bits for a segment of a line, or for the substring ``move`` characters off its place; null outside of the line."""
     size = F.floor(base / (edits + 1)).cast("int")
-    start = number * size + move
+    from_end = F.length(line) - (edits - number + 1) * size
+    start = F.when(_from_start(edits, number), number * size).otherwise(from_end) + move
     of = [base, edits, number] if length is None else [length, edits, number]
     hashed = F.xxhash64(*of, F.substring(line, start + 1, size)).bitwiseAND(F.lit((1 << 48) - 1))
     return F.when((start >= 0) & (start + size <= F.length(line)), hashed)
@@ -67,7 +74,10 @@ def index_keys(lines: DataFrame, per: int, most: int, exact: bool = False) -> Da
 
 
 def probe_keys(lines: DataFrame, per: int, most: int, least: int, exact: bool = False) -> DataFrame:
-    """(key, b): under what the lines may stand that are up to as many characters shorter as their own length allows."""
+    """(key, b, own): under what the lines may stand that are up to as many characters shorter as their own length allows.
+
+    ``own`` are the keys that ``index_keys`` has of the line itself.
+    """
     names = ("edits", "less", "number", "move", "before")
     asked = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p, strict=True)]) for p in probes(most)])
     cut = lines.select("id", "line", F.inline(asked))
@@ -76,25 +86,54 @@ def probe_keys(lines: DataFrame, per: int, most: int, least: int, exact: bool =
     again = (F.col("before") >= 0) & (rounded(nearer) == rounded(length)) & (allowed(nearer, per, most) == F.col("edits"))
     cut = cut.where((length >= least) & (allowed(length, per, most) == F.col("edits")) & (F.lit(exact) | ~again))
     key = _key(rounded(length), F.col("edits"), F.col("number"), F.col("line"), F.col("move"), length if exact else None)
-    return cut.select(key.alias("key"), F.col("id").alias("b")).where("key is not null")
+    own = (F.col("less") == 0) & (F.col("move") == 0)
+    return cut.select(key.alias("key"), F.col("id").alias("b"), own.alias("own")).where("key is not null")
 
 
-# The letters that are counted, two bits each. A letter that a line repeats much costs 5 to 10 microseconds, others less.
-COUNTED = " etaoinsrhdlucmfwypvbgkjqxz.,-"
+# The white space of lines of white space.
+WHITE = " \t\n\x0b\x0c\r"
+
+# The letters that are counted, two bits each, and the cuts of a line, in parts of its length rounded down.
+COUNTED = " etaoinsrhdlucmf"
+CUTS = (1 / 4, 1 / 2, 3 / 4)
 # Four counts on a ring: the bits in which two of them differ are as many as the steps between them.
 RING = (0b00, 0b01, 0b11, 0b10)
 
 
 def marks(line: Column) -> Column:
-    """60 bits: how often each letter of COUNTED is there, modulo four."""
+    """32 bits: how often each letter of COUNTED is there, modulo four."""
     counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED]
     coded = [F.element_at(F.array(*[F.lit(x << 2 * k).cast("bigint") for x in RING]), n % 4 + 1) for k, n in enumerate(counts)]
     return reduce(lambda p, q: p.bitwiseOR(q), coded)
 
 
+def line_marks(line: Column, per: int, most: int) -> Column:
+    """What ``may_be_near`` compares: for each cut, the marks of what is before it and of what is behind it, counted from the end.
+
+    Where the shorter lines that may be near are cut elsewhere, the marks for their cuts follow.
+    """
+    length = F.length(line)
+    cuts, shorter = rounded(length), rounded(length - allowed(length, per, most))
+    ends = []
+    for base in (cuts, shorter):
+        for cut in CUTS:
+            before, behind = F.floor(base * cut).cast("int"), F.floor(base * (1 - cut)).cast("int")
+            ends += [F.substring(line, F.lit(1), before), F.substring(line, length - behind + 1, behind)]
+    texts_of = F.when(cuts == shorter, F.array(*ends[: 2 * len(CUTS)])).otherwise(F.array(*ends))
+    return F.struct(cuts.alias("cuts"), shorter.alias("shorter"), F.transform(texts_of, marks).alias("of"))
+
+
 def may_be_near(a: Column, b: Column, edits: Column) -> Column:
-    """By their marks, two lines can be that near: an edit changes two counts by one at most."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
+    """By the marks of their ends, lines a and b, not shorter, can be that near.
+
+    An edit is before a cut or behind it, and changes two counts of that end by one at most: those of two letters, or that of a letter
+    and of another which moves across the cut.
+    """
+    def few(at: int) -> Column:
+        apart = [F.bit_count(F.get(a["of"], F.lit(k)).bitwiseXOR(F.get(b["of"], F.lit(at + k)))) for k in range(2 * len(CUTS))]
+        return reduce(lambda p, q: p & q, [x + y <= 2 * edits for x, y in zip(apart[::2], apart[1::2], strict=True)])
+
+    return F.when(a["cuts"] == b["cuts"], few(0)).when(a["cuts"] == b["shorter"], few(2 * len(CUTS))).otherwise(True)
 
 
 def banded_distance(x: Column, y: Column, edits: Column | int) -> Column:
@@ -102,6 +141,16 @@ def banded_distance(x: Column, y: Column, edits: Column | int) -> Column:
     return F.nullif(F.call_function("levenshtein", x, y, edits if isinstance(edits, Column) else F.lit(edits)), F.lit(-1))
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    """(id): the lines of keys(key, b, own) that stand under a key with another line, as the own key of one of the two; no pairs."""
+    under = Window.partitionBy("key")
+    own = F.when(F.col("own"), F.col("b"))
+    ends = {"least": F.min("b"), "last": F.max("b"), "own_least": F.min(own), "own_last": F.max(own)}
+    seen = keys.withColumns({name: end.over(under) for name, end in ends.items()})
+    met = (F.col("own") & (F.col("least") != F.col("last"))) | (F.col("own_least") != F.col("b")) | (F.col("own_last") != F.col("b"))
+    return seen.where(met).select(F.col("b").alias("id"))
+
+
 def _near_lines(held: DataFrame, per: int, most: int, least: int, tables: str) -> DataFrame:
     """(first): the places of those lines(first, id, line, marks) that are near one before them.
 
@@ -149,16 +198,14 @@ def line_dedup(docs: DataFrame, per: int = 20, most: int = 3, least: int = 16, t
     repeat a doc_id share their places: at one place, equal lines all stay. An empty table gives an empty result.
     """
     whole = texts(docs).select("doc_id", F.split("text", "\n").alias("lines"))
-    blank = lambda line: F.regexp_replace(line, f"{SPACE}+", "") == ""
+    blank = lambda line: F.ltrim(line, F.lit(WHITE)) == ""
     lines = whole.where("doc_id is not null").select("doc_id", F.posexplode("lines").alias("at", "line")).where(~blank(F.col("line")))
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     known = written(firsts.select("first", F.monotonically_increasing_id().alias("id"), "line"), tables)
     long = known.where(F.length("line") >= least).select("id", "line")
-    # Who meets another at all, without pairs: where several lines stand under a key, each of them looks it up itself.
-    standing = index_keys(long, per, most).groupBy("key").agg(F.min("a").alias("a"), F.max("a").alias("other"))
-    met = standing.join(probe_keys(long, per, most, least), "key").where((F.col("a") != F.col("b")) | (F.col("other") != F.col("b")))
-    ids = written(met.select("a", "b"), tables).select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(sifted(known, "id", ids).join(ids, "id", "left_semi").withColumn("marks", marks(F.col("line"))), tables)
+    ids = written(_meeting(probe_keys(long, per, most, least)), tables).distinct()
+    held = sifted(known, "id", ids).join(ids, "id", "left_semi").withColumn("marks", line_marks(F.col("line"), per, most))
+    held = written(held, tables)
     near = written(_near_lines(held, per, most, least, tables), tables)
     marked = known.select("first").join(near.select("first", F.lit(1).alias("near")), "first", "left")
     per_doc = marked.groupBy(F.col("first.doc_id").alias("_id")).agg(

@@ -615,3 +615,49 @@ def test_lines_of_a_large_group_make_few_pairs(spark, monkeypatch):
     want = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 3 and sum(map(str.__ne__, x, y)) <= 3 for y in lines[:i] if (x in alike) == (y in alike) and len(x) == len(y))}
     assert near == want and len(near) >= len(alike) - 1
     assert sum(n.value for n in verified) < 10 * len(lines)
+
+
+def test_lines_of_the_same_words_in_other_places_make_few_pairs(spark, monkeypatch):
+    """Lines of one text whose outer words change places: they share their inner segments and all letter counts, and none is near another."""
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), 6)) for _ in range(40)]
+    lines = []
+    for p in range(10):
+        for q in range(30, 40):
+            x = list(words)
+            x[p], x[q] = x[q], x[p]
+            lines.append(" ".join(x))
+    verified = spark.sparkContext.accumulator(0)
+    plain = line_dedup.banded_distance
+    count = F.udf(lambda v: verified.add(1) or v, "string")
+    monkeypatch.setattr(line_dedup, "banded_distance", lambda x, y, edits: plain(count(x), y, edits))
+    found = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert sum(r.n_near for r in found) == 0
+    assert verified.value < 5 * len(lines)
+
+
+def test_a_line_stands_under_few_keys(spark):
+    """Eight substrings for a line of three edits, its own four segments among them."""
+    base = "".join(np.random.default_rng(9).choice(list("abcdefgh "), 200))
+    one = spark.createDataFrame([(1, base)], "id bigint, line string")
+    keys = line_dedup.probe_keys(one, 20, 3, 16)
+    assert keys.count() == 8
+    assert {r.key for r in keys.where("own").collect()} == {r.key for r in line_dedup.index_keys(one, 20, 3).collect()}
+
+
+def test_near_lines_may_be_near_by_their_marks(spark):
+    """Whatever the edits and the length are, near lines are never told apart by their marks."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for n in [*range(16, 68), *range(76, 84), *range(92, 100), *range(124, 132), *range(252, 260)] * 6:
+        a = list(rng.choice(list("abcdé etaoin"), n))
+        b = list(a)
+        for _ in range(min(3, max(1, n // 20))):
+            k, kind = int(rng.integers(0, len(b))), int(rng.integers(0, 3))
+            b[k : k + (kind != 1)] = list(rng.choice(list("abcdé etaoin"), int(kind != 0)))
+        x, y = sorted(("".join(a), "".join(b)), key=len)
+        if len(x) >= 16 and edit_distance(x, y) <= min(3, max(1, len(x) // 20)):
+            rows.append((x, y))
+    df = spark.createDataFrame(rows, "x string, y string").select("x", line_dedup.line_marks(F.col("x"), 20, 3).alias("a"), line_dedup.line_marks(F.col("y"), 20, 3).alias("b"))
+    may = line_dedup.may_be_near(F.col("a"), F.col("b"), line_dedup.allowed(F.length("x"), 20, 3))
+    assert len(rows) > 400 and df.where(may).count() == len(rows)
