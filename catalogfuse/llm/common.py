@@ -66,18 +66,20 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-SIEVE = 1 << 20
+SIEVE = 1 << 24  # bits
 
 
 def sifted(df: DataFrame, column: str, keys: DataFrame, outside: bool = False) -> DataFrame:
     """The rows of ``df`` that may have a key of ``keys`` (same column name), before any shuffle; ``outside``: all others.
 
-    What is broadcast is a set of hashed keys, SIEVE rows at most however many keys there are. Rows with another key of
-    the same bucket pass as well: a join has to follow.
+    What is broadcast is a set of hashed keys as bits, 64 in a row: SIEVE / 64 rows at most however many keys there are. Rows
+    with another key of the same bit pass as well: a join has to follow.
     """
-    bucket = F.pmod(F.xxhash64(column), F.lit(SIEVE))
-    held = F.broadcast(keys.select(bucket.alias("_sieve")).distinct())
-    return df.withColumn("_sieve", bucket).join(held, "_sieve", "left_anti" if outside else "left_semi").drop("_sieve")
+    bit = F.pmod(F.xxhash64(column), F.lit(SIEVE))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit").bitwiseAND(F.lit(63)).cast("int"))
+    held = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    met = (F.shiftright("_bit", 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(one) != 0)
+    return df.withColumn("_bit", bit).join(F.broadcast(held), met, "left_anti" if outside else "left_semi").drop("_bit")
 
 
 def parts(spark: SparkSession) -> int:

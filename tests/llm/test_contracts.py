@@ -701,3 +701,19 @@ def test_toxicity_packs_its_counts():
                     places[level, left, key] = place, t + toxic, o + ordinary
     # the q, start a, the a, start the, b c, a b.
     assert sorted((t, o) for (level, *_), (_, t, o) in places.items() if level == 0) == [(0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+
+
+def test_a_sieve_is_small_and_lets_little_through(spark):
+    from catalogfuse.llm.common import SIEVE, sifted
+
+    keys = spark.range(0, 300_000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"))
+    rows = spark.range(0, 2_300_000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"))
+    inside, outside = sifted(rows, "k", keys), sifted(rows, "k", keys, outside=True)
+    # All keys, and of the other two million few; inside and outside are all rows once.
+    assert inside.where("k < 300000 or k is null").count() == 300_000 and outside.where("k < 300000 or k is null").isEmpty()
+    assert inside.count() < 400_000 and inside.count() + outside.count() == 2_300_000
+    assert inside.columns == rows.columns
+    many = sifted(spark.range(10).withColumnRenamed("id", "k"), "k", spark.range(1_000_000).withColumnRenamed("id", "k"))
+    many.collect()
+    plan, sent = many._jdf.queryExecution().executedPlan().toString(), SIEVE // 64
+    assert "bit_or" in plan and sent <= 1 << 18
